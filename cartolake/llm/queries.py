@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash
+from . import bpe, host_rules, mixing, simhash
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,8 +34,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_rules.judge(_documents(spark, sf_dir)).select("doc_id", *host_rules.MEASURES, "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe}
+    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op7_host_rules": op7_host_rules}
 
 
 def oracle_sql() -> dict[str, str]:
