@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, mixing, simhash
+from . import bpe, host_rules, mixing, pii, simhash
 
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,12 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(_documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [pii.count("base_spans", k).alias(f"n_{k}") for k in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -43,7 +49,7 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op4_mixing": op4_mixing, "op7_host_rules": op7_host_rules}
+    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op7_host_rules": op7_host_rules}
 
 
 def oracle_sql() -> dict[str, str]:
