@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, mixing, pii, simhash
+from . import bpe, host_rules, mixing, pii, rans, simhash
 
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, END = "word_bpe_49k.json", 1
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +48,13 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_documents(spark, sf_dir)).select("doc_id", *host_rules.MEASURES, "kept")
 
 
+def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = rans.write(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END)
+    return rans.index(rans.read(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op7_host_rules": op7_host_rules}
+    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op7_host_rules": op7_host_rules, "op10_rans": op10_rans}
 
 
 def oracle_sql() -> dict[str, str]:
