@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, html_lstm, mixing, pii, rans, simhash, tiff
+from . import bpe, host_rules, html_lstm, langid, mixing, pii, rans, simhash, tiff
 
 
 TOKENIZER, END = "word_bpe_49k.json", 1
@@ -59,13 +59,19 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_lstm.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    found = langid.classify(docs, langid.fit(docs), declared=langid.declared_in("text"))
+    return found.select(F.col("id").alias("doc_id"), "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "kept")
+
+
 def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = rans.write(_documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), END)
     return rans.index(rans.read(spark, path))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_tiff": op5_tiff, "op7_host_rules": op7_host_rules, "op8_html": op8_html, "op10_rans": op10_rans}
+    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_tiff": op5_tiff, "op7_host_rules": op7_host_rules, "op8_html": op8_html, "op9_langid": op9_langid, "op10_rans": op10_rans}
 
 
 def oracle_sql() -> dict[str, str]:
