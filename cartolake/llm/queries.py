@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, host_rules, html_lstm, langid, mixing, pii, rans, simhash, tiff
+from . import bpe, host_rules, html_lstm, langid, mixing, pii, quality_pu, rans, simhash, tiff
 
 
 TOKENIZER, END = "word_bpe_49k.json", 1
@@ -50,6 +50,13 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    scorer = quality_pu.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    found = quality_pu.score(docs, scorer)
+    return found.select("doc_id", quality_pu.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality_pu.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(_documents(spark, sf_dir)).select("doc_id", *host_rules.MEASURES, "kept")
 
@@ -71,7 +78,7 @@ def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_tiff": op5_tiff, "op7_host_rules": op7_host_rules, "op8_html": op8_html, "op9_langid": op9_langid, "op10_rans": op10_rans}
+    return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_tiff": op5_tiff, "op6_quality": op6_quality, "op7_host_rules": op7_host_rules, "op8_html": op8_html, "op9_langid": op9_langid, "op10_rans": op10_rans}
 
 
 def oracle_sql() -> dict[str, str]:
