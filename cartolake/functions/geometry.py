@@ -316,7 +316,7 @@ def encode_shape(g: dict | None) -> bytes | None:
     out += struct.pack(f"<{2 * len(points)}d", *[v for p in points for v in (p["x"], p["y"])])
     for bit, name in ((1, "zs"), (2, "ms")):
         if flag & bit:
-            out += struct.pack(f"<{len(points)}d", *g[name])
+            out += struct.pack(f"<{len(points)}d", *[float("nan") if v is None else v for v in g[name]])
     return out
 
 
@@ -337,7 +337,7 @@ def decode_shape(b: bytes | None) -> dict | None:
     kinds = take("i", n_parts) if flag & 4 else None
     flat = take("d", 2 * n)
     zs = take("d", n) if flag & 1 else None
-    ms = take("d", n) if flag & 2 else None
+    ms = [None if v != v else v for v in take("d", n)] if flag & 2 else None
     names = [f"{r}{e}" for r in "xyzm" for e in ("Min", "Max")]
     signed = code - (1 << 32) if code >> 31 else code
     return {"type": signed, "bbox": {"type": tag} | dict(zip(names, box)), "parts": starts, "part_types": kinds, "points": [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2])], "zs": zs, "ms": ms}

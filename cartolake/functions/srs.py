@@ -164,8 +164,9 @@ def project_point(x: float, y: float, source: str, target: str) -> tuple[float,
     m = _Math(False)
     if is_geographic(source) and not is_geographic(target) and abs(y) >= 90:
         return None
+    forward, back = _projector(target, False, m), _projector(source, True, m)
     try:
-        return _projector(target, False, m)(*_projector(source, True, m)(x, y))
+        return forward(*back(x, y))
     except (ValueError, OverflowError):
         return None
 

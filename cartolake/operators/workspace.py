@@ -258,6 +258,8 @@ class Transaction:
         meta = self.workspace.tables[name].meta
         if isinstance(rows, list):
             names = {k for r in rows for k in r}
+            if unknown := names - {f.name for f in meta.fields}:
+                raise ValueError(f"{name} has no fields {sorted(unknown)}")
             schema = T.StructType([T.StructField(f.name, f.struct().dataType) for f in meta.fields if f.name in names])
             rows = self.workspace.spark.createDataFrame([tuple(r.get(f.name) for f in schema) for r in rows], schema)
         part = self._stage(name, self._conform(meta, rows))

@@ -243,7 +243,7 @@ class _Writer(DataSourceWriter):
     def __init__(self, path: str, schema: T.StructType, options: dict) -> None:
         self.base, self.schema, self.options = os.path.splitext(path)[0], schema, options
         self.charset = options.get("charset", "utf-8")
-        self.shape = next((f.name for f in schema if f.dataType == GEOMETRY), None)
+        self.shape = next((f.name for f in schema if f.dataType.simpleString() == GEOMETRY.simpleString()), None)
         if not self.shape:
             raise ValueError("a shapefile needs a geometry column")
         self.columns = [self._column(f) for f in schema if f.name != self.shape and f.name not in ("oid", "xmin", "ymin", "xmax", "ymax")]
