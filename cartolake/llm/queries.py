@@ -81,5 +81,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_pii": op3_pii, "op4_mixing": op4_mixing, "op5_tiff": op5_tiff, "op6_quality": op6_quality, "op7_host_rules": op7_host_rules, "op8_html": op8_html, "op9_langid": op9_langid, "op10_rans": op10_rans}
 
 
+#: The measures, the hosts' shrunk rates and the verdicts of op7, as DuckDB takes them.
+_OP7 = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+base AS (SELECT r, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM docs),
+windows AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM base, unnest(range(1, len(w) - 1)) AS u(i)),
+often AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM often) GROUP BY r),
+measured AS (
+  SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM base LEFT JOIN covered USING (r)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END)::DOUBLE AS f FROM judged GROUP BY source),
+totals AS (SELECT sum(f) / sum(n) AS m, sum((f / n) * (f / n)) / count(*) AS s2, sum(f / n) / count(*) AS s1, sum(1.0::DOUBLE / n) / count(*) AS inv FROM hosts),
+spreads AS (SELECT m, s2 - 2 * m * s1 + m * m AS spread, m * (1 - m) * inv AS chance FROM totals),
+prior AS (SELECT m, CASE WHEN spread > chance THEN greatest(1.0::DOUBLE, least(1e6::DOUBLE, (m * (1 - m) - spread) / (spread - chance))) ELSE 1e6::DOUBLE END AS strength FROM spreads),
+bad AS (SELECT source FROM hosts, prior WHERE (f + m * strength) / (n + strength) >= 0.9)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM judged.source) AS kept FROM judged
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_host_rules": _OP7}
