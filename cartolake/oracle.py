@@ -97,6 +97,16 @@ ORACLE: dict[str, str] = {
     "m_scale_gate": "SELECT p_partkey, CAST((p_size % 5 = 0 OR 5000 >= p_size * 100) AND 5000 <= p_size * 400 AS INTEGER) AS shown FROM part",
     "m_symbols": _geo("SELECT oid, CASE name WHEN 'Brand#11' THEN 'star' WHEN 'Brand#12' THEN 'square' ELSE 'dot' END AS symbol FROM geo_part"),
     "m_layer_scan": _geo("SELECT oid, x, y FROM geo_part, (SELECT 1500.0::DOUBLE * (1 / 39.37::DOUBLE) / 96 AS r) WHERE y > 3 AND x BETWEEN 950 - 40 * r AND 950 + 40 * r AND y BETWEEN 25 - 30 * r AND 25 + 30 * r"),
+    "f_out_srs": _geo("SELECT oid, round((x - 950) * (pi() / 180 * 6378137.0), 3) AS mx, round(ln(tan(y * (pi() / 180) * 0.5 + pi() / 4)) * 6378137.0, 3) AS my FROM geo_part WHERE (x - 950) * (pi() / 180 * 6378137.0) BETWEEN -3e6 AND 3e6 AND ln(tan(y * (pi() / 180) * 0.5 + pi() / 4)) * 6378137.0 BETWEEN 0 AND 3.5e6"),
+    "g_area": _geo("SELECT oid, round((xmax - xmin) * (ymax - ymin), 3) AS area, round(2 * (xmax - xmin) + 2 * (ymax - ymin), 3) AS perimeter, 1 AS clockwise, 1 AS n_parts FROM geo_supplier"),
+    "g_point_in_ring": _geo("SELECT oid, CAST(xmin < 1234.5678 AND xmax > 1234.5678 AND ymin < 7.25 AND ymax > 7.25 AS INTEGER) AS inside, round(xmin + 20000.0, 3) AS distance FROM geo_supplier"),
+    "g_drop_repeats": _geo("SELECT oid, CAST(count(*) FILTER (WHERE b IS NULL OR a <> b) AS INTEGER) AS n_points FROM (SELECT oid, floor(x / 50000) AS a, lag(floor(x / 50000)) OVER (PARTITION BY oid ORDER BY seq) AS b FROM geo_order_pt) GROUP BY oid"),
+    "m_clip_lines": "SELECT 1 AS outside WHERE FALSE",
+    "s_shapefile": _geo("SELECT oid, name, xmin, ymax, 5 AS n_points FROM geo_supplier WHERE xmax >= 0 AND xmin <= 3000 AND ymax >= 5 AND ymin <= 12"),
+    "s_sqlite": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation",
+    "k_insert": "SELECT s_suppkey AS oid, s_name AS name, 'new' AS state, s_acctbal AS balance FROM supplier",
+    "k_update": "SELECT s_suppkey AS oid, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'new' END AS state FROM supplier WHERE s_suppkey % 7 <> 0",
+    "t_rollback": "SELECT s_suppkey AS oid FROM supplier",
     "k_delete_by_oid": _geo("SELECT oid, name FROM geo_supplier WHERE oid % 3 <> 0"),
     "k_etl_copy": _geo("SELECT * FROM geo_supplier"),
 }

@@ -5,6 +5,10 @@ Points are parts by price and size, boxes are suppliers around balance and natio
 
 from __future__ import annotations
 
+import os
+import sqlite3
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +19,8 @@ from .operators import oidset, spatial_join
 from .operators.cartography import Layer, Map
 from .operators.workspace import Workspace
 from .plans.filters import Box, Join, QueryFilter
-from .plans.model import JoinOp, JoinType, SpatialRel
+from .plans.model import DataType, Field, GeometryDef, JoinOp, JoinType, SpatialRel
+from .sources import shapefile, sqlite
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -475,7 +480,121 @@ def m_layer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layer.scan(display.View(80, 60, 950.0, 25.0, 1500.0), QueryFilter().with_fields("oid", "x", "y"))
 
 
-# The raw side of changes; transactions themselves are in the tests.
+# Shapes as a table's column.
+
+
+def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' boxes as polygons: oid, name and shape."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(corner("xmin", "ymin"), corner("xmin", "ymax"), corner("xmax", "ymax"), corner("xmax", "ymin"), corner("xmin", "ymin"))
+    return geo_supplier(spark, sf_dir).select("oid", "name", geometry.make(geometry.TYPES["polygon"], ring, F.array(F.lit(0))).alias("shape"))
+
+
+@_query
+def f_out_srs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search whose box and shapes are in other systems than the table's."""
+    w = Workspace(spark, "srs")
+    shapes = geo_part(spark, sf_dir).withColumn("x", F.col("x") - 950).drop("xmin", "xmax").withColumn("xmin", F.col("x")).withColumn("xmax", F.col("x"))
+    shape = geometry.make(geometry.TYPES["point"], F.array(F.struct("x", "y")))
+    w.add("parts_lonlat", shapes.withColumn("shape", shape), shape="shape", geometry=GeometryDef(1, srs="EPSG:4326"))
+    q = QueryFilter().with_fields("oid", "shape").with_box(Box(-3e6, 0.0, 3e6, 3.5e6, "EPSG:3857")).with_out_srs("EPSG:3857")
+    spark.catalog.dropTempView("parts_lonlat")
+    found = w.table("parts_lonlat").search(q)
+    return found.select("oid", F.round(geometry.point(F.col("shape"), 0)["x"], 3).alias("mx"), F.round(geometry.point(F.col("shape"), 0)["y"], 3).alias("my"))
+
+
+@_query
+def g_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = F.col("shape")
+    return _rings(spark, sf_dir).select("oid", F.round(geometry.shape_area(g), 3).alias("area"), F.round(geometry.perimeter(g["points"]), 3).alias("perimeter"), geometry.is_clockwise(g["points"]).cast("int").alias("clockwise"), geometry.part_count(g).alias("n_parts"))
+
+
+@_query
+def g_point_in_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("shape.points")
+    return _rings(spark, sf_dir).select("oid", geometry.point_in_ring(p, F.lit(1234.5678), F.lit(7.25)).cast("int").alias("inside"), F.round(geometry.distance_to_point(p, F.lit(-20000.0), F.col("shape.bbox.yMin") + 1), 3).alias("distance"))
+
+
+@_query
+def g_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points in whole thousands, those equal to their predecessor dropped."""
+    coarse = F.transform("points", lambda p: F.struct(F.floor(p["x"] / 50000).cast("double").alias("x"), F.lit(0.0).alias("y")))
+    return order_lines(spark, sf_dir).select("oid", F.size(geometry.drop_repeats(coarse)).alias("n_points"))
+
+
+@_query
+def m_clip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of orders' lines inside a box; each point of them lies in it."""
+    box = (10000.0, 10.0, 60000.0, 40.0)
+    runs = order_lines(spark, sf_dir).where(F.size("points") > 1).select("oid", F.explode(display.clip_lines(F.array("points"), box)).alias("run"))
+    inside = F.forall("run", lambda p: p["x"].between(box[0] - 1e-6, box[2] + 1e-6) & p["y"].between(box[1] - 1e-6, box[3] + 1e-6))
+    return runs.select((~inside).cast("int").alias("outside")).where("outside = 1")
+
+
+# Sources and stored tables.
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder where all executors can write."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"cartolake-{name}-")
+
+
+@_query
+def s_shapefile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers written as a shapefile and searched by a box."""
+    shapefile.register(spark)
+    path = _scratch(spark, "shapes").removeprefix("file://") + "/suppliers.shp"
+    _rings(spark, sf_dir).withColumnRenamed("oid", "key").write.format("shapefile").mode("append").option("path", path).save()
+    found = spark.read.format("shapefile").option("box", f"{SUPPLIER_BOX.xmin},{SUPPLIER_BOX.ymin},{SUPPLIER_BOX.xmax},{SUPPLIER_BOX.ymax}").load(path)
+    return found.select(F.col("key").alias("oid"), "name", "xmin", "ymax", geometry.point_count(F.col("shape")).alias("n_points"))
+
+
+@_query
+def s_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations put into a SQLite file and read from it."""
+    sqlite.register(spark)
+    path = _scratch(spark, "sqlite").removeprefix("file://")
+    os.makedirs(path, exist_ok=True)
+    with sqlite3.connect(f"{path}/nation.db") as db:
+        db.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT NOT NULL, n_regionkey INTEGER)")
+        db.executemany("INSERT INTO nation VALUES (?, ?, ?)", [tuple(r) for r in _read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").collect()])
+    return spark.read.format("sqlite_file").options(path=f"{path}/nation.db", table="nation", rows=10).load()
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Workspace:
+    """A stored table of suppliers' names, states and balances."""
+    w = Workspace(spark, "stored", _scratch(spark, "workspace"))
+    w.create_table("stored_supplier", [Field("oid", DataType.INT64, primary_key=True), Field("name", DataType.STRING, nullable=False), Field("state", DataType.STRING, default="'new'"), Field("balance", DataType.DOUBLE)])
+    with w.transaction() as t:
+        t.insert("stored_supplier", _read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS oid", "s_name AS name", "s_acctbal AS balance"))
+    return w
+
+
+@_query
+def k_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir).table("stored_supplier").search()
+
+
+@_query
+def k_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _stored(spark, sf_dir)
+    with w.transaction() as t:
+        t.update("stored_supplier", w.table("stored_supplier").df.where("balance < 0").select("oid", F.lit("debt").alias("state")))
+        t.delete("stored_supplier", w.table("stored_supplier").df.where("oid % 7 = 0").select("oid"))
+    return w.table("stored_supplier").search(QueryFilter().with_fields("oid", "state"))
+
+
+@_query
+def t_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _stored(spark, sf_dir)
+    t = w.transaction()
+    t.delete("stored_supplier", w.table("stored_supplier").df.select("oid"))
+    t.rollback()
+    return w.table("stored_supplier").search(QueryFilter().with_fields("oid"))
+
+
+# The raw side of changes.
 
 
 @_query
