@@ -140,10 +140,11 @@ def classify(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     by_host = _sums(certain, ["host", "suffix"], size, "by_host")
     by_suffix = _sums(certain, ["suffix"], size, "by_suffix")
     known = F.array_contains(names, F.col("declared"))
-    whole = _sums(certain, [], size, "by_all").crossJoin(certain.where(known).agg(F.count("*").alias("n_said"), F.sum((F.get(names, F.col("best")) == F.col("declared")).cast("int")).alias("agreed"))).first()
-    total = sum(x or 0.0 for x in whole["by_all"])
-    base = [((x or 0.0) + 1) / (total + size) for x in whole["by_all"]]
-    trust = min(0.999, ((whole["agreed"] or 0) + 9) / (whole["n_said"] + 10))
+    agrees = (F.get(names, F.col("best")) == F.col("declared")).cast("int")
+    whole = certain.agg(*[F.sum(F.col("belief")[k]).alias(f"_{k}") for k in range(size)], F.sum(known.cast("int")).alias("n_said"), F.sum(F.when(known, agrees)).alias("agreed")).first()
+    sums = [whole[f"_{k}"] or 0.0 for k in range(size)]
+    base = [(x + 1) / (sum(sums) + size) for x in sums]
+    trust = min(0.999, ((whole["agreed"] or 0) + 9) / ((whole["n_said"] or 0) + 10))
     hosts = by_host.join(by_suffix, "suffix").withColumn("up", _smoothed(F.col("by_suffix"), F.array(*map(F.lit, base)))).select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), "by_host", "up")
     joined = believed.join(hosts, F.col("host").eqNullSafe(F.col("_host")) & (F.col("suffix") == F.col("_suffix")), "left")
     others = F.when(F.col("n") > 0, F.zip_with("by_host", "belief", lambda a, b: a - b)).otherwise(F.col("by_host"))

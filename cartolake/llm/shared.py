@@ -38,7 +38,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.shared_path = path  # for discard()
+    return written
+
+
+def discard(written: DataFrame) -> None:
+    """Remove the table of materialize() that nothing reads any more."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.shared_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def extra_columns(df: DataFrame, used: list[str]) -> list[str]:
@@ -75,7 +84,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
         large = both.join(low(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         least = low(large)
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
-        current = materialize(small, label)
+        current, old = materialize(small, label), current
+        discard(old)
         after = digest(current)
         if after == before:
             break
