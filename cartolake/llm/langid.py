@@ -3,8 +3,8 @@
 A text's likelihood under each language comes from character trigrams, hashed into BUCKETS, whose frequencies are fitted to a bounded sample of
 labelled rows. A host's prior is what its other rows' texts say, smoothed towards its address suffix's, and that towards the whole
 table's; these are grouped sums. Where a row declares a language in its markup, that is another observation, as reliable as declarations
-prove to be over the whole table. The posterior combines the three. A row is rejected if no language explains its text better than
-even trigrams do, or if no language has a posterior of ACCEPT.
+prove to be over the whole table. The posterior combines the three. A row is rejected if its text fits no language,
+being FOREIGN or less a trigram against even ones, or if no language has a posterior of ACCEPT.
 
 Sums by host are partial before their shuffle. Hosts come back to their rows, which are a few numbers each by then, by an equi-join that AQE
 splits if one host has a third of them. What goes to the driver is the model's counts, BUCKETS numbers a language, for the LANGUAGES most
@@ -33,6 +33,8 @@ BUCKETS, SAMPLE, LANGUAGES, SMOOTHING = 1 << 14, 8000, 64, 0.3
 TEMPER = 0.25
 #: Rows that a parent's prior is worth, and the least posterior of a language.
 STRENGTH, ACCEPT = 20.0, 0.5
+#: Mean log likelihood of a trigram, against even shares, below which a text fits no language: one odd word of a few stays far above it, another script is near -5 with the whole sample.
+FOREIGN = -2.0
 _STEP = 1 << 20
 
 
@@ -155,7 +157,7 @@ def classify(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     fused = joined.withColumn("posterior", _softmax(F.transform(parts, lambda x: x["t"] + F.log(x["p"]) + x["d"])))
     at = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
     fused = fused.withColumn("at", at).withColumn("confidence", F.array_max("posterior"))
-    kept = (F.col("n") > 0) & (F.col("confidence") >= ACCEPT) & (F.get("logs", F.col("at")) > 0)
+    kept = (F.col("n") > 0) & (F.col("confidence") >= ACCEPT) & (F.get("logs", F.col("at")) > FOREIGN * F.col("n"))
     return fused.select("id", F.when(F.col("n") > 0, F.get(names, F.col("at"))).alias("lang"), "confidence", F.when(F.col("n") > 0, F.get(names, F.col("best"))).alias("text_lang"), kept.alias("kept"))
 
 

@@ -25,6 +25,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, id int"
 
 def test_held_out_accuracy_and_rejection(spark):
     extra = [(5000, None, None, None, 0), (5001, "", "en", "x", 0), (5002, "12 34 !!", "fr", "x", 0), (5003, "0" * 200_000, None, "x", 0), (5004, "the of and " * 300_000, "en", None, 0), (7, "the of and that with this", "en", "x", 0)]
+    extra += [(5005, "the of and that with this tion zkqxw", "en", "x", 0), (5006, "жжя щюы ъэё фыва олдж " * 5, None, "x", 0)]
     df = spark.createDataFrame(rows() + extra, SCHEMA)
     model = langid.fit(df)
     assert model.languages == ["de", "en", "fr"]
@@ -34,9 +35,9 @@ def test_held_out_accuracy_and_rejection(spark):
     held = [r for r in got if r.id in want and r.id != 7]
     assert sum(r.lang == want[r.id] for r in held) / len(held) > 0.99 and all(r.kept for r in held)
     rejected = {r.id for r in got if not r.kept}
-    assert rejected == {5000, 5001, 5002, 5003}
+    assert rejected == {5000, 5001, 5002, 5003, 5006}
     kept = langid.keep(df, model)
-    assert kept.columns == df.columns and kept.count() == len(rows()) + 2
+    assert kept.columns == df.columns and kept.count() == len(rows()) + 3
 
 
 def test_hosts_suffixes_and_declarations_decide_where_the_text_does_not(spark):
