@@ -10,7 +10,7 @@ Format. A folder with two Parquet tables, so that any store Spark writes to can
   blocks  part, row, doc_ids, lengths, n, lanes, crc, states, marks, words
 Parts are ranges of doc_id; row is the number of documents of the part before the block. Within a block, documents ascend.
 
-Ids are tokenised once, written as 32-bit integers, counted, and dealt into ranges once. What goes to the driver is the ids' counts,
+Ids are tokenised once, written as 16-bit integers if the vocabulary fits them, counted, and dealt into ranges once. What goes to the driver is the ids' counts,
 at most one for each id of the vocabulary. The ids of documents reach no place but a task that holds a block of them.
 
 Defined results: a null or empty text is the end id alone; documents with a null doc_id come first; repeated rows are stored as often as
@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import os
 import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,12 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import steps
+from .bpe import byte_alphabet, load, steps
 from .shared import materialize, new_path
 
 PRECISION, LANES, BLOCK, CHECKPOINT = 20, 1024, 1 << 18, 128
 PART = 1 << 24  # ids in a part, about, where the session's number of partitions would make them larger
-KEPT, LONG = 600_000, 256  # distinct pieces that a worker keeps, and their characters at most
+KEPT, LONG = 400_000, 256  # distinct pieces, and distinct words, that a worker keeps; characters of a piece at most
 _LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63); words are 32 bits
 
 
@@ -132,31 +134,43 @@ class Coder:
 
 
 class Tokens:
-    """A whole text's ids as the tokenizers library gives them, by pieces that white space separates.
+    """A whole text's ids as the tokenizers library gives them, by pieces that white space separates and by their words.
 
-    The library is asked once for each distinct piece while it is kept. That the pieces' ids are the text's holds for files whose
-    pre-tokenizer never crosses white space and whose normalizer works within it. Texts with special tokens, long pieces, or characters
-    that only Python takes for white space go to the library whole.
+    The library's model is asked once for each distinct word while that is kept, normalised and split as the file says. That the words' ids
+    are the text's holds for the files that bpe.Bpe takes. Texts with special tokens, long pieces, or characters that only Python takes
+    for white space go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model, self.word, self.alphabet = self.library.model, load(path).word, byte_alphabet()
         special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join(["[\\x1c-\\x1f]", *special]))
+        self.odd = re.compile("|".join([r"[\x1c-\x1f]", *special]))
         self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
+        self.words[word] = found = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(shown)])}I", *ids)
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
+        get, make = self.words.get, self._word
+        return b"".join([get(w) or make(w) for w in self.word.findall(piece.lower())])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         pieces = [None if self.odd.search(t) else t.split() for t in texts]
         pieces = [None if p and max(map(len, p)) > LONG else p for p in pieces]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        new = list(set().union(*[p for p in pieces if p]).difference(self.kept))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.kept.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(part, add_special_tokens=False))))
+        for kept in (self.kept, self.words):
+            if len(kept) > KEPT:
+                kept.clear()
+        new = set().union(*[p for p in pieces if p]).difference(self.kept)
+        self.kept.update((p, self._piece(p)) for p in new)
         get = self.kept.__getitem__
         whole = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
         return [whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
@@ -166,8 +180,8 @@ _loaded: dict[str, Tokens] = {}
 
 
 class _Tokenised:
-    def __init__(self, path: str, end: int) -> None:
-        self.path, self.end = path, end
+    def __init__(self, path: str, end: int, kind: str) -> None:
+        self.path, self.end, self.kind = path, end, kind
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -177,20 +191,26 @@ class _Tokenised:
         for batch in batches:
             for part in steps(batch, 1):
                 ids = tokens.encode([t.as_py() or "" for t in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"])
+                narrow = [np.frombuffer(x + end, "<u4").astype(self.kind).tobytes() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(narrow, pa.binary())], ["doc_id", "ids"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Count:
     """Partial counts of ids, one row an id for each task."""
-    total = np.zeros(0, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            found = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
-            if len(found) > len(total):
-                total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-            total[: len(found)] += found
-    ids = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["id", "n"])
+
+    def __init__(self, kind: str) -> None:
+        self.kind = kind
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                found = np.bincount(np.frombuffer(x.as_buffer(), self.kind))
+                if len(found) > len(total):
+                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
+                total[: len(found)] += found
+        ids = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["id", "n"])
 
 
 _BLOCKS = "part int, row long, doc_ids array<long>, lengths array<long>, n long, lanes int, crc long, states binary, marks binary, words binary"
@@ -199,8 +219,8 @@ _BLOCKS = "part int, row long, doc_ids array<long>, lengths array<long>, n long,
 class _Blocks:
     """Sorted documents of a part to blocks; holds one block's ids at a time."""
 
-    def __init__(self, table: dict[int, int]) -> None:
-        self.table = table
+    def __init__(self, table: dict[int, int], kind: str) -> None:
+        self.table, self.kind = table, kind
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(self.table)
@@ -216,7 +236,7 @@ class _Blocks:
             for p, doc, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 part = p
                 docs.append(doc)
-                held.append(np.frombuffer(x.as_buffer(), "<u4"))
+                held.append(np.frombuffer(x.as_buffer(), self.kind))
                 size += len(held[-1])
                 if size >= BLOCK:
                     yield block()
@@ -247,16 +267,17 @@ def write(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", tex
     """Tokenise docs, append the id end to each, and write the tables; returns their folder."""
     spark = docs.sparkSession
     path = path or new_path(spark, "rans")
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_Tokenised(tokenizer, end), "doc_id long, ids binary")
+    kind = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_Tokenised(tokenizer, end, kind), "doc_id long, ids binary")
     staged = materialize(found, "rans-ids")
-    counted = staged.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = staged.select("ids").mapInArrow(_Count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     counts = {r["id"]: r["n"] for r in counted.collect()}
     table = frequencies(counts)
     spark.createDataFrame(sorted(table.items()), "id long, frequency long").coalesce(1).write.parquet(f"{path}/freq")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(counts.values()) // PART))
     order = ["doc_id", "tie"]
     ranged = staged.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    ranged.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(_Blocks(table), _BLOCKS).write.parquet(f"{path}/blocks")
+    ranged.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(_Blocks(table, kind), _BLOCKS).write.parquet(f"{path}/blocks")
     return path
 
 

@@ -4,11 +4,15 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from cartolake.llm import rans
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+TOKENS = rans.Tokens(PATH)
+LIBRARY = Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("n", [1, 2, 1023, 1024, 1025, 300_000])
@@ -36,6 +40,12 @@ def test_frequencies():
         rans.frequencies({1: 1, 2: 1, 3: 1}, 1)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(max_size=30), max_size=4))
+def test_any_text(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in TOKENS.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_files_equal_the_library(spark, monkeypatch):
     monkeypatch.setattr(rans, "BLOCK", 500)
     rng = random.Random(4)
