@@ -8,47 +8,70 @@ Aggregation by host is partial before its shuffle, so a host with a third of all
 host; they return to the documents by an equi-join on the host, and only the rejected hosts take part in it.
 
 Defined results: a null text has no words; a null host is a host of its own; repeated rows count as often as they occur; an empty table
-gives no rows. Columns of the input other than text and host pass through; names of the measures are refused.
+gives no rows. Columns of the input other than the text pass through; names of the measures are refused.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, WORD
+from .shared import SPACES, materialize
 
 #: The fixed rules' limits, of the base and of the method.
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: A host is rejected if its shrunk rate of failing documents is at least this high.
 BAD_HOST = 0.9
+MOST_STRENGTH = 1e6
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _covered(starts: Column) -> Column:
+    """Words covered by windows at these starts, in ascending order: each covers three words, up to the next start."""
+    step = lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["p"])).alias("n"), i.alias("p"))
+    return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-9).alias("p")), step)["n"]
+
+
+def _starts_by_words(words: Column, n: Column) -> Column:
+    """Starts of repeated windows, by sorting the windows themselves."""
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.slice(words, i + 1, F.lit(3)).alias("w"), i.alias("i"))))
+    same = lambda w, k, j: F.coalesce(F.get(w, j)["w"] == F.get(w, k)["w"], F.lit(False))
+    return _once(windows, lambda w: F.transform(F.filter(F.sequence(F.lit(0), n - 3), lambda k: same(w, k, k - 1) | same(w, k, k + 1)), lambda k: F.get(w, k)["i"]))
+
+
+_PLACE = 20  # bits for a window's place
+
+
 def _repeated(words: Column) -> Column:
     """Words covered by 3-word windows that occur twice or more, given an array of words.
 
-    Windows are sorted by a 64-bit hash, so that equal ones are neighbours; starts of repeated windows are then sorted, and each covers
-    its three words up to the next start. Equal windows have equal hashes; that different windows of one text collide is a matter of
-    under one text in a billion even at ten thousand words.
+    A window's hash and place are one long, so that sorting longs brings equal windows together. Neighbours with equal hashes are
+    compared word by word; a text in which two of them differ, or one too long for its places, is done by sorting the windows themselves.
     """
-    at = F.sequence(F.lit(1), F.size(words) - 2)
-    windows = F.sort_array(F.transform(at, lambda i: F.struct(F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).alias("h"), i.alias("i"))))
+    mask = (1 << _PLACE) - 1
+    hashed = lambda w, i: F.shiftleft(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)), _PLACE).bitwiseOR(i.cast("long"))
+    n = F.size(words)
+    packed = F.sort_array(F.slice(F.transform(words, hashed), F.lit(1), n - 2))
 
-    def starts(w: Column) -> Column:
-        last = F.size(w) - 1
-        same = lambda k, j: F.coalesce(F.get(w, j)["h"] == F.get(w, k)["h"], F.lit(False))
-        kept = F.filter(F.sequence(F.lit(0), last), lambda k: same(k, k - 1) | same(k, k + 1))
-        return F.sort_array(F.transform(kept, lambda k: F.get(w, k)["i"]))
+    def from_pairs(pairs: Column) -> Column:
+        differ = lambda p: F.slice(words, p["a"] + 1, F.lit(3)) != F.slice(words, p["b"] + 1, F.lit(3))
+        starts = F.when(F.exists(pairs, differ), _starts_by_words(words, n)).otherwise(F.concat(pairs["a"], pairs["b"]))
+        return F.when(F.size(pairs) == 0, 0).otherwise(_covered(F.sort_array(F.array_distinct(starts))))
 
-    def covered(s: Column) -> Column:
-        return F.aggregate(
-            s, F.struct(F.lit(0).alias("n"), F.lit(-9).alias("p")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["p"])).alias("n"), i.alias("p"))
-        )["n"]
+    def from_packed(s: Column) -> Column:
+        met = F.filter(F.sequence(F.lit(1), n - 3), lambda k: F.shiftrightunsigned(F.get(s, k).bitwiseXOR(F.get(s, k - 1)), _PLACE) == 0)
+        place = lambda k: F.get(s, k).bitwiseAND(F.lit(mask)).cast("int")
+        return _once(F.transform(met, lambda k: F.struct(place(k - 1).alias("a"), place(k).alias("b"))), from_pairs)
 
-    # nested one-element transforms bind a value once
-    bound = F.transform(F.array(windows), lambda w: F.transform(F.array(starts(w)), covered)[0])[0]
-    return F.when(F.size(words) >= 3, bound).otherwise(0).cast("long")
+    found = F.when(n <= mask, _once(packed, from_packed)).otherwise(_covered(F.sort_array(_starts_by_words(words, n))))
+    return F.when(n >= 4, found).otherwise(0).cast("long")
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -56,15 +79,15 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     if taken := {*MEASURES, "_words"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"rename the columns {sorted(taken)} first")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    words = F.array_remove(F.split(text, f"[{SPACES}]"), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
     split = docs.withColumn("_words", words)
     distinct = F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
-    symbols = F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))
+    symbols = F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))
     found = split.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
             "n_symbols": symbols.cast("long"),
             "n_dup_lines": distinct.cast("long"),
             "n_repeat_words": _repeated(F.col("_words")),
@@ -78,22 +101,28 @@ def host_rates(measured: DataFrame, host_col: str = "source", failed_col: str =
     """For every host: n, failed, and rate, its share of failing documents shrunk by the empirical beta prior.
 
     With m and v the mean and variance of hosts' shares and e the share of v that sampling alone explains, the prior's strength is
-    m (1 - m) / (v - e) - 1, held between 1 and 10^6; where hosts differ no more than chance has them, the strength is the upper bound.
+    m (1 - m) / (v - e) - 1, held between 1 and MOST_STRENGTH; where hosts differ no more than chance has them, it is the latter.
+    The six sums that this takes go to the driver.
     """
     hosts = measured.groupBy(F.col(host_col).alias("host")).agg(F.count("*").alias("n"), F.sum(F.col(failed_col).cast("long")).alias("failed"))
     share = F.col("failed") / F.col("n")
     totals = hosts.agg(F.sum("failed").alias("f"), F.sum("n").alias("t"), F.count("*").alias("k"), F.sum(1 / F.col("n")).alias("inv"), F.sum(share).alias("s1"), F.sum(share * share).alias("s2"))
-    m = F.col("f") / F.col("t")
-    spread = F.col("s2") / F.col("k") - 2 * m * F.col("s1") / F.col("k") + m * m
-    chance = m * (1 - m) * F.col("inv") / F.col("k")
-    strength = F.when(spread > chance, F.greatest(F.lit(1.0), F.least(F.lit(1e6), (m * (1 - m) - spread) / (spread - chance)))).otherwise(F.lit(1e6))
-    prior = totals.select(m.alias("m"), strength.alias("strength"))  # one row
-    return hosts.join(F.broadcast(prior)).select("host", "n", "failed", ((F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate"))
+    t = totals.first()
+    m, strength = 0.0, MOST_STRENGTH
+    if t["t"]:
+        m = t["f"] / t["t"]
+        spread, chance = t["s2"] / t["k"] - 2 * m * t["s1"] / t["k"] + m * m, m * (1 - m) * t["inv"] / t["k"]
+        if spread > chance:
+            strength = max(1.0, min(MOST_STRENGTH, (m * (1 - m) - spread) / (spread - chance)))
+    return hosts.select("host", "n", "failed", ((F.col("failed") + m * strength) / (F.col("n") + strength)).alias("rate"))
 
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs with the measures, host_rejected and kept: false where the base rules failed or the host is rejected."""
-    measured = measure(docs, text_col)
+    """docs without the text, with the measures, host_rejected and kept: false where the base rules failed or the host is rejected.
+
+    The measures are written once, as both the hosts' counts and the documents' verdicts need them.
+    """
+    measured = materialize(measure(docs, text_col).drop(text_col), "host-measures")
     bad = host_rates(measured, host_col).where(F.col("rate") >= BAD_HOST).select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
     joined = measured.join(bad, F.col(host_col).eqNullSafe(F.col("_host")), "left")
     rejected = F.coalesce(F.col("_bad"), F.lit(False))

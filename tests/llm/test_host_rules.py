@@ -28,6 +28,17 @@ def test_measures_match_brute_force(spark):
     assert all(r.kind == "kept" for r in got)
 
 
+def test_windows_whose_hashes_meet_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(host_rules, "_PLACE", 60)  # four bits of hash are left, and places up to 2^60
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (4, 10, 40, 90) for _ in range(10)]
+    got = host_rules.measure(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [r.n_repeat_words for r in got] == [brute(t)[4] for t in texts]
+    monkeypatch.setattr(host_rules, "_PLACE", 5)
+    got = host_rules.measure(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [r.n_repeat_words for r in got] == [brute(t)[4] for t in texts]
+
+
 def test_bad_hosts_go_and_small_hosts_are_shrunk(spark):
     good, bad = " ".join(f"w{i}" for i in range(80)), "too few words"
     rows = [(f"h{k}", bad if i % 10 == 0 else good) for k in range(20) for i in range(40)]
