@@ -74,3 +74,37 @@ def test_empty_nulls_and_one_of_each_group(spark):
     rows = [(1, "a b c d", "x", 1), (1, "a b c d", "y", 2), (2, "a b c d", "z", 3), (None, "a b c d", "u", 4), (None, "only null ids here", "v", 5), (None, "only null ids here", "w", 6), (7, None, None, None)]
     kept = simhash.keep_one(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept if r.text) == [(0, "only null ids here"), (1, "a b c d")] and len(kept) == 3
+
+
+def test_stage_removes_near_copies(spark):
+    """The stage of the pipeline against all pairs of five-word similarity 0.8 or more, with keys of few and of many texts."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(20):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([3, 60, 200, 400]))]
+        rows.append((10 * i, " ".join(base)))
+        for k in range(1, 6):
+            near = base[:]
+            for _ in range(rng.randrange(4)):
+                near[rng.randrange(len(near))] = f"n{rng.randrange(5000)}"
+            rows.append((10 * i + k, " ".join(near).upper()))
+    rows += [(900, None), (901, "")]
+
+    def grams(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, contract = {i: grams(t) for i, t in rows}, {i: c for i, _, c in brute(rows)}
+    root = dict(contract)
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * max(1, len(sets[a] | sets[b])):
+                x, y = root[a], root[b]
+                root = {i: min(x, y) if r in (x, y) else r for i, r in root.items()}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == sorted(set(root.values())) and len(got) < len(set(contract.values()))
+    nameless = docs.selectExpr("cast(null as long) AS doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.near_dedup(spark, nameless, "").count() == len(got)
