@@ -74,3 +74,14 @@ def test_empty(spark):
     assert pii.redact(spark.createDataFrame([(1, None, None)], SCHEMA)).first().text is None
     with pytest.raises(ValueError):
         pii.detect(spark.createDataFrame([], "text string, Spans int"))
+
+
+def test_addresses_with_zero_parts(spark):
+    made = ["10.0.0.1", "x 127.0.0.1, 192.168.0.7", "0.0.0.0 00.0.000.1", "010.00.0255.9 256.0.0.1 0256.0.0.1", "1.0.0.1000 0.0.0", "0" * 4_000 + "1.0.0.1", "0.0.0." + "0" * 4_000]
+    rng = random.Random(10)
+    made += [" ".join(".".join(rng.choice(["0", "00", "000", "07", "0255", "256", "90", "1"]) for _ in range(4)) for _ in range(8)) for _ in range(100)]
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(made)], SCHEMA)
+    for r in pii.detect(df, scores={}).collect():
+        assert [tuple(s) for s in r.base_spans] == brute(r.text), r.text[:100]
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == "<IP>" and clean[1] == "x <IP>, <IP>"
