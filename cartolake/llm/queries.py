@@ -67,9 +67,13 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    found = langid.classify(docs, langid.fit(docs), declared=langid.declared_in("text"))
-    return found.select(F.col("id").alias("doc_id"), "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "kept")
+    """Documents and pages, each with its own hosts; the texts of labelled documents are the model's."""
+    docs, pages = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = langid.fit(docs)
+    plain = langid.classify(docs, model, declared=langid.declared_in("text")).select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), "lang", "confidence", "text_lang", "kept")
+    marked = langid.classify(langid.page_evidence(pages), model, "page_id", host_col="host", suffix=F.col("suffix"), declared=F.col("declared"))
+    found = plain.unionByName(marked.withColumnRenamed("id", "page_id").withColumn("doc_id", F.lit(None).cast("long")))
+    return found.select("doc_id", "page_id", "lang", F.round("confidence", 6).alias("confidence"), "text_lang", "kept")
 
 
 def op10_rans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -63,3 +64,48 @@ def test_pages(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert langid.classify(df, langid.fit(df)).count() == 0 == langid.keep(df, langid.fit(df)).count()
+
+
+def test_query_fuses_all_evidence_of_pages(spark):
+    """Every page of the query against the method's steps in plain Python."""
+    import numpy as np
+
+    from cartolake.llm.queries import op9_langid
+
+    sf = "/root/testdata/sf0.001"
+    docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet").collect()
+    model = langid.fit(docs)
+    size = len(model.languages)
+
+    def softmax(x):
+        e = np.exp(x - x.max())
+        return e / e.sum()
+
+    seen, by_host, by_suffix, whole = [], {}, {}, np.zeros(size)
+    for r in pages:
+        text = re.sub(r"<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", r.html))
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", r.url)[1].lower()
+        said = re.search(r"(?i)<html[^>]*?\slang=[\"']?([a-z]{2})", r.html)
+        n, logs = model.likelihoods(text)
+        belief = softmax(langid.TEMPER * logs)
+        suffix = host.rsplit(".", 1)[-1] if "." in host else ""
+        seen.append((r.page_id, host, suffix, said and said[1].lower(), n, logs, belief))
+        if n:
+            by_host[host] = by_host.get(host, 0) + belief
+            by_suffix[suffix] = by_suffix.get(suffix, 0) + belief
+            whole += belief
+    known = [(x[3], model.languages[int(x[6].argmax())]) for x in seen if x[4] and x[3] in model.languages]
+    trust = min(0.999, (sum(a == b for a, b in known) + 9) / (len(known) + 10))
+    base = (whole + 1) / (whole.sum() + size)
+    smoothed = lambda own, up: (np.maximum(own, 0) + langid.STRENGTH * up) / (own.sum() + langid.STRENGTH)
+    want = {}
+    for i, host, suffix, said, n, logs, belief in seen:
+        prior = smoothed(by_host[host] - belief, np.array((by_suffix[suffix] + langid.STRENGTH * base) / (by_suffix[suffix].sum() + langid.STRENGTH)))
+        heard = np.array([0.0 if said not in model.languages else np.log(trust if x == said else (1 - trust) / (size - 1)) for x in model.languages])
+        posterior = softmax(langid.TEMPER * logs + np.log(prior) + heard)
+        at = int(posterior.argmax())
+        want[i] = (model.languages[at], round(float(posterior[at]), 4), bool(posterior[at] >= langid.ACCEPT and logs[at] > langid.FOREIGN * n))
+    rows = op9_langid(spark, sf).collect()
+    got = {r.page_id: (r.lang, round(r.confidence, 4), r.kept) for r in rows if r.page_id is not None}
+    assert len(got) == len(pages) and all(got[i][::2] == w[::2] and abs(got[i][1] - w[1]) < 2e-4 for i, w in want.items())
+    assert sorted(r.doc_id for r in rows if r.page_id is None) == sorted(r.doc_id for r in docs.collect()) and len(known) > 0
