@@ -34,6 +34,8 @@ STEP = 8192
 
 #: Fixed lists of HTML: elements whose text isn't text, elements that break text into blocks, and elements without content.
 _RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "textarea", "select", "title"}
+#: Those of them whose content holds no tags but the end tag.
+_PLAIN = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in ("script", "style", "textarea", "title", "iframe")}
 _BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option button label".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the same kind ends.
@@ -81,12 +83,20 @@ def blocks(page: str) -> list[tuple[str, list[tuple[str, str]], int]]:
                 linked += len(piece)
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    endless: set[str] = set()  # without an end tag in the rest of the page
+    while m := _TOKEN.search(page, at):
         text(page[at : m.start()])
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             continue
+        if name in _PLAIN and not m["close"] and not m["attrs"].endswith("/") and name not in endless:
+            if end := _PLAIN[name].search(page, at):
+                if not skip:
+                    cut()
+                at = end.end()
+                continue
+            endless.add(name)
         if skip:
             if m["close"] and name == skip:
                 skip = ""

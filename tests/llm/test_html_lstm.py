@@ -54,3 +54,15 @@ def test_held_out_pages_and_operator(spark):
     assert html_lstm.extract(spark.createDataFrame([], "html string")).count() == 0
     with pytest.raises(ValueError):
         html_lstm.extract(spark.createDataFrame([], "html string, TEXT string"))
+
+
+def test_raw_elements_end_at_their_own_tag():
+    article = "<article><p>The whole article.</p></article>"
+    found = lambda page: [b[0] for b in html_lstm.blocks(page)]
+    for raw in (
+        "<script>for(var i=0;i<n;i++)go();</script>", "<script>if(a<b){s='it\\'s \"';}</SCRIPT >", "<script>x<!--y\n</script>", "<script>if (a<b && c>d) t='<p>';</script\n>", "<style>a:before{content:'<b'}</style>",
+        "<title>a <b 'c</title>", "<textarea><p \"</textarea>", "<script>'</scripts>' + i<n</script>", "<head><title>t<t</title><script>i<n;'</script></head>", "<svg><style>a<b{'}</style></svg>", "<script></script>",
+    ):
+        assert found(f"<body>{raw}{article}") == ["The whole article."], raw
+        assert found(f"<p>before{raw}after</p>{article}") == ["before", "after", "The whole article."], raw
+    assert found("<p>a<script src=x>no end " + article) == ["a"] and found("<script>i<n" * 3000) == []
