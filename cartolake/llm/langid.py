@@ -178,7 +178,12 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of docs that aren't rejected, all columns as they were. Rows with a null id are judged by their text alone."""
-    judged = classify(docs, model, id_col, text_col, host_col, declared=declared_in(text_col))
-    out = judged.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("kept").alias("ok")).where(~F.col("ok")).select(F.col("id").alias("_rejected"))
-    return docs.join(out, F.col(id_col).cast("long") == F.col("_rejected"), "left_anti").where(F.col(id_col).isNotNull() | F.rlike(F.col(text_col), F.lit(r"\p{L}")))
+    """The rows of docs that aren't rejected, all columns as they were.
+
+    A verdict depends on a row's text and host alone and comes back to it by them, so that null and repeated ids don't matter.
+    """
+    host = F.col(host_col)
+    row = F.xxhash64(F.coalesce(text_col, F.lit("")), host.isNull(), F.coalesce(host, F.lit("")))
+    named = docs.select(row.alias("_row"), F.col(text_col).alias("text"), host.alias("host"))
+    rejected = classify(named, model, "_row", "text", "host", declared=declared_in("text")).where(~F.col("kept")).select(F.col("id").alias("_rejected")).distinct()
+    return docs.join(rejected, row == F.col("_rejected"), "left_anti")

@@ -109,3 +109,12 @@ def test_query_fuses_all_evidence_of_pages(spark):
     got = {r.page_id: (r.lang, round(r.confidence, 4), r.kept) for r in rows if r.page_id is not None}
     assert len(got) == len(pages) and all(got[i][::2] == w[::2] and abs(got[i][1] - w[1]) < 2e-4 for i, w in want.items())
     assert sorted(r.doc_id for r in rows if r.page_id is None) == sorted(r.doc_id for r in docs.collect()) and len(known) > 0
+
+
+def test_keep_judges_rows_and_not_ids(spark):
+    foreign = "жжя щюы ъэё фыва олдж " * 5
+    odd = [(None, foreign, None, "x", 1), (None, "the of and that with this", None, "x", 2), (None, "12 34", None, None, 3), (1, foreign, None, "x", 4), (1, "12 34", None, None, 5), (None, None, None, None, 6), (None, foreign, None, None, 7)]
+    df = spark.createDataFrame([r[:4] + (0,) for r in rows()] + odd, SCHEMA)
+    kept = langid.keep(df, langid.fit(df))
+    assert kept.columns == df.columns and kept.where("id = 0").count() == len(rows())
+    assert [r.id for r in kept.where("id > 0").collect()] == [2]
