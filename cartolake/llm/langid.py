@@ -1,14 +1,14 @@
 """Language identification by Bayesian evidence fusion.
 
 A text's likelihood under each language comes from character trigrams, hashed into BUCKETS, whose frequencies are fitted to a bounded sample of
-labelled rows. A host's prior is what its other rows' texts say, smoothed towards its address suffix's, and that towards the whole
+each language's labelled rows. A host's prior is what its other rows' texts say, smoothed towards its address suffix's, and that towards the whole
 table's; these are grouped sums. Where a row declares a language in its markup, that is another observation, as reliable as declarations
 prove to be over the whole table. The posterior combines the three. A row is rejected if its text fits no language,
 being FOREIGN or less a trigram against even ones, or if no language has a posterior of ACCEPT.
 
 Sums by host are partial before their shuffle. Hosts come back to their rows, which are a few numbers each by then, by an equi-join that AQE
 splits if one host has a third of them. What goes to the driver is the model's counts, BUCKETS numbers a language, for the LANGUAGES most
-frequent of the sample at most.
+frequent of the whole table at most.
 
 Defined results: a null text, or one without letters, has no trigrams and is rejected with the language null; a null host is a host of its
 own; repeated rows repeat their result; an empty table gives no rows. Columns other than those named aren't read by classify(); keep() passes
@@ -23,12 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
 
-BUCKETS, SAMPLE, LANGUAGES, SMOOTHING = 1 << 14, 8000, 64, 0.3
+#: SAMPLE is in rows of each language.
+BUCKETS, SAMPLE, LANGUAGES, SMOOTHING = 1 << 14, 2000, 64, 0.3
 #: Trigrams of a text overlap and repeat; each counts for this much of an independent observation.
 TEMPER = 0.25
 #: Rows that a parent's prior is worth, and the least posterior of a language.
@@ -79,14 +80,23 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """The text model of the sample rows with a label whose hashed id is smallest, rows held out (crc32 of the id modulo 4 being 2) excepted."""
+    """The text model of each language's sample rows with the smallest hashed ids, rows held out (crc32 of the id modulo 4 being 2) excepted.
+
+    All labelled rows are counted by language; the LANGUAGES most frequent are the model's.
+    """
     key = F.col(id_col).cast("string")
-    labelled = docs.where(F.col(lang_col).isNotNull() & key.isNotNull() & (F.crc32(key) % 4 != 2))
-    chosen = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).orderBy(F.xxhash64("_id"), "_id", "_lang").limit(sample).distinct()
-    chosen = materialize(chosen, "langid-sample")
-    common = [r["_lang"] for r in chosen.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()]
-    texts = docs.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("text")).join(F.broadcast(chosen), (F.col("_i") == F.col("_id")) & (F.col("_l") == F.col("_lang")))  # sample rows at most
-    counted = texts.where(F.col("_lang").isin(common)).select("_lang", "text").mapInArrow(_counted, "lang string, bucket long, n long")
+    labelled = docs.where(F.col(lang_col).isNotNull() & key.isNotNull() & (F.crc32(key) % 4 != 2)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    counted = labelled.groupBy("_lang").agg(F.count("*").alias("n"), F.approx_count_distinct("_id").alias("ids")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()
+    if not counted:
+        return Model([], np.zeros((0, BUCKETS)))
+    common = [r["_lang"] for r in counted]
+    # Somewhat more ids than the sample has, of which the first are taken: no language's rows are sorted as a whole.
+    bounds = F.create_map(*[F.lit(x) for r in counted for x in (r["_lang"], (1.25 * sample + 100) / max(1, r["ids"]))])
+    near = labelled.where(F.xxhash64("_id") / float(1 << 64) + 0.5 <= F.element_at(bounds, F.col("_lang"))).distinct()
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
+    chosen = materialize(near.withColumn("_place", place).where(F.col("_place") <= sample).drop("_place"), "langid-sample")
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("text")).join(F.broadcast(chosen), (F.col("_i") == F.col("_id")) & (F.col("_l") == F.col("_lang")))  # sample rows of each language at most
+    counted = texts.select("_lang", "text").mapInArrow(_counted, "lang string, bucket long, n long")
     languages = sorted(common)
     counts = np.zeros((len(languages), BUCKETS))
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():

@@ -118,3 +118,14 @@ def test_keep_judges_rows_and_not_ids(spark):
     kept = langid.keep(df, langid.fit(df))
     assert kept.columns == df.columns and kept.where("id = 0").count() == len(rows())
     assert [r.id for r in kept.where("id > 0").collect()] == [2]
+
+
+def test_rare_languages_are_learnt_from_large_tables(spark):
+    rare = [(10**6 + i, "жжя щюы ъэё фыва олдж " * 5, "ru", "x", 1) for i in range(12)]
+    many = spark.range(40_000).selectExpr("id AS doc_id", "'the of and that with this' AS text", "'en' AS lang", "'x' AS source", "0 AS id")
+    df = many.unionByName(spark.createDataFrame(rare, SCHEMA))
+    model = langid.fit(df)
+    assert model.languages == ["en", "ru"]
+    got = langid.classify(df.where("doc_id >= 1000000"), model).collect()
+    assert len(got) == 12 and all(r.lang == "ru" and r.kept for r in got)
+    assert langid.fit(df, sample=5).languages == ["en", "ru"]
