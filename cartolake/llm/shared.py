@@ -43,20 +43,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return written
 
 
-def discard(written: DataFrame) -> None:
-    """Remove the table of materialize() that nothing reads any more."""
-    spark = written.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(written.shared_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def extra_columns(df: DataFrame, used: list[str]) -> list[str]:
-    """The columns of df that an operator only passes on; refuses names that differ from a used one by case alone."""
-    return [c for c in df.columns if c not in used]
-
-
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def discard(*written: DataFrame) -> None:
+    """Remove tables of materialize() that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def refuse(df: DataFrame, names: set[str] | list[str]) -> None:
+    """Raise ValueError if df has a column of one of these names in any case: an operator's own columns would clash with it."""
+    if taken := sorted({n.lower() for n in names} & {c.lower() for c in df.columns}):
+        raise ValueError(f"rename the columns {taken} first")
 
 
 def n_words(text: Column) -> Column:

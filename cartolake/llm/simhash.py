@@ -8,14 +8,16 @@ A key with more than COLD fingerprints isn't joined with itself. There, each fin
 bit outside the key gives. Two fingerprints meet under some value exactly if they differ in at most two bits, and a value has at
 most one fingerprint for each bit, so this stays linear in the fingerprints and loses no link.
 
-Defined results: a null text is empty; a text without words has fingerprint zero and is linked like any other; repeated rows all
-come back; a null id never is a component's id unless the component has none but null ids; an empty table gives no rows. Other columns
-of the input are not read.
+Defined results: a null text is empty; a text without words has fingerprint zero and is linked like any other; a very long text is read in
+pieces of bounded memory; repeated rows all come back; a null id never is a component's id unless the component has none but null ids; an
+empty table gives no rows. Other columns of the input are not read by components(); keep_one() passes all through and refuses its own names.
 
 keep_one() can also link texts by their word shingles' Jaccard similarity. Distinct texts meet under BANDS keys of ROWS smallest hashes each,
 which misses a pair of similarity 0.8 with a chance of 3 in 100,000, and every pair that meets is verified by the whole sets of shingles.
-Under a key of more than COLD texts each text is held against one only, another for each key, so that this stays linear; there a pair is
-also linked by way of others, or under another key.
+A key of more than COLD texts isn't joined with itself. There, each text is held against one of the key's texts, another for each key, and
+keys of the same text that are both so large are joined to finer ones of twice the hashes, each with the next REACH; under those all pairs meet
+if there are no more than COLD texts, else again each text is held against one. If all keys of a pair are so large, the finer ones miss it with
+a chance of 6 in 1,000 at similarity 0.8; a miss only counts where the pair isn't linked by way of others.
 """
 
 from __future__ import annotations
@@ -29,12 +31,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, materialize
+from .shared import connected_components, discard, materialize, refuse
 
 SEED, SHINGLE, DISTANCE, BLOCKS, COLD = 42, 3, 2, 4, 64
 _CHUNK = 1 << 15
-#: Of the similarity of texts: shingle, keys of a text and smallest hashes in each.
-NEAR_SHINGLE, BANDS, ROWS = 5, 20, 4
+#: Of the similarity of texts: shingle, keys of a text and smallest hashes in each; following keys that a large key is joined with.
+NEAR_SHINGLE, BANDS, ROWS, REACH = 5, 20, 4, 3
 _TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _TIMES = _TIMES << np.uint64(1) | np.uint64(1)
 
@@ -55,15 +57,31 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big", signed=True)
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), found], ["id", "fp"])
+class _Signed:
+    """id, copy and text to id, copy, fp and, if near, the text's bands."""
 
+    def __init__(self, near: bool) -> None:
+        self.near = near
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp) for every row."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rest = ["id", "copy", "fp", "bands"], pa.list_(pa.int64())
+        for batch in batches:
+            texts = batch.column(2)
+            fps = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
+            own = [pa.array([bands(t.as_py()) for t in texts], rest)] if self.near else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], fps, *own], names[: 3 + self.near])
+
+
+def copy_of(text_col: str) -> Column:
+    """What tells texts apart: 128 bits of them. A null is an empty text."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: bool = False, copies: bool = True) -> DataFrame:
+    """(id, copy, fp) for every row, and bands if near; copy is null unless copies."""
+    copy = copy_of(text_col) if copies else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), copy.alias("copy"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_Signed(near), "id long, copy string, fp long" + ", bands array<long>" * near)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,11 +122,6 @@ def similarity(a: str | None, b: str | None) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64()), pa.array([bands(t.as_py()) for t in batch.column(1)], pa.list_(pa.int64()))], ["copy", "fp", "bands"])
-
-
 class _Similar:
     def __init__(self, least: float) -> None:
         self.least = least
@@ -118,22 +131,36 @@ class _Similar:
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["u", "v"]).filter(pa.array([similarity(x.as_py(), y.as_py()) >= self.least for x, y in zip(b.column(2), b.column(3))], pa.bool_()))
 
 
-def similar_links(docs: DataFrame, least: float, text_col: str = "text") -> DataFrame:
-    """Links (u, v) between the fingerprints of texts whose similarity is least or more."""
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
-    banded = materialize(texts.dropDuplicates(["copy"]).mapInArrow(_banded, "copy long, fp long, bands array<long>"), "similar-rows")
-    keyed = banded.select("copy", "fp", F.posexplode("bands").alias("t", "key"))
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min_by("copy", F.xxhash64("copy", "t")).alias("centre")).where("n > 1")
+def similar_links(rows: DataFrame, docs: DataFrame, least: float, text_col: str = "text") -> DataFrame:
+    """Links (u, v) between the fingerprints of texts whose similarity is least or more; rows are signed(docs, near=True), written."""
+    distinct = rows.where("bands IS NOT NULL").groupBy("copy", "fp").agg(F.first("bands").alias("bands"))
+    keyed = distinct.select("copy", "fp", F.posexplode("bands").alias("t", "key"))
+    own = F.struct("copy", "fp")
+    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min_by(own, F.xxhash64("copy", "t")).alias("centre")).where("n > 1")
     members = materialize(keyed.join(shared, ["t", "key"]), "similar-members")
-    cold, hot = members.where(F.col("n") <= COLD), members.where(F.col("n") > COLD)
-    pairs = cold.alias("a").join(cold.alias("b"), (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.copy") > F.col("b.copy")) & (F.col("a.fp") != F.col("b.fp")))
-    pairs = pairs.select(F.col("a.copy").alias("x"), F.col("b.copy").alias("y"))
-    stars = hot.where("copy <> centre").select(F.greatest("copy", "centre").alias("x"), F.least("copy", "centre").alias("y"))
-    pairs = materialize(pairs.unionByName(stars).distinct(), "similar-pairs")
+
+    def met(of: DataFrame, keys: list[str]) -> DataFrame:
+        """All pairs under keys of few texts; each text with its key's centre under the others."""
+        cold = of.where(F.col("n") <= COLD).select(*keys, "copy", "fp")
+        other = cold.select(*keys, F.col("copy").alias("y"), F.col("fp").alias("v"))
+        pairs = cold.join(other, keys).where("copy > y AND fp <> v").select(F.col("copy").alias("x"), F.col("fp").alias("u"), "y", "v")
+        stars = of.where(F.col("n") > COLD).select(F.col("copy").alias("x"), F.col("fp").alias("u"), F.col("centre.copy").alias("y"), F.col("centre.fp").alias("v")).where("u <> v")
+        turned = lambda a, b: F.when(F.col("x") > F.col("y"), F.col(a)).otherwise(F.col(b))
+        return pairs.unionByName(stars.select(turned("x", "y").alias("x"), turned("u", "v").alias("u"), turned("y", "x").alias("y"), turned("v", "u").alias("v")))
+
+    large = members.where(F.col("n") > COLD).groupBy("copy", "fp").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("keys"))  # BANDS at most
+    joined = [F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), F.col("keys")[F.lit(t)].alias("a"), F.col("keys")[F.lit((t + k) % BANDS)].alias("b")) for t in range(BANDS) for k in range(1, REACH + 1)]
+    finer = large.select("copy", "fp", F.explode(F.array(*joined)).alias("j")).where("j.a IS NOT NULL AND j.b IS NOT NULL").select("copy", "fp", "j.*")
+    again = finer.groupBy("t", "k", "a", "b").agg(F.count("*").alias("n"), F.min_by(own, F.xxhash64("copy")).alias("centre")).where("n > 1")
+    pairs = met(members, ["t", "key"]).unionByName(met(finer.join(again, ["t", "k", "a", "b"]), ["t", "k", "a", "b"]))
+    pairs = materialize(pairs.distinct(), "similar-pairs")
     needed = pairs.select(F.explode(F.array("x", "y")).alias("copy")).distinct()
-    texts = materialize(texts.join(needed, "copy", "left_semi").dropDuplicates(["copy"]).join(banded.select("copy", "fp"), "copy"), "similar-texts")
-    x, y = texts.select(F.col("copy").alias("x"), F.col("fp").alias("u"), F.col("text").alias("a")), texts.select(F.col("copy").alias("y"), F.col("fp").alias("v"), F.col("text").alias("b"))
-    return pairs.join(x, "x").join(y, "y").where("u <> v").select("u", "v", "a", "b").mapInArrow(_Similar(least), "u long, v long")
+    texts = docs.where(F.col(text_col).isNotNull()).select(copy_of(text_col).alias("copy"), F.col(text_col).alias("text")).dropDuplicates(["copy"])
+    texts = materialize(texts.join(needed, "copy", "left_semi"), "similar-texts")
+    x, y = (texts.select(F.col("copy").alias(n), F.col("text").alias(t)) for n, t in (("x", "a"), ("y", "b")))
+    found = materialize(pairs.join(x, "x").join(y, "y").select("u", "v", "a", "b").mapInArrow(_Similar(least), "u long, v long"), "similar-links")
+    discard(members, pairs, texts)
+    return found
 
 
 def _part(fp: Column, block: int) -> Column:
@@ -169,18 +196,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(met.select("u", "v"))
 
 
+def _labelled(docs: DataFrame, id_col: str, text_col: str, similar: float | None, copies: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of signed(), and fp, first (the smallest id of its rows, or null) and root, the smallest fingerprint of its component."""
+    rows = materialize(signed(docs, id_col, text_col, similar is not None, copies), "simhash-rows")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
+    edges = links(distinct.select("fp"))
+    if similar is not None:
+        edges = edges.unionByName(similar_links(rows, docs, similar, text_col))
+    roots = connected_components(edges, "simhash-round").withColumnRenamed("u", "fp")
+    return rows, distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float | None = None) -> DataFrame:
     """For every row: id, fp (long), fingerprint (16 hex digits), component_id, the smallest id in reach over links, and root, its fp.
 
     With similar, texts of that similarity or more are linked too.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col), "simhash-rows")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
-    edges = links(distinct.select("fp"))
-    if similar is not None:
-        edges = edges.unionByName(similar_links(docs, similar, text_col))
-    roots = connected_components(edges, "simhash-round").withColumnRenamed("u", "fp")
-    rooted = distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rows, rooted = _labelled(docs, id_col, text_col, similar, similar is not None)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "simhash-labels")
     joined = rows.join(labels, "fp")
@@ -188,27 +220,17 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float | None = None) -> DataFrame:
-    """The rows of docs, one for each component, as components() finds them: that of its smallest id. Of repeated ids one row stays.
+    """The rows of docs, one for each component, as components() finds them: one of its smallest id.
 
-    Rows with a null id stand in for their component only if it has no other rows.
+    Rows with a null id stand in for their component only if it has no other rows. Of rows with the same id in one component, that of the
+    smallest digest of the text stays; rows alike in id and text are one. The same id in two components gives a row in each. Texts are dealt
+    out once, by id and digest, after rows alike in both have been merged; the verdict meets them there.
     """
-    found = components(docs, id_col, text_col, similar)
-    named = found.where("id = component_id").select(F.col("id").alias("_kept")).distinct()
-    kept = docs.join(named, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        return kept
-    alone = found.where("id is null and component_id is null").select("fp", "root").distinct()
-    roots = nameless.mapInArrow(_Tagged(docs.columns, text_col), nameless.selectExpr("*", "0L AS _fp").schema).join(alone.withColumnRenamed("fp", "_fp"), "_fp")
-    return kept.unionByName(roots.dropDuplicates(["root"]).select(*docs.columns))
-
-
-class _Tagged:
-    """Appends _fp to whole rows."""
-
-    def __init__(self, names: list[str], text_col: str) -> None:
-        self.at, self.names = names.index(text_col), [*names, "_fp"]
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([fingerprint(t.as_py()) for t in b.column(self.at)], pa.int64())], self.names)
+    refuse(docs, ["_nameless", "_id", "_copy"])
+    name = lambda i: [i.isNull().alias("_nameless"), F.coalesce(i, F.lit(0).cast("long")).alias("_id")]
+    rows, rooted = _labelled(docs, id_col, text_col, similar)
+    first = rows.groupBy("fp").agg(F.min(F.struct(*name(F.col("id")), F.col("copy").alias("_copy"))).alias("row"))
+    chosen = materialize(first.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("row").alias("row")).select("row.*"), "simhash-chosen")
+    keyed = docs.select("*", *name(F.col(id_col).cast("long")), copy_of(text_col).alias("_copy"))
+    keys = ["_nameless", "_id", "_copy"]
+    return keyed.dropDuplicates(keys).join(chosen, keys, "left_semi").drop(*keys)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 import xxhash
 
 from cartolake.llm import simhash
@@ -108,3 +109,38 @@ def test_stage_removes_near_copies(spark):
     assert got == sorted(set(root.values())) and len(got) < len(set(contract.values()))
     nameless = docs.selectExpr("cast(null as long) AS doc_id", "text", "lang", "source", "n_chars")
     assert corpus_pipeline.near_dedup(spark, nameless, "").count() == len(got)
+
+
+def test_repeated_ids_of_two_components_keep_both(spark):
+    texts = {"A": "all of this is one text here", "B": "quite another text stands in these rows", "C": "and a third one"}
+    rows = [(1, "A"), (5, "A"), (5, "B"), (7, "B"), (7, "C"), (7, "C"), (None, "C"), (None, "B")]
+    docs = spark.createDataFrame([(i, texts[t], t) for i, t in rows], "doc_id long, text string, id string")
+    assert sorted((r.doc_id, r.id) for r in simhash.keep_one(docs).collect()) == [(1, "A"), (5, "B"), (7, "C")]
+    for clash in ("_id", "_NAMELESS", "_copy"):
+        with pytest.raises(ValueError):
+            simhash.keep_one(spark.createDataFrame([], f"doc_id long, text string, {clash} int"))
+    assert simhash.components(docs.withColumnRenamed("id", "_copy")).count() == len(rows)
+
+
+def test_large_similarity_keys(spark, monkeypatch):
+    """Near copies under keys of more texts than are joined with themselves: chains in which no text is near all others."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(260)]
+    texts = []
+    for c in range(6):
+        own = [rng.choice(words) for _ in range(120)]
+        for _ in range(30):
+            own = own[:]
+            own[rng.randrange(120)] = rng.choice(words)
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {}
+    for cold in (10**9, 8):
+        monkeypatch.setattr(simhash, "COLD", cold)
+        found[cold] = {r.id: r.component_id for r in simhash.components(docs, similar=0.8).collect()}
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if simhash.similarity(texts[a], texts[b]) >= 0.8]
+    assert len(near) > 300
+    for label in found.values():
+        assert sum(label[a] == label[b] for a, b in near) >= 0.995 * len(near)
+    apart = {frozenset(i // 30 for i in found[10**9] if found[10**9][i] == c) for c in set(found[10**9].values())}
+    assert all(len(x) == 1 for x in apart)
