@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Words, as the contracts define them.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
+#: Rows of whole texts in an Arrow batch, where an operator sets it.
+TEXTS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +35,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With batch, Arrow batches hold at most so many rows while it is written, which bounds what a task has in memory beside its heap.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_BATCH)
+    if batch and not 0 < int(before) <= batch:
+        spark.conf.set(_BATCH, batch)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     written = spark.read.schema(df.schema).parquet(path)
     written.shared_path = path  # for discard()
     return written

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, discard, materialize, refuse
+from .shared import TEXTS, connected_components, discard, materialize, refuse
 
 SEED, SHINGLE, DISTANCE, BLOCKS, COLD = 42, 3, 2, 4, 64
 _CHUNK = 1 << 15
@@ -158,7 +158,7 @@ def similar_links(rows: DataFrame, docs: DataFrame, least: float, text_col: str
     texts = docs.where(F.col(text_col).isNotNull()).select(copy_of(text_col).alias("copy"), F.col(text_col).alias("text")).dropDuplicates(["copy"])
     texts = materialize(texts.join(needed, "copy", "left_semi"), "similar-texts")
     x, y = (texts.select(F.col("copy").alias(n), F.col("text").alias(t)) for n, t in (("x", "a"), ("y", "b")))
-    found = materialize(pairs.join(x, "x").join(y, "y").select("u", "v", "a", "b").mapInArrow(_Similar(least), "u long, v long"), "similar-links")
+    found = materialize(pairs.join(x, "x").join(y, "y").select("u", "v", "a", "b").mapInArrow(_Similar(least), "u long, v long"), "similar-links", TEXTS)
     discard(members, pairs, texts)
     return found
 
@@ -198,7 +198,7 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, similar: float | None, copies: bool = True) -> tuple[DataFrame, DataFrame]:
     """The rows of signed(), and fp, first (the smallest id of its rows, or null) and root, the smallest fingerprint of its component."""
-    rows = materialize(signed(docs, id_col, text_col, similar is not None, copies), "simhash-rows")
+    rows = materialize(signed(docs, id_col, text_col, similar is not None, copies), "simhash-rows", TEXTS)
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     edges = links(distinct.select("fp"))
     if similar is not None:
