@@ -6,10 +6,13 @@ instead of the scan, with the same result, so that one very long word doesn't co
 
 The operator reads a tokenizers file whose normalizer is made of NFC, whitespace replacement and lower-casing, whose pre-tokenizer splits by
 a pattern that never crosses white space, and whose model is BPE over the byte alphabet. It refuses other files. White-space separated
-pieces therefore encode independently of their neighbours, and each Python worker keeps pieces it has seen, up to CACHE of them.
+pieces therefore encode independently of their neighbours: a step's texts are cut and their distinct pieces found by Arrow's kernels, each
+distinct piece is encoded once, and the ids are gathered by numpy. Each Python worker keeps the pieces it has seen last, CACHE to twice as
+many. Characters beyond ASCII are normalised by the library's own normalizer, whose Unicode tables are not Python's.
 
-Defined results: a null or empty text has no ids and decodes to an empty text; all other columns pass through as they are, except
-that columns named as the operator's own outputs are refused.
+Defined results: a null or empty text has no ids and decodes to an empty text; very long texts are steps by themselves; repeated rows repeat
+their result; an empty table gives no rows; all other columns pass through as they are, except that columns named as the operator's own
+outputs are refused.
 """
 
 from __future__ import annotations
@@ -17,22 +20,22 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Regex
+from tokenizers import Regex, Tokenizer
 from tokenizers.pre_tokenizers import Split
 
+from .shared import refuse
+
 SHORT, CACHE, NONE = 128, 400_000, 1 << 60
-#: Most text handled at once, in characters; a longer text is a step by itself.
-STEP = 2_000_000
-#: str.split() splits at these, the file's patterns don't.
-_ODD = re.compile(r"[\x1c-\x1f]")
+#: Most text handled at once, in bytes; a longer text is a step by itself.
+STEP = 6_000_000
 
 
 def char_class(name: str) -> str:
@@ -42,6 +45,45 @@ def char_class(name: str) -> str:
     return "".join(f"\\U{points[a]:08x}-\\U{points[b - 1]:08x}" if points[b - 1] - points[a] == b - 1 - a else f"\\U{points[a]:08x}-\\ud7ff\\ue000-\\U{points[b - 1]:08x}" for _, (a, b) in runs)
 
 
+class Pieces:
+    """Ids of texts by the pieces that ASCII white space separates, for coders that never cross it.
+
+    make gets distinct pieces and gives each one's ids as 32-bit integers in a row. What it gave is kept by generations: when CACHE newer
+    pieces have come, those that haven't been asked for since are forgotten.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
+        self.make = make
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _found(self, distinct: list[str]) -> list[bytes]:
+        if len(self.new) > CACHE:
+            self.new, self.old = {}, self.new
+        found = list(map(self.new.get, distinct))
+        missing = [i for i, x in enumerate(found) if x is None]
+        names = [distinct[i] for i in missing]
+        known = list(map(self.old.get, names)) if self.old else [None] * len(names)
+        made = iter(self.make([n for n, x in zip(names, known) if x is None]))
+        for i, n, x in zip(missing, names, known):
+            found[i] = x = next(made) if x is None else x
+            if len(n) <= SHORT:
+                self.new[n] = x
+        return found
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text's begin, with the end; a null has none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int32)
+        whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        found = self._found(pc.binary_join(whole, "\n")[0].as_py().split("\n"))  # no piece has a line's end
+        ends = np.zeros(len(found) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, found), np.int32, len(found)) // 4, out=ends[1:])
+        taken = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32))).take(coded.indices)
+        return taken.values.to_numpy(), taken.offsets.to_numpy()[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+
 
 def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte: visible Latin-1 for itself, the others from U+0100 on in order."""
@@ -58,14 +100,13 @@ class Bpe:
         model = spec["model"]
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         split, level = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
-        if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or (split.get("type"), split.get("behavior"), split.get("invert")) != ("Split", "Removed", True) or level.get("type") != "ByteLevel" or level["add_prefix_space"] or level["use_regex"] or any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] for a in spec["added_tokens"]):
+        if model["type"] != "BPE" or steps != ["NFC", "Replace", "Lowercase"] or spec["decoder"] or (split.get("type"), split.get("behavior"), split.get("invert")) != ("Split", "Removed", True) or level.get("type") != "ByteLevel" or level["add_prefix_space"] or level["use_regex"] or any(a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] or a["content"].split() != [a["content"]] for a in spec["added_tokens"]):
             raise ValueError(f"{path}: a file of another make")
         classes = {name: char_class(name) for name in (r"\s", r"\p{L}", r"\p{N}")}
         pattern = split["pattern"]["Regex"]
         for name, ranges in classes.items():
             pattern = pattern.replace(name, ranges)
         self.word = re.compile(pattern)
-        self.space = re.compile(f"[{classes[r'\s']}]+")
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.tokens = {i: t for t, i in self.vocab.items()}
@@ -81,7 +122,8 @@ class Bpe:
         alphabet = byte_alphabet()
         self.inner = [self.vocab.get(c) for c in alphabet]
         self.last = [self.vocab.get(c + self.end) for c in alphabet]
-        self.pieces: dict[str, bytes] = {}
+        self.normal = Tokenizer.from_file(path).normalizer.normalize_str
+        self.pieces = Pieces(lambda new: list(map(self._piece, new)))
 
     def merge(self, parts: list[int]) -> list[int]:
         """The ids that a short word's symbols merge into, by the rank array."""
@@ -123,34 +165,26 @@ class Bpe:
                 heapq.heappush(heap, (r, before[i], parts[before[i]], parts[i]))
         return [p for p in parts if p >= 0]
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a piece without white space, as 32-bit integers in a row."""
+    def _plain(self, piece: str) -> list[int]:
+        """The ids of a piece without special tokens."""
         ids: list[int] = []
-        for word in self.word.findall(piece.replace("Σ", "σ").lower()):
+        for word in self.word.findall(piece.lower() if piece.isascii() else self.normal(piece)):
             data = word.encode("utf-8", "replace")
             parts = [p for p in [*(self.inner[b] for b in data[:-1]), self.last[data[-1]]] if p is not None]
             ids += self.merge(parts) if len(parts) <= SHORT else self.merge_long(parts)
-        found = np.array(ids, np.int32).tobytes()
-        if len(piece) <= SHORT:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            self.pieces[piece] = found
-        return found
+        return ids
 
-    def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        pieces = [p for p in self.space.split(text) if p] if _ODD.search(text) else text.split()
-        get, make = self.pieces.get, self._piece
-        return b"".join([get(p) or make(p) for p in pieces])
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece without ASCII white space, as 32-bit integers in a row; special tokens in it are found before it is normalised."""
+        if self.cut and self.cut.search(piece):
+            ids = [i for t in self.cut.split(piece) for i in ([self.special[t]] if t in self.special else self._plain(t))]
+        else:
+            ids = self._plain(piece)
+        return struct.pack(f"<{len(ids)}i", *ids)
 
     def encode(self, text: str) -> np.ndarray:
-        """The text's ids, without added special tokens; special tokens in the text are found before it is normalised."""
-        if self.cut and self.cut.search(text):
-            ids = b"".join(np.int32(self.special[t]).tobytes() if t in self.special else self._plain(t) for t in self.cut.split(text))
-        else:
-            ids = self._plain(text)
-        return np.frombuffer(ids, np.int32)
+        """The text's ids, without added special tokens."""
+        return self.pieces.ids(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' texts joined by a space, as for any file that names no decoder; ids outside the vocabulary have no text."""
@@ -168,7 +202,7 @@ def load(path: str) -> Bpe:
 
 
 def steps(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of at most about STEP characters of text."""
+    """The batch in runs of at most about STEP bytes of text."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
     start, size = 0, 0
     for i, n in enumerate(lengths):
@@ -188,17 +222,14 @@ class _Coded:
         bpe = load(self.path)
         for batch in batches:
             for part in steps(batch, self.text_at):
-                ids = [bpe.encode(t.as_py() or "") for t in part.column(self.text_at)]
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                texts = pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())
+                ids, ends = bpe.pieces.ids(part.column(self.text_at))
+                column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+                texts = pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, column, texts], self.names)
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """docs with ids array<int>, the whole text's ids, and decoded string, the text that those ids decode to."""
-    if taken := {"ids", "decoded"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"rename the columns {sorted(taken)} first")
+    refuse(docs, {"ids", "decoded"})
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("decoded", T.StringType())])
     return docs.mapInArrow(_Coded(path, schema.names, docs.columns.index(text_col)), schema)

@@ -10,11 +10,11 @@ Format. A folder with two Parquet tables, so that any store Spark writes to can
   blocks  part, row, doc_ids, lengths, n, lanes, crc, states, marks, words
 Parts are ranges of doc_id; row is the number of documents of the part before the block. Within a block, documents ascend.
 
-Ids are tokenised once, written as 16-bit integers if the vocabulary fits them, counted, and dealt into ranges once. What goes to the driver is the ids' counts,
+Ids are tokenised and counted once, written as 16-bit integers if the vocabulary fits them, and dealt into ranges once. What goes to the driver is the ids' counts,
 at most one for each id of the vocabulary. The ids of documents reach no place but a task that holds a block of them.
 
-Defined results: a null or empty text is the end id alone; documents with a null doc_id come first; repeated rows are stored as often as
-they occur; an empty table gives no rows. Other columns aren't read.
+Defined results: a null or empty text is the end id alone; a text of more than BLOCK ids is a block by itself, whole; documents with a null
+doc_id come first; repeated rows are stored as often as they occur; an empty table gives no rows. Other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -32,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import byte_alphabet, load, steps
-from .shared import materialize, new_path
+from .bpe import Pieces, byte_alphabet, load, steps
+from .shared import TEXTS, discard, materialize, new_path
 
 PRECISION, LANES, BLOCK, CHECKPOINT = 20, 1024, 1 << 18, 128
 PART = 1 << 24  # ids in a part, about, where the session's number of partitions would make them larger
-KEPT, LONG = 400_000, 256  # distinct pieces, and distinct words, that a worker keeps; characters of a piece at most
+KEPT, LONG = 400_000, 256  # distinct words that a worker keeps; characters of a piece at most that is split here
 _LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63); words are 32 bits
 
 
@@ -134,52 +133,57 @@ class Coder:
 
 
 class Tokens:
-    """A whole text's ids as the tokenizers library gives them, by pieces that white space separates and by their words.
+    """Texts' ids as the tokenizers library gives them.
 
-    The library's model is asked once for each distinct word while that is kept, normalised and split as the file says. That the words' ids
-    are the text's holds for the files that bpe.Bpe takes. Texts with special tokens, long pieces, or characters that only Python takes
-    for white space go to the library whole.
+    Pieces that white space separates are looked up as bpe.Pieces does. A new one goes through the library's normalizer, if it isn't ASCII,
+    is split by the file's pattern, and the library's model is asked for each distinct word. That the words' ids are the text's holds for the
+    files that bpe.Bpe takes. Pieces with special tokens or of more than LONG characters go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model, self.word, self.alphabet = self.library.model, load(path).word, byte_alphabet()
+        self.model, self.normal, self.word, self.alphabet = self.library.model, self.library.normalizer.normalize_str, load(path).word, byte_alphabet()
         special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r"[\x1c-\x1f]", *special]))
-        self.kept: dict[str, bytes] = {}
+        self.special = re.compile("|".join(special) or r"(?!)")
         self.words: dict[str, bytes] = {}
+        self.pieces = Pieces(self._make)
 
     def _word(self, word: str) -> bytes:
         shown = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
         self.words[word] = found = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(shown)])}I", *ids)
         return found
 
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = unicodedata.normalize("NFC", piece).replace("Σ", "σ")
-        get, make = self.words.get, self._word
-        return b"".join([get(w) or make(w) for w in self.word.findall(piece.lower())])
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _lowered(self, pieces: list[str]) -> list[bytes]:
+        get, make, words = self.words.get, self._word, self.word.findall
+        return [b"".join([get(w) or make(w) for w in words(p)]) for p in pieces]
+
+    def _make(self, pieces: list[str]) -> list[bytes]:
+        if len(self.words) > KEPT:
+            self.words.clear()
+        whole = {p for p in pieces if len(p) > LONG or self.special.search(p)} if max(map(len, pieces), default=0) > LONG or self.special.search("\n".join(pieces)) else ()
+        plain = [p for p in pieces if p not in whole] if whole else pieces
+        ascii_, other = [p for p in plain if p.isascii()], [p for p in plain if not p.isascii()]
+        found = dict(zip(ascii_, self._lowered("\n".join(ascii_).lower().split("\n")))) if ascii_ else {}
+        found |= zip(other, self._lowered(list(map(self.normal, other))))
+        found |= {p: np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in whole}
+        return list(map(found.__getitem__, pieces))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        pieces = [None if self.odd.search(t) else t.split() for t in texts]
-        pieces = [None if p and max(map(len, p)) > LONG else p for p in pieces]
-        for kept in (self.kept, self.words):
-            if len(kept) > KEPT:
-                kept.clear()
-        new = set().union(*[p for p in pieces if p]).difference(self.kept)
-        self.kept.update((p, self._piece(p)) for p in new)
-        get = self.kept.__getitem__
-        whole = lambda t: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, pieces)]
+        ids, ends = self.pieces.ids(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
 _loaded: dict[str, Tokens] = {}
 
 
 class _Tokenised:
+    """doc_id and ids of each text; and from each task one more row, the counts of all ids it has seen, in the order of the ids."""
+
+    names = ["doc_id", "ids", "counts"]
+
     def __init__(self, path: str, end: int, kind: str) -> None:
         self.path, self.end, self.kind = path, end, kind
 
@@ -187,30 +191,21 @@ class _Tokenised:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         if self.path not in _loaded:
             _loaded[self.path] = Tokens(self.path)
-        tokens, end = _loaded[self.path], np.array([self.end], "<u4").tobytes()
-        for batch in batches:
-            for part in steps(batch, 1):
-                ids = tokens.encode([t.as_py() or "" for t in part.column(1)])
-                narrow = [np.frombuffer(x + end, "<u4").astype(self.kind).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(narrow, pa.binary())], ["doc_id", "ids"])
-
-
-class _Count:
-    """Partial counts of ids, one row an id for each task."""
-
-    def __init__(self, kind: str) -> None:
-        self.kind = kind
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _loaded[self.path].pieces
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                found = np.bincount(np.frombuffer(x.as_buffer(), self.kind))
-                if len(found) > len(total):
-                    total = np.concatenate([total, np.zeros(len(found) - len(total), np.int64)])
-                total[: len(found)] += found
-        ids = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(total[ids])], ["id", "n"])
+            for part in steps(batch, 1):
+                ids, ends = pieces.ids(part.column(1))
+                ids = np.insert(ids, ends[1:], self.end).astype(self.kind)
+                ends = ends + np.arange(len(ends))
+                found = np.bincount(ids, minlength=len(total))
+                found[: len(total)] += total
+                total = found
+                places = (ends * np.dtype(self.kind).itemsize).astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(places), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), made, pa.nulls(part.num_rows, pa.list_(pa.int64()))], self.names)
+        if len(total):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total], pa.list_(pa.int64()))], self.names)
 
 
 _BLOCKS = "part int, row long, doc_ids array<long>, lengths array<long>, n long, lanes int, crc long, states binary, marks binary, words binary"
@@ -268,16 +263,17 @@ def write(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     path = path or new_path(spark, "rans")
     kind = "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_Tokenised(tokenizer, end, kind), "doc_id long, ids binary")
-    staged = materialize(found, "rans-ids")
-    counted = staged.select("ids").mapInArrow(_Count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_Tokenised(tokenizer, end, kind), "doc_id long, ids binary, counts array<long>")
+    staged = materialize(found, "rans-ids", 2 * TEXTS)
+    counted = staged.where("counts IS NOT NULL").select(F.posexplode("counts").alias("id", "n")).where("n > 0").groupBy("id").agg(F.sum("n").alias("n"))
     counts = {r["id"]: r["n"] for r in counted.collect()}
     table = frequencies(counts)
     spark.createDataFrame(sorted(table.items()), "id long, frequency long").coalesce(1).write.parquet(f"{path}/freq")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(counts.values()) // PART))
     order = ["doc_id", "tie"]
-    ranged = staged.withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = staged.where("counts IS NULL").withColumn("tie", F.xxhash64("ids")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(_Blocks(table, kind), _BLOCKS).write.parquet(f"{path}/blocks")
+    discard(staged)
     return path
 
 

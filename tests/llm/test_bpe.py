@@ -1,6 +1,8 @@
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -48,3 +50,30 @@ def test_empty_table_and_clashing_names(spark):
     assert bpe.encode_decode(spark.createDataFrame([], "text string"), PATH).columns == ["text", "ids", "decoded"]
     with pytest.raises(ValueError):
         bpe.encode_decode(spark.createDataFrame([], "text string, IDS int"), PATH)
+
+
+def test_every_code_point(library):
+    """First, inner and last in a word, and before a mark that may compose with it; of planes without letters every 97th."""
+    from cartolake.llm import rans
+
+    points = [*range(0xD800), *range(0xE000, 0x40000), *range(0x40000, 0xE0000, 97), *range(0xE0000, 0xF0000), *range(0xF0000, 0x110000, 97)]
+    own, other = bpe.load(PATH), rans.Tokens(PATH)
+    for at in range(0, len(points), 4000):
+        texts = [" ".join(f"{c}ab a{c}B Ab{c} {c}̇" for c in map(chr, points[k : k + 100])) for k in range(at, min(at + 4000, len(points)), 100)]
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        ids, ends = own.pieces.ids(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want, hex(points[at])
+        assert [np.frombuffer(x, "<u4").tolist() for x in other.encode(texts)] == want, hex(points[at])
+
+
+def test_pieces_are_forgotten_and_made_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 5)
+    made = []
+    pieces = bpe.Pieces(lambda new: [made.append(p) or np.array([len(p)] * (len(p) % 3), np.int32).tobytes() for p in new])
+    rng = random.Random(6)
+    for _ in range(60):
+        texts = [rng.choice([None, "", " ", "\n".join("x" * rng.randint(1, 200) for _ in range(rng.randint(0, 6)))]) for _ in range(4)]
+        ids, ends = pieces.ids(pa.array(texts, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[len(p) for p in (t or "").split() for _ in range(len(p) % 3)] for t in texts]
+    assert len(pieces.new) <= 5 + 24 and len(made) > len(set(made))
+    assert pieces.ids(pa.array([], pa.string()))[1].tolist() == [0]
