@@ -8,22 +8,28 @@ candidates and each labeler's reliability; a logistic span classifier is then fi
 the span's form as its inputs, and scores every candidate. Candidates that reach ACCEPT are added to the base spans, which always stay.
 
 What goes to the driver is one row for each pattern of kind, votes and form that occurs, of which there are 5 * 3^5 * 16 = 19,440 at
-most, whatever the input's size. The texts are read twice, once for the counts and once for the spans; nothing of them is shuffled.
+most, whatever the input's size. Candidates are searched once, written with the rows, and read again with the scores; nothing is shuffled
+but the counts.
 
 Patterns are written so that a start within a run of the same characters isn't tried again, and repeat possessively, so that time is in
-proportion to a text's length and the stack doesn't grow with it. They match what the plain forms in BASE match.
+proportion to a text's length and the stack doesn't grow with it. They match what the plain forms in BASE match. Places are running
+sums over the pieces between matches, overlaps are told from running maxima, and surroundings are read from chunks of CHUNK code points, so
+that a text with very many spans takes time in proportion to them too.
 
-Defined results: a null or empty text has no spans; repeated rows repeat their result; an empty table gives no rows. Offsets count code
-points, ends exclusive. Other columns pass through; columns named spans or base_spans are refused.
+Defined results: a null or empty text has no spans; a very long text is searched whole; repeated rows repeat their result; an empty table
+gives no rows. Offsets count code points, ends exclusive. Other columns pass through; columns named spans or base_spans are refused.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize, refuse
+
 #: The base patterns as they are meant, in the order of their kinds.
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -35,6 +41,7 @@ KINDS = [*BASE, "secret"]
 ACCEPT = 0.9
 CONTEXT = 24  # code points before a span that its context labeler reads
 ROUNDS, STEPS = 30, 300
+CHUNK, RUN = 1024, 64  # code points of a chunk of text; numbers that are summed up at once
 
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -64,41 +71,79 @@ def _digits(match: Column) -> Column:
     return F.length(F.regexp_replace(match, "[^0-9]", ""))
 
 
-def _found(text: Column, pattern: str, kind: int) -> Column:
-    """All matches with their places: array<struct<start, end, kind, match>>. Places follow from the pieces between matches."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,kind:int,match:string>>")
-    pairs = F.arrays_zip(matches.alias("m"), F.slice(pieces, 1, F.size(matches)).alias("p"))
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """join of each number of an array of int with all before it. Runs of RUN are joined by themselves, then with what stands before them."""
+
+    def along(xs: Column) -> Column:
+        none = F.struct(zero.alias("last"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: _once(join(a["last"], x), lambda y: F.struct(y.alias("last"), F.concat(a["out"], F.array(y)).alias("out")))
+        return F.aggregate(xs, none, step)["out"]
+
+    def joined(runs: Column) -> Column:
+        before = F.concat(F.array(zero), along(F.transform(runs, lambda r: F.element_at(r, -1))))
+        return _once(before, lambda b: F.flatten(F.transform(runs, lambda r, i: F.transform(r, lambda x: join(F.get(b, i), x)))))
+
+    def cut(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda k: along(F.slice(v, k * RUN + 1, F.lit(RUN))))
+
+    return _once(values, lambda v: F.when(F.size(v) <= RUN, along(v)).otherwise(_once(cut(v), joined)))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["p"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("match")))).alias("out"))
 
-    zipped = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), zipped).otherwise(empty)
+def _sums(values: Column) -> Column:
+    return _running(values, lambda a, x: a + x, F.lit(0))
+
+
+def _highest(values: Column) -> Column:
+    return _running(values, lambda a, x: F.greatest(a, x), F.lit(-1))
+
+
+def _found(text: Column, pattern: str, kind: int, sign: Column) -> Column:
+    """All matches with their places: array<struct<start, end, kind, match>>. sign says whether there can be one, and is cheap."""
+    searched = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+
+    def placed(s: Column) -> Column:
+        ends = _sums(F.zip_with(F.slice(s["p"], 1, F.size(s["m"])), s["m"], lambda p, m: F.length(p) + F.length(m)))
+        return F.zip_with(ends, s["m"], lambda e, m: F.struct((e - F.length(m)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), m.alias("match")))
+
+    empty = F.array().cast("array<struct<start:int,end:int,kind:int,match:string>>")
+    return F.when(sign, _once(searched, lambda s: F.when(F.size(s["m"]) > 0, placed(s)).otherwise(empty))).otherwise(empty)
 
 
 def _candidates(text: Column) -> Column:
     """Base spans and wider candidates, each with base, whether it is a base span."""
     email, ip, card, phone, secret = range(5)
-    cards = _found(text, _CARD, card)
+    has = lambda pattern: F.regexp_like(text, F.lit(pattern))
     valid = lambda x: F.transform(x, lambda s: s.withField("base", F.lit(True)))
     loose = lambda x: F.transform(x, lambda s: s.withField("base", F.lit(False)))
-    phones = F.filter(_found(text, _PHONE, phone), lambda s: _digits(s["match"]).between(9, 15))
-    ips = F.filter(_found(text, _IP, ip), lambda s: F.regexp_like(s["match"], F.lit(_IS_IP)))
-    return F.concat(
-        valid(_found(text, _EMAIL, email)), valid(ips), F.transform(cards, lambda s: s.withField("base", _luhn(s["match"]))), valid(phones),
-        loose(_found(text, _WIDE_EMAIL, email)), loose(_found(text, _WIDE_PHONE, phone)), loose(_found(text, _WIDE_SECRET, secret)),
-    )
+    phones = F.filter(_found(text, _PHONE, phone, F.contains(text, F.lit("+"))), lambda s: _digits(s["match"]).between(9, 15))
+    ips = F.filter(_found(text, _IP, ip, has(r"[0-9]\.[0-9]")), lambda s: F.regexp_like(s["match"], F.lit(_IS_IP)))
+    cards = F.transform(_found(text, _CARD, card, has(r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]")), lambda s: s.withField("base", _luhn(s["match"])))
+    found = [
+        valid(_found(text, _EMAIL, email, F.contains(text, F.lit("@")))), valid(ips), cards, valid(phones),
+        loose(_found(text, _WIDE_EMAIL, email, has(r"(?:at|AT) ?[)\]}]"))), loose(_found(text, _WIDE_PHONE, phone, has(r"[0-9]{3}[ .-][0-9]{4}"))), loose(_found(text, _WIDE_SECRET, secret, has(r"[A-Za-z][\"']? ?[=:]"))),
+    ]
+    return F.concat(*found)
 
 
-def _votes(text: Column, s: Column) -> list[Column]:
-    """The labelers' votes on a candidate: 1 personal, -1 not, 0 none."""
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from start up to end, of chunks; costs its own length and two chunks."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    return F.when(end > start, F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, end - start)).otherwise("")
+
+
+def _votes(s: Column, before: Column, after: Column) -> list[Column]:
+    """The labelers' votes on a candidate with CONTEXT code points before it and one after it: 1 personal, -1 not, 0 none."""
     m, kind = s["match"], s["kind"]
-    before = F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT + 1), F.least(s["start"], F.lit(CONTEXT)))
-    edge = F.concat(F.substring(text, F.greatest(F.lit(1), s["start"]), F.least(s["start"], F.lit(1))), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(1)))
+    edge = F.concat(F.right(before, F.lit(1)), F.lit(" "), after)
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     shape = vote(s["base"], F.lit(False))
     check = (
@@ -125,10 +170,10 @@ START = (0.9, 0.95, 0.7, 0.7, 0.6)
 LABELERS = len(START)
 
 
-def _pattern(text: Column, s: Column) -> Column:
+def _pattern(s: Column, before: Column, after: Column) -> Column:
     """kind, votes and form of a candidate as one number, kind * 3^5 * 16 + votes in base 3 * 16 + form."""
     number = s["kind"]
-    for v in _votes(text, s):
+    for v in _votes(s, before, after):
         number = number * 3 + v + 1
     length = F.length(s["match"])
     share = 4 * _digits(s["match"]) / F.greatest(length, F.lit(1))
@@ -193,33 +238,61 @@ def classifier(counts: dict[int, int]) -> dict[int, float]:
     return {p: score(_features(p)) for p in counts}
 
 
-def _tagged(docs: DataFrame, text_col: str) -> DataFrame:
+def tagged(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with _candidates: array<struct<start, end, kind, base, pattern>>."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("_candidates", _candidates(text))
-    return found.withColumn("_candidates", F.transform("_candidates", lambda s: s.withField("pattern", _pattern(text, s))))
 
+    def seen(s: Column, chunks: Column) -> Column:
+        around = F.struct(_piece(chunks, F.greatest(F.lit(0), s["start"] - CONTEXT), s["start"]).alias("before"), F.substring(_piece(chunks, s["end"], s["end"] + 1), 1, 1).alias("after"))
+        return _once(around, lambda a: F.struct(s["start"], s["end"], s["kind"], s["base"], _pattern(s, a["before"], a["after"]).alias("pattern")))
 
-def fit(docs: DataFrame, text_col: str = "text") -> dict[int, float]:
-    """The classifier's scores by pattern, from all of docs."""
-    one = _tagged(docs.select(text_col), text_col).select(F.explode("_candidates.pattern").alias("pattern"))
+    empty = F.array().cast("array<struct<start:int,end:int,kind:int,base:boolean,pattern:int>>")
+    known = lambda spans: F.when(F.size(spans) > 0, _once(_chunks(text), lambda c: F.transform(spans, lambda s: seen(s, c)))).otherwise(empty)
+    return docs.withColumn("_candidates", _once(_candidates(text), known))
+
+
+def fit(found: DataFrame) -> dict[int, float]:
+    """The classifier's scores by pattern, from all candidates of tagged()."""
+    one = found.select(F.explode("_candidates.pattern").alias("pattern"))
     return classifier({r["pattern"]: r["n"] for r in one.groupBy("pattern").agg(F.count("*").alias("n")).collect()})
 
 
-def detect(docs: DataFrame, text_col: str = "text", scores: dict[int, float] | None = None) -> DataFrame:
+def _clear(spans: Column) -> Column:
+    """Of spans sorted by start and base spans first, those that are base or overlap no base span: one that begins before it and ends after its
+    start, or begins after it and before its end."""
+
+    def told(far: Column) -> Column:
+        def free(s: Column, i: Column) -> Column:
+            return s["base"] | ((F.get(far["ends"], i) <= s["start"]) & (-F.get(far["starts"], F.size(spans) - 1 - i) >= s["end"]))
+
+        return F.filter(spans, free)
+
+    starts = F.transform(F.reverse(spans), lambda s: F.when(s["base"], -s["start"]).otherwise(F.lit(-(1 << 31) + 1)))
+    ends = F.transform(spans, lambda s: F.when(s["base"], s["end"]).otherwise(F.lit(-1)))
+    least = _running(starts, lambda a, x: F.greatest(a, x), F.lit(-(1 << 31) + 1))
+    return _once(F.struct(_highest(ends).alias("ends"), least.alias("starts")), told)
+
+
+def detect(docs: DataFrame, text_col: str = "text", scores: dict[int, float] | None = None, keep_text: bool = True) -> DataFrame:
     """docs with base_spans and spans: array<struct<start, kind, end>>, sorted by start, then kind in the order of KINDS.
 
-    Added spans don't overlap base spans.
+    Added spans don't overlap base spans. Without scores the candidates are written, with the other columns of docs, to fit them first. The
+    text is dropped if keep_text is false.
     """
-    if taken := {"spans", "base_spans", "_candidates"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"rename the columns {sorted(taken)} first")
-    scores = fit(docs, text_col) if scores is None else scores
+    refuse(docs, {"spans", "base_spans", "_candidates"})
+    found = tagged(docs, text_col)
+    found = found if keep_text else found.drop(text_col)
+    if scores is None:
+        found = materialize(found, "pii-candidates")
+        scores = fit(found)
     good = sorted(p for p, s in scores.items() if s >= ACCEPT)
-    plain = lambda x: F.array_sort(F.transform(x, lambda s: F.struct(s["start"], s["kind"], s["end"])))
+    plain = lambda x: F.transform(x, lambda s: F.struct(s["start"], s["kind"], s["end"]))
     accepted = F.array(*map(F.lit, good)) if good else F.array().cast("array<int>")
-    tagged = _tagged(docs, text_col).withColumn("base_spans", plain(F.filter("_candidates", lambda s: s["base"])))
-    clear = lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    added = plain(F.filter("_candidates", lambda s: ~s["base"] & F.array_contains(accepted, s["pattern"]) & clear(s)))
-    return tagged.withColumn("spans", F.array_sort(F.concat("base_spans", added))).drop("_candidates")
+    wanted = F.filter("_candidates", lambda s: s["base"] | F.array_contains(accepted, s["pattern"]))
+    ordered = F.transform(F.array_sort(F.transform(wanted, lambda s: F.struct(s["start"], (~s["base"]).alias("added"), s["kind"], s["end"]))), lambda s: F.struct(s["start"], s["kind"], s["end"], (~s["added"]).alias("base")))
+    mixed = F.exists("_candidates", lambda s: ~s["base"] & F.array_contains(accepted, s["pattern"]))
+    spans = _once(ordered, lambda x: F.struct(F.array_sort(plain(F.filter(x, lambda s: s["base"]))).alias("base"), F.array_sort(plain(F.when(mixed, _clear(x)).otherwise(x))).alias("all")))
+    return found.withColumn("_candidates", spans).withColumn("base_spans", F.col("_candidates.base")).withColumn("spans", F.col("_candidates.all")).drop("_candidates")
 
 
 def listed(spans: str) -> Column:
@@ -236,13 +309,17 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of overlapping spans the first stands for all. A null text stays null."""
     found = detect(docs, text_col)
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    text = F.col(text_col)
 
-    def step(a: Column, s: Column) -> Column:
-        new = s["start"] >= a["at"]
-        piece = F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"]))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(new, F.concat(a["out"], piece)).otherwise(a["out"]).alias("out"))
+    def replaced(x: Column) -> Column:
+        """x: chunks of the text, its length, and reach, how far the spans up to each one come."""
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    whole = F.transform(F.array(done), lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text))))[0]
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, whole).otherwise(text)).drop("spans", "base_spans")
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(x["reach"], i - 1)).otherwise(0)
+            return F.when(s["start"] >= before, F.concat(_piece(x["chunks"], before, s["start"]), F.get(names, s["kind"]))).otherwise("")
+
+        rest = _piece(x["chunks"], F.element_at(x["reach"], -1), x["length"])
+        return F.concat(F.array_join(F.transform("spans", piece), ""), rest)
+
+    text = F.col(text_col)
+    parts = F.struct(_chunks(text).alias("chunks"), F.length(text).alias("length"), _highest(F.transform("spans", lambda s: s["end"])).alias("reach"))
+    return found.withColumn(text_col, F.when(F.size("spans") > 0, _once(parts, replaced)).otherwise(text)).drop("spans", "base_spans")

@@ -35,7 +35,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.detect(_documents(spark, sf_dir).select("doc_id", "text"))
+    found = pii.detect(_documents(spark, sf_dir).select("doc_id", "text"), keep_text=False)
     counts = [pii.count("base_spans", k).alias(f"n_{k}") for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(pii.listed("base_spans"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
 

@@ -1,6 +1,9 @@
+import itertools
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,7 +32,7 @@ def texts():
     rng = random.Random(8)
     made = ["", None, "a@b.c%x@y.z", "a..b@c-d.e.f.g@h.i", "1.2.3.4.5 256.1.1.1 01.002.3.4 1.2.3.4.5.6.7.8", "+1 (017) 555-7713 +12 3 +1()2345678", "4111 1111 1111 1111 4111-1111-1111-1111-9", "é𝒳 x@y.zz 9.9.9.9", "9" * 50_000, "a" * 100_000, "1 " * 50_000, "a@" * 20_000, "+1" + " " * 50_000, "@.", "1.1.1", "5 4111111111111111"]
     for n in (10, 40, 200):
-        made += ["".join(rng.choice(["1", "4", "22", "7", ".", ".", "-", " ", "+", "@", "a", "é", "(", "%"]) for _ in range(n)) for _ in range(150)]
+        made += ["".join(rng.choice(["1", "4", "22", "7", "0", "255", "256", ".", ".", ".", "-", " ", "+", "@", "a", "é", "(", "%"]) for _ in range(n)) for _ in range(3000)]
     for _ in range(200):
         d = [str(rng.randrange(10)) for _ in range(rng.choice([11, 12, 15, 16, 19, 20]))]
         made.append("x " + rng.choice(["", " ", "-"]).join(d) + rng.choice([" y", "", "-", "z"]))
@@ -85,3 +88,32 @@ def test_addresses_with_zero_parts(spark):
         assert [tuple(s) for s in r.base_spans] == brute(r.text), r.text[:100]
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean[0] == "<IP>" and clean[1] == "x <IP>, <IP>"
+
+
+def test_very_many_spans_in_one_text(spark):
+    rng = random.Random(13)
+    some = lambda i: rng.choice([f"u{i}@h.example.org", f"10.0.{i % 256}.{i % 255}", f"+4930{i:08d}", f"joe{i} [at] site [dot] com", f"tel 555-123-{i % 10_000:04d}", "é𝒳"])
+    text = " ".join(some(i) for i in range(24_000))
+    df = spark.createDataFrame([(1, text, "k"), (2, text[:3000], "k")], SCHEMA)
+    began = time.time()
+    scores = pii.fit(pii.tagged(df))
+    got = {r.doc_id: r for r in pii.detect(df, scores=dict.fromkeys(scores, 1.0)).collect()}
+    assert [tuple(s) for s in got[1].base_spans] == brute(text)
+    spans = list(map(tuple, got[1].spans))
+    added = sorted(set(spans) - set(brute(text)))
+    assert len(spans) > 19_000 and len(added) > 3000 and spans == sorted(spans)
+    taken = np.zeros(len(text), bool)
+    for a, _, b in brute(text):
+        taken[a:b] = True
+    assert not any(taken[a:b].any() for a, _, b in added)
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[1].count("<EMAIL>") >= sum(k == 0 for _, k, _ in brute(text)) and not re.search(pii.BASE["email"], clean[1])
+    assert time.time() - began < 40
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 4096, 10_000])
+def test_running(spark, n):
+    rng = random.Random(n)
+    xs = [rng.randint(-5, 50) for _ in range(n)]
+    got = spark.createDataFrame([(xs,)], "x array<int>").select(pii._sums(F.col("x")).alias("s"), pii._highest(F.col("x")).alias("h")).first()
+    assert got.s == list(itertools.accumulate(xs)) and got.h == [max(-1, m) for m in itertools.accumulate(xs, max)]
