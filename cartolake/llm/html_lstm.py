@@ -8,8 +8,13 @@ The labeller is trained here, once in a process and on the driver, on pages made
 notices, adverts, forms and comments in many spellings, around articles of invented words, where the right label is known. Its seed is
 fixed, so every session has the same weights, about 30,000 numbers that go to the executors with the task.
 
+Markup is read as browsers read it where that decides what is text: raw elements end at their own end tag only, a head ends at the first thing
+that can't be in one, quotes matter after an equals sign, elements are open until their own end tag or their parent's. Reading takes time
+in proportion to a page's length, whatever it holds: tags look up open elements by name, and blocks share their paths.
+
 Defined results: a null or empty page has an empty text; a page's text is that of its blocks labelled as main, joined by an empty line;
-repeated rows repeat their result; an empty table gives no rows. Character references are decoded, white space inside a block is one space.
+very long pages are read whole, in a step by themselves; repeated rows repeat their result; an empty table gives no rows; a column named
+text is refused. Character references are decoded, white space inside a block is one space.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .shared import refuse
+
 PATHS, WORDS, FIGURES, HIDDEN = 96, 32, 10, 20
 INPUTS = PATHS + WORDS + FIGURES
 EXAMPLES, EPOCHS, BATCH, RATE, SEED = 600, 6, 24, 0.02, 7
@@ -32,17 +39,19 @@ DROPPED = 0.5  # share of blocks whose words are hidden in training, so that the
 #: Most blocks that are labelled at once, over all pages of a step; a longer page is a step by itself.
 STEP = 8192
 
-#: Fixed lists of HTML: elements whose text isn't text, elements that break text into blocks, and elements without content.
-_RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "textarea", "select", "title"}
-#: Those of them whose content holds no tags but the end tag.
-_PLAIN = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*>?", re.I) for n in ("script", "style", "textarea", "title", "iframe")}
-_BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option button label".split())
+#: Fixed lists of HTML: elements whose content isn't text, those of them whose content holds no tags, elements that may stand in a head, elements
+#: that break text into blocks, elements without content, elements that an opening tag of the same kind ends, and elements within which it does.
+_RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title"}
+_PLAIN = {"script", "style", "textarea", "title", "iframe"}
+_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "style", "script", "template", "html", "head"}
+_BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option button label".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that an opening tag of the same kind ends.
 _SELF_ENDING = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+_SCOPES = {"ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "select"}
 
-_TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:-->|\Z)|<[!?][^>]*>?|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^'">]|"[^"]*"|'[^']*')*+)>""", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_TAG = re.compile(r"<(?:(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)|[!?]|/)")
+_ATTRIBUTES, _TO_END = re.compile(r"""(?:[^>=]+|=\s*+(?:"[^"]*"|'[^']*')?+)*+>"""), re.compile("[^>]*>")
+_NAMES = re.compile(r"""(?<![^\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _DIGIT = re.compile(r"\d")
@@ -52,109 +61,181 @@ def _hash(s: str, n: int) -> int:
     return zlib.crc32(s.encode("utf-8", "replace")) % n
 
 
-def blocks(page: str) -> list[tuple[str, list[tuple[str, str]], int]]:
-    """A page's leaf blocks: text, path of (element, its class, id and role), and characters of it inside links."""
-    out: list[tuple[str, list[tuple[str, str]], int]] = []
-    path: list[tuple[str, str]] = []
-    held: list[str] = []
-    linked = 0
-    skip = ""
+class Element:
+    """An open element: its parent, and the hashed features of its name, class, id and role, of its own and with all above it, as bits."""
+
+    __slots__ = ("above", "name", "own", "parent")
+
+    def __init__(self, name: str, marks: str, parent: Element | None) -> None:
+        self.name, self.parent, self.own = name, parent, _bits(name, marks)
+        self.above = self.own | (parent.above if parent else 0)
+
+
+_known: dict[tuple[str, str], int] = {}
+
+
+def _bits(name: str, marks: str) -> int:
+    found = _known.get((name, marks))
+    if found is None:
+        found = 1 << _hash(name, PATHS)
+        for w in set(_PART.findall(marks)):
+            found |= 1 << _hash("." + w, PATHS)
+        if len(_known) < 100_000:
+            _known[name, marks] = found
+    return found
+
+
+Block = tuple[str, Element | None, int]
 
-    def cut() -> None:
-        nonlocal linked
-        if held:
-            text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
+
+class _Reader:
+    """The state of reading one page."""
+
+    def __init__(self) -> None:
+        self.out: list[Block] = []
+        self.held: list[str] = []
+        self.linked = 0
+        self.path: list[Element] = []
+        self.open: dict[str, list[int]] = {}  # places in the path by name
+        self.scopes: list[int] = []
+
+    def cut(self) -> None:
+        if self.held:
+            text = _SPACE.sub(" ", html.unescape("".join(self.held))).strip()
             if text:
-                out.append((text, path[:], min(linked, len(text))))
-        held.clear()
-        linked = 0
-
-    def close(name: str) -> None:
-        for k in range(len(path) - 1, -1, -1):
-            if path[k][0] == name:
-                del path[k:]
-                return
-
-    def text(piece: str) -> None:
-        nonlocal linked
-        if piece and not skip:
-            held.append(piece)
-            if any(n == "a" for n, _ in path):
-                linked += len(piece)
-
-    at = 0
-    endless: set[str] = set()  # without an end tag in the rest of the page
-    while m := _TOKEN.search(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or "").lower()
+                self.out.append((text, self.path[-1] if self.path else None, min(self.linked, len(text))))
+            self.held, self.linked = [], 0
+
+    def text(self, piece: str) -> None:
+        if piece:
+            self.held.append(piece)
+            if self.open.get("a"):
+                self.linked += len(piece)
+
+    def enter(self, name: str, marks: str) -> None:
+        at = len(self.path)
+        self.path.append(Element(name, marks, self.path[-1] if at else None))
+        self.open.setdefault(name, []).append(at)
+        if name in _SCOPES:
+            self.scopes.append(at)
+
+    def leave(self, name: str) -> None:
+        """Close the last open element of this name and all in it; each element is closed once, so this costs no more than opening them."""
+        if places := self.open.get(name):
+            at = places[-1]
+            while len(self.path) > at:
+                self.open[self.path.pop().name].pop()
+            while self.scopes and self.scopes[-1] >= at:
+                self.scopes.pop()
+
+    def renew(self, name: str) -> None:
+        """What an opening tag of a self-ending element closes: one of its kind within the last scope."""
+        places = self.open.get(name)
+        if places and places[-1] > (self.scopes[-1] if self.scopes else -1):
+            self.leave(name)
+
+
+def _end(page: str, at: int, name: str) -> tuple[int, int] | None:
+    """Where the next end tag of a raw element begins and ends."""
+    m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+    if not m:
+        return None
+    end = page.find(">", m.end())
+    return m.start(), len(page) if end < 0 else end + 1
+
+
+def _past(page: str, at: int, name: str) -> int | None:
+    """Where a raw element that may hold its own kind ends; without an end tag, nowhere."""
+    depth = 1
+    for m in re.compile(rf"<(/?){name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).finditer(page, at):
+        depth += -1 if m[1] else 0 if m[0].endswith("/>") else 1
+        if not depth:
+            return m.end()
+    return None
+
+
+def blocks(page: str) -> list[Block]:
+    """A page's leaf blocks: text, the innermost open element, and characters of the text inside links."""
+    r = _Reader()
+    at, last, head, rest = 0, page.rfind(">"), False, _ATTRIBUTES
+    endless: set[str] = set()  # raw elements without an end tag in the rest of the page
+    while m := _TAG.search(page, at):
+        between = page[at : m.start()]
+        if head and between.strip():
+            head = False
+        if not head:
+            r.text(between)
+        at, name = m.end(), (m["name"] or "").lower()
         if not name:
-            continue
-        if name in _PLAIN and not m["close"] and not m["attrs"].endswith("/") and name not in endless:
-            if end := _PLAIN[name].search(page, at):
-                if not skip:
-                    cut()
-                at = end.end()
-                continue
-            endless.add(name)
-        if skip:
-            if m["close"] and name == skip:
-                skip = ""
-            elif skip == "head" and name == "body":
-                skip = ""
+            comment = page.startswith("<!--", m.start())
+            if comment and not page.startswith(("<!-->", "<!--->"), m.start()):
+                end = page.find("-->", m.start() + 4)
+                at = len(page) if end < 0 else end + 3
+            elif at <= last:
+                at = page.find(">", at) + 1
             else:
-                continue
+                r.text(page[m.start() : at])
+            continue
+        tag = rest.match(page, at) if at <= last else None
+        if not tag and at <= last:  # a quote that is never closed has hidden all that follows: quotes don't count from here on
+            rest = _TO_END
+            tag = rest.match(page, at)
+        if not tag:
+            r.text(page[m.start() : at])
+            continue
+        attrs, at = tag[0][:-1], tag.end()
+        if head and (name not in _HEAD or m["close"]) and not (m["close"] and name in _HEAD - {"head", "html"}):
+            head = False
         if m["close"]:
             if name in _BLOCKS:
-                cut()
-            close(name)
+                r.cut()
+            r.leave(name)
             continue
         if name in _RAW:
-            cut()
-            if not m["attrs"].endswith("/"):
-                skip = name
+            if attrs.endswith("/") and name in ("svg", "math"):
+                r.cut()
+                continue
+            found = None
+            if name not in endless:
+                found = (e[1] if (e := _end(page, at, name)) else None) if name in _PLAIN else _past(page, at, name)
+            if found:
+                r.cut()
+                at = found
+                continue
+            endless.add(name)
+            if name in ("script", "style"):  # nothing but their end tag ends them
+                r.cut()
+                return r.out
+        if name == "head":
+            r.cut()
+            head = True
             continue
         if name == "br":
-            text(" ")
+            r.text(" ")
         if name in _BLOCKS:
-            cut()
+            r.cut()
             if name in _SELF_ENDING:
-                scope = next((k for k in range(len(path) - 1, -1, -1) if path[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "main", "body", "select")), -1)
-                if any(n == name for n, _ in path[scope + 1 :]):
-                    close(name)
-        if name not in _VOID:
-            marks = " ".join("".join(g) for g in _NAMES.findall(m["attrs"])) if m["attrs"] else ""
-            path.append((name, marks.lower()))
-            if len(path) > 400:
-                del path[200:300]
-    text(page[at:])
-    cut()
-    return out
-
-
-_path_cache: dict[tuple[str, str], list[int]] = {}
-
-
-def _marks(element: tuple[str, str]) -> list[int]:
-    """Hashed features of one element."""
-    found = _path_cache.get(element)
-    if found is None:
-        name, marks = element
-        found = [_hash(name, PATHS), *(_hash("." + w, PATHS) for w in set(_PART.findall(marks)))]
-        if len(_path_cache) < 100_000:
-            _path_cache[element] = found
-    return found
+                r.renew(name)
+        if name not in _VOID and not head:
+            r.enter(name, " ".join("".join(g) for g in _NAMES.findall(attrs)).lower() if attrs else "")
+    r.text(page[at:])
+    r.cut()
+    return r.out
 
 
-def vectors(page: list[tuple[str, list[tuple[str, str]], int]]) -> np.ndarray:
-    """One row of INPUTS for each block of a page."""
+def vectors(page: list[Block]) -> np.ndarray:
+    """One row of INPUTS for each block of a page. The three innermost elements count fully, those above them less."""
     x = np.zeros((len(page), INPUTS), np.float32)
-    for i, (text, path, linked) in enumerate(page):
+    near, far = bytearray(), bytearray()
+    width = PATHS // 8
+    for i, (text, element, linked) in enumerate(page):
+        own, e = 0, element
+        for _ in range(3):
+            if e:
+                own, e = own | e.own, e.parent
+        near += own.to_bytes(width, "little")
+        far += (e.above if e else 0).to_bytes(width, "little")
         row = x[i]
-        for depth, element in enumerate(reversed(path)):
-            weight = 1.0 if depth < 3 else 0.6
-            for k in _marks(element):
-                row[k] = max(row[k], weight)
         words = text.lower().split()
         for w in words:
             row[PATHS + _hash(w.strip(".,;:!?()"), WORDS)] += 1.0
@@ -165,6 +246,8 @@ def vectors(page: list[tuple[str, list[tuple[str, str]], int]]) -> np.ndarray:
             np.log1p(n) / 8, linked / n, min(1.0, (text.count(".") + text.count(",")) * 20 / n), float(text[-1] in ".!?…»\""), float(text[:1].isupper()),
             min(1.0, 4 * len(_DIGIT.findall(text)) / n), float(n < 30), float(n > 200), float("©" in text), 1.0,
         )
+    spread = lambda bits: np.unpackbits(np.frombuffer(bytes(bits), np.uint8).reshape(-1, width), axis=1, bitorder="little")
+    x[:, :PATHS] = np.maximum(spread(near), np.float32(0.6) * spread(far)) if page else 0
     return x
 
 
@@ -396,7 +479,6 @@ class _Extracted:
 
 def extract(pages: DataFrame, html_col: str = "html", labeller: Labeller | None = None) -> DataFrame:
     """pages without the html, with text, the main text."""
-    if "text" in {c.lower() for c in pages.columns}:
-        raise ValueError("rename the column text first")
+    refuse(pages, {"text"})
     schema = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())])
     return pages.mapInArrow(_Extracted(labeller or trained(), schema.names, pages.columns.index(html_col)), schema).drop(html_col)
