@@ -5,14 +5,17 @@ negatives as p E_pos[loss(g)] + max(0, E_unl[loss(-g)] - p E_pos[loss(-g)]), the
 falls below zero, its gradient is turned to bring it back. The loss is logistic, so sigmoid(g) estimates the probability of label 1. The
 scorer is a network of one hidden layer over figures of a text's form, fitted in numpy on the driver.
 
-The prior is estimated as the share of 1 among the training rows' labels, shrunk by one row each.
+The prior is estimated from positives and unlabelled text alone. A logistic model of trusted positives against unlabelled text gives the ratio
+of their densities; where texts are all of label 1, that ratio is one over the prior. Its median over positives that the model wasn't fitted
+to is taken, both halves in turn, and shrunk towards one half by PSEUDO rows. Rows labelled 0 are never read.
 
 Fitting reads a bounded sample: the SAMPLE labelled training rows and SAMPLE unlabelled training rows whose hashed ids are smallest. Training
 rows are those whose crc32 of the id as text isn't 2 modulo 4. Only their figures, FIGURES numbers a row, go to the driver. Scoring
 reads whole texts, and nothing but the text.
 
 Defined results: a null or empty text is scored like any other, from figures of zero; repeated rows repeat their score; labels that are null
-or neither 0 nor 1 don't count; a table without training labels scores everything by the prior of one half; an empty table gives no rows.
+or other than 1 don't count; a table without training labels scores everything by the prior of one half; an empty table gives no rows. Very
+long texts are read whole. Other columns pass through, whatever their names, but score, which is refused.
 """
 
 from __future__ import annotations
@@ -25,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import TEXTS, materialize, refuse
 
 SAMPLE, HIDDEN, STEPS, RATE, DECAY, SEED = 6000, 12, 600, 0.03, 1e-4, 11
 THRESHOLD = 0.7
 FIGURES = 22
+PSEUDO = 10
 
 
 def held_out(id_col: str) -> Column:
@@ -120,26 +124,54 @@ class Scorer:
         return self
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of label 1 in unlabelled text."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    ratios = []
+    for part in (0, 1):
+        p, u = positive[part::2], unlabelled[part::2]
+        both = np.concatenate([p, u])
+        mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
+        inputs = lambda x: np.c_[np.clip((x - mean) / scale, -6, 6), np.ones(len(x))]  # noqa: B023, E731
+        x, y = inputs(both), np.r_[np.ones(len(p)), np.zeros(len(u))]
+        weight = np.r_[np.full(len(p), 0.5 / len(p)), np.full(len(u), 0.5 / len(u))]
+        theta, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], DECAY)
+        for _ in range(40):  # Newton's steps
+            q = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+            theta -= np.linalg.solve((x * (weight * q * (1 - q))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (q - y)) + ridge * theta)
+        ratios.append(np.exp(np.clip(inputs(positive[1 - part :: 2]) @ theta, -30, 30)))
+    found = 1 / np.median(np.concatenate(ratios))
+    n = len(positive)
+    return float((min(1.0, found) * n + 0.5 * PSEUDO) / (n + PSEUDO))
+
+
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = pa.array([figures(t.as_py()).tolist() for t in batch.column(1)], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), found], ["positive", "x"])
 
 
+def _smallest(ids: DataFrame, n: int) -> DataFrame:
+    """The n distinct values of _id whose hashes are smallest. Only ids below a bound that somewhat more than n pass are told apart and sorted."""
+    there = ids.agg(F.approx_count_distinct("_id").alias("n")).first()["n"]
+    near = ids.where(F.xxhash64("_id") / float(1 << 64) + 0.5 <= (1.25 * n + 100) / max(1, there))
+    return near.distinct().orderBy(F.xxhash64("_id"), "_id").limit(n)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Scorer:
     """A scorer from trusted positives and unlabelled text of the training rows."""
-    known = labels.where(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
-    share = known.agg(F.count("*").alias("n"), F.sum(F.col(label_col).cast("int")).alias("ones")).first()
-    prior = ((share["ones"] or 0) + 1) / (share["n"] + 2)
-    smallest = lambda df: df.distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    trusted = smallest(known.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("_id")))
-    free = smallest(docs.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id")))
-    chosen = materialize(trusted.withColumn("positive", F.lit(True)).unionByName(free.withColumn("positive", F.lit(False))), "quality-sample")
+    training = lambda df: df.where(~held_out(id_col) & F.col(id_col).isNotNull())
+    named = lambda df: df.select(F.col(id_col).cast("long").alias("_id"))
+    trusted = _smallest(named(training(labels).where(F.col(label_col) == 1)), sample)
+    chosen = materialize(trusted.withColumn("positive", F.lit(True)).unionByName(_smallest(named(training(docs)), sample).withColumn("positive", F.lit(False))), "quality-sample")
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # 2 * sample rows at most
-    rows = texts.select("_id", "positive", "text").dropDuplicates(["_id", "positive"]).select("positive", "text").mapInArrow(_figures, "positive boolean, x array<double>").collect()
+    found = texts.select("_id", "positive", "text").dropDuplicates(["_id", "positive"]).select("positive", "text").mapInArrow(_figures, "positive boolean, x array<double>")
+    rows = materialize(found, "quality-figures", TEXTS).collect()
     rows.sort(key=lambda r: (r["positive"], r["x"]))  # the same rows in any order give the same scorer
     pick = lambda p: np.array([r["x"] for r in rows if r["positive"] == p]).reshape(-1, FIGURES)
-    return Scorer(prior).fit(pick(True), pick(False))
+    shuffled = [x[np.random.default_rng(SEED).permutation(len(x))] for x in (pick(True), pick(False))]
+    return Scorer(estimated_prior(*shuffled)).fit(*shuffled)
 
 
 class _Scored:
@@ -155,7 +187,6 @@ class _Scored:
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
     """docs without the text, with score."""
-    if "score" in {c.lower() for c in docs.columns}:
-        raise ValueError("rename the column score first")
+    refuse(docs, {"score"})
     schema = docs.drop(text_col).selectExpr("*", "0D AS score").schema
     return docs.mapInArrow(_Scored(scorer, schema.names, docs.columns.index(text_col)), schema)
