@@ -1,14 +1,18 @@
 """Quality rules with host verdicts, in DataFrame functions only.
 
-Every document is measured once, and its rule failures are counted by host. Hosts' failure rates vary around a common beta prior, whose mean and
-strength are estimated from all hosts by the method of moments (an empirical prior); each host's rate is shrunk towards it. A host
-whose shrunk rate reaches BAD_HOST is rejected, and the verdict is joined back to its documents.
+Every document is measured once, and the documents that fail a rule are counted by host: the base rules, or more than MAX_SYMBOLS symbols to
+100 words. Hosts' failure rates vary around a common beta prior, whose mean and strength are estimated from all hosts by the method of
+moments (an empirical prior); each host's posterior is that prior with its own counts, its rate the posterior mean. Two verdicts come
+from it. A host is suspect if its rate lies WORSE posterior deviations or more above the prior's mean, that is, if it is worse than the
+common host with a probability of three quarters; on suspect hosts the symbol rule is applied too. A host is rejected with all
+its documents if its rate lies BAD deviations above one half, that is, if nearly surely most of its documents fail. Verdicts are joined back to
+the documents.
 
 Aggregation by host is partial before its shuffle, so a host with a third of all rows sends one row a task. Hosts' verdicts are one row a
-host; they return to the documents by an equi-join on the host, and only the rejected hosts take part in it.
+host; they return to the documents by an equi-join on the host, and only suspect and rejected hosts take part in it.
 
-Defined results: a null text has no words; a null host is a host of its own; repeated rows count as often as they occur; an empty table
-gives no rows. Columns of the input other than the text pass through; names of the measures are refused.
+Defined results: a null text has no words; a very long text is measured whole; a null host is a host of its own; repeated rows count as often
+as they occur; an empty table gives no rows. Columns of the input other than the text pass through; names of the results are refused.
 """
 
 from __future__ import annotations
@@ -18,13 +22,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, materialize
+from .shared import SPACES, materialize, refuse
 
-#: The fixed rules' limits, of the base and of the method.
-MIN_WORDS, MAX_REPEATED = 50, 50
-#: A host is rejected if its shrunk rate of failing documents is at least this high.
-BAD_HOST = 0.9
-MOST_STRENGTH = 1e6
+#: The rules' limits: words, repeated words to 100, symbols to 100 words.
+MIN_WORDS, MAX_REPEATED, MAX_SYMBOLS = 50, 50, 10
+#: Posterior deviations above the prior's mean of a suspect host, and above one half of a rejected one.
+WORSE, BAD = 0.67, 3.0
+#: Most documents that the prior counts for, so that a host's own always come to count.
+MOST_STRENGTH = 100.0
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
@@ -76,8 +81,7 @@ def _repeated(words: Column) -> Column:
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and base_failed."""
-    if taken := {*MEASURES, "_words"} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"rename the columns {sorted(taken)} first")
+    refuse(docs, {*MEASURES, "_words"})
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.array_remove(F.split(text, f"[{SPACES}]"), "")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x, F.lit(SPACES)) != "")
@@ -98,7 +102,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def host_rates(measured: DataFrame, host_col: str = "source", failed_col: str = "base_failed") -> DataFrame:
-    """For every host: n, failed, and rate, its share of failing documents shrunk by the empirical beta prior.
+    """For every host: n, failed, rate, its share of failing documents shrunk by the empirical beta prior, and the verdicts suspect and rejected.
 
     With m and v the mean and variance of hosts' shares and e the share of v that sampling alone explains, the prior's strength is
     m (1 - m) / (v - e) - 1, held between 1 and MOST_STRENGTH; where hosts differ no more than chance has them, it is the latter.
@@ -114,16 +118,24 @@ def host_rates(measured: DataFrame, host_col: str = "source", failed_col: str =
         spread, chance = t["s2"] / t["k"] - 2 * m * t["s1"] / t["k"] + m * m, m * (1 - m) * t["inv"] / t["k"]
         if spread > chance:
             strength = max(1.0, min(MOST_STRENGTH, (m * (1 - m) - spread) / (spread - chance)))
-    return hosts.select("host", "n", "failed", ((F.col("failed") + m * strength) / (F.col("n") + strength)).alias("rate"))
+    rated = hosts.withColumn("rate", (F.col("failed") + m * strength) / (F.col("n") + strength))
+    off = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + strength + 1))
+    return rated.withColumn("suspect", F.col("rate") - m > WORSE * off).withColumn("rejected", F.col("rate") - 0.5 > BAD * off)
 
 
 def judge(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """docs without the text, with the measures, host_rejected and kept: false where the base rules failed or the host is rejected.
+    """docs without the text, with the measures, host_suspect, host_rejected and kept.
 
-    The measures are written once, as both the hosts' counts and the documents' verdicts need them.
+    kept is false where the base rules failed, where the host is rejected, and where it is suspect and the symbol rule failed. The measures
+    are written once, as both the hosts' counts and the documents' verdicts need them.
     """
+    refuse(docs, {"host_suspect", "host_rejected", "kept", "_host", "_suspect", "_rejected", "_failed"})
     measured = materialize(measure(docs, text_col).drop(text_col), "host-measures")
-    bad = host_rates(measured, host_col).where(F.col("rate") >= BAD_HOST).select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
-    joined = measured.join(bad, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    rejected = F.coalesce(F.col("_bad"), F.lit(False))
-    return joined.withColumn("host_rejected", rejected).withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop("_host", "_bad")
+    symbols = 100 * F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words")
+    rates = host_rates(measured.withColumn("_failed", F.col("base_failed") | symbols), host_col, "_failed").where("suspect OR rejected")
+    verdicts = rates.select(F.col("host").alias("_host"), F.col("suspect").alias("_suspect"), F.col("rejected").alias("_rejected"))
+    joined = measured.join(verdicts, F.col(host_col).eqNullSafe(F.col("_host")), "left")
+    no = F.lit(False)
+    found = joined.withColumn("host_suspect", F.coalesce("_suspect", no)).withColumn("host_rejected", F.coalesce("_rejected", no))
+    kept = ~F.col("base_failed") & ~F.col("host_rejected") & ~(F.col("host_suspect") & symbols)
+    return found.withColumn("kept", kept).drop("_host", "_suspect", "_rejected")

@@ -95,13 +95,15 @@ covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i
 measured AS (
   SELECT doc_id, source, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM base LEFT JOIN covered USING (r)),
-judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
-hosts AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END)::DOUBLE AS f FROM judged GROUP BY source),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * n_words AS marked FROM measured),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(CASE WHEN base_failed OR marked THEN 1 ELSE 0 END)::DOUBLE AS f FROM judged GROUP BY source),
 totals AS (SELECT sum(f) / sum(n) AS m, sum((f / n) * (f / n)) / count(*) AS s2, sum(f / n) / count(*) AS s1, sum(1.0::DOUBLE / n) / count(*) AS inv FROM hosts),
 spreads AS (SELECT m, s2 - 2 * m * s1 + m * m AS spread, m * (1 - m) * inv AS chance FROM totals),
-prior AS (SELECT m, CASE WHEN spread > chance THEN greatest(1.0::DOUBLE, least(1e6::DOUBLE, (m * (1 - m) - spread) / (spread - chance))) ELSE 1e6::DOUBLE END AS strength FROM spreads),
-bad AS (SELECT source FROM hosts, prior WHERE (f + m * strength) / (n + strength) >= 0.9)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM judged.source) AS kept FROM judged
+prior AS (SELECT m, CASE WHEN spread > chance THEN greatest(1.0::DOUBLE, least(100.0::DOUBLE, (m * (1 - m) - spread) / (spread - chance))) ELSE 100.0::DOUBLE END AS strength FROM spreads),
+rated AS (SELECT source, m, (f + m * strength) / (n + strength) AS rate, n + strength + 1 AS weight FROM hosts, prior),
+verdicts AS (SELECT source, rate - m > 0.67::DOUBLE * sqrt(rate * (1 - rate) / weight) AS suspect, rate - 0.5::DOUBLE > 3.0::DOUBLE * sqrt(rate * (1 - rate) / weight) AS rejected FROM rated)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AND NOT (suspect AND marked) AS kept
+FROM judged JOIN verdicts ON verdicts.source IS NOT DISTINCT FROM judged.source
 """
 
 

@@ -2,7 +2,9 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from cartolake.llm import host_rules
 
@@ -52,3 +54,37 @@ def test_empty_and_clashing(spark):
     assert host_rules.judge(spark.createDataFrame([], "source string, text string")).count() == 0
     with pytest.raises(ValueError):
         host_rules.judge(spark.createDataFrame([], "source string, text string, N_words int"))
+    for name in ("Host_Rejected", "kept", "_bad", "_host"):
+        df = spark.createDataFrame([("h", "x", 1)], f"source string, text string, {name} int")
+        if name == "_bad":
+            assert host_rules.judge(df).first()["_bad"] == 1
+        else:
+            with pytest.raises(ValueError):
+                host_rules.judge(df)
+
+
+def test_symbols_count_on_suspect_hosts_only(spark):
+    good, marked = " ".join(f"w{i}" for i in range(80)), " ".join(f"w{i}###" for i in range(80))
+    rows = [(f"h{k}", marked if i % (4 if k == 3 else 25) == 0 else good) for k in range(12) for i in range(100)]
+    got = host_rules.judge(spark.createDataFrame(rows, "source string, text string"))
+    assert {r.source for r in got.where("host_suspect").select("source").distinct().collect()} == {"h3"}
+    assert got.where("kept").count() == len(rows) - 25 and got.where("base_failed OR host_rejected").count() == 0
+
+
+def test_query_equals_its_sql_and_the_method_decides(spark):
+    """On the driver's table: hosts on both sides, rows whose verdict the hosts turn, and DuckDB's answer."""
+    from cartolake.llm.queries import oracle_sql, queries
+
+    sf = "/root/testdata/sf0.01"
+    names = ["doc_id", *host_rules.MEASURES, "kept"]
+    got = sorted(tuple(r[n] for n in names) for r in queries()["op7_host_rules"](spark, sf).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    assert got == sorted(db.execute(f"SELECT {', '.join(names)} FROM ({oracle_sql()['op7_host_rules']})").fetchall())
+    judged = host_rules.judge(spark.read.parquet(f"{sf}/documents.parquet"))
+    hosts = judged.groupBy("source").agg(F.max("host_suspect").alias("s")).collect()
+    assert {r.s for r in hosts} == {True, False}
+    turned = judged.where("NOT base_failed AND NOT kept")
+    assert 0 < turned.count() < judged.count() / 10 and turned.where("NOT host_suspect").count() == 0
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert turned.join(labels, "doc_id").where("quality = 1").count() == 0
