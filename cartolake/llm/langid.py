@@ -10,9 +10,10 @@ Sums by host are partial before their shuffle. Hosts come back to their rows, wh
 splits if one host has a third of them. What goes to the driver is the model's counts, BUCKETS numbers a language, for the LANGUAGES most
 frequent of the whole table at most.
 
-Defined results: a null text, or one without letters, has no trigrams and is rejected with the language null; a null host is a host of its
-own; repeated rows repeat their result; an empty table gives no rows. Columns other than those named aren't read by classify(); keep() passes
-all through.
+Defined results: a null text, or one without letters, has no trigrams and is rejected with the language null; a very long text is counted
+whole, in pieces; a null host is a host of its own; repeated rows and ids are judged row by row; an empty table gives no rows. Columns other
+than those named aren't read by classify(); keep() passes all through and refuses its own names. Beliefs are whole multiples of 2^-24, so that
+sums by host don't depend on the order of tasks and reruns agree.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import TEXTS, materialize, refuse
 
 #: SAMPLE is in rows of each language.
 BUCKETS, SAMPLE, LANGUAGES, SMOOTHING = 1 << 14, 2000, 64, 0.3
@@ -37,6 +38,7 @@ STRENGTH, ACCEPT = 20.0, 0.5
 #: Mean log likelihood of a trigram, against even shares, below which a text fits no language: one odd word of a few stays far above it, another script is near -5 with the whole sample.
 FOREIGN = -2.0
 _STEP = 1 << 20
+_ONE = 1 << 24  # what a belief of 1 is in sums; 10^11 rows fit a long
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -124,9 +126,9 @@ def _softmax(logs: Column) -> Column:
 
 
 def _sums(by: DataFrame, keys: list[str], size: int, name: str) -> DataFrame:
-    """Sums of the text posteriors by keys, as an array, with their total."""
+    """Sums of the text posteriors by keys, as an array."""
     sums = by.groupBy(*keys).agg(*[F.sum(F.col("belief")[k]).alias(f"_{k}") for k in range(size)])
-    return sums.select(*keys, F.array(*[F.col(f"_{k}") for k in range(size)]).alias(name))
+    return sums.select(*keys, F.array(*[F.col(f"_{k}") / float(_ONE) for k in range(size)]).alias(name))
 
 
 def _smoothed(own: Column, parent: Column) -> Column:
@@ -134,32 +136,36 @@ def _smoothed(own: Column, parent: Column) -> Column:
     return F.transform(F.array(own), lambda o: F.zip_with(o, parent, lambda a, b: (F.greatest(a, F.lit(0.0)) + STRENGTH * b) / (total(o) + STRENGTH)))[0]
 
 
-def classify(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", suffix: Column | None = None, declared: Column | None = None) -> DataFrame:
-    """For every row: id, lang, confidence, text_lang (by the text alone), kept."""
+def classify(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", suffix: Column | None = None, declared: Column | None = None, more: Column | None = None) -> DataFrame:
+    """For every row: id, lang, confidence, text_lang (by the text alone), kept, and, if given, a second number more that goes with the id."""
+    out = ["id", *(["more"] if more is not None else []), "lang", "confidence", "text_lang", "kept"]
+    more = (F.lit(None) if more is None else more).cast("long")
     size = len(model.languages)
     if not size:
-        return rows.select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_lang"), F.lit(False).alias("kept"))
+        none = F.lit(None).cast("string")
+        return rows.select(F.col(id_col).alias("id"), more.alias("more"), none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"), F.lit(False).alias("kept")).select(*out)
     host = F.col(host_col)
     suffix = F.regexp_extract(F.coalesce(host, F.lit("")), r"\.([A-Za-z]+)$", 1) if suffix is None else F.coalesce(suffix, F.lit(""))
     said = F.lower(F.lit(None).cast("string") if declared is None else declared)
-    first = rows.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), host.alias("host"), F.lower(suffix).alias("suffix"), F.substring(said, 1, 2).alias("declared"))
-    read = first.mapInArrow(_Read(model), "id long, host string, suffix string, declared string, n long, logs array<double>")
+    first = rows.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), more.alias("more"), host.alias("host"), F.lower(suffix).alias("suffix"), F.substring(said, 1, 2).alias("declared"))
+    read = first.mapInArrow(_Read(model), "id long, more long, host string, suffix string, declared string, n long, logs array<double>")
     names = F.array(*map(F.lit, model.languages))
     flat = F.array_repeat(F.lit(1.0 / size), size)
-    believed = read.withColumn("belief", F.when(F.col("n") > 0, _softmax(F.transform("logs", lambda x: TEMPER * x))).otherwise(flat))
-    believed = materialize(believed.withColumn("best", F.array_position("belief", F.array_max("belief")).cast("int") - 1), "langid-rows")
+    beliefs = F.when(F.col("n") > 0, _softmax(F.transform("logs", lambda x: TEMPER * x))).otherwise(flat)
+    believed = read.withColumn("belief", F.transform(beliefs, lambda x: F.floor(x * _ONE).cast("long")))
+    believed = materialize(believed.withColumn("best", F.array_position("belief", F.array_max("belief")).cast("int") - 1), "langid-rows", TEXTS)
     certain = believed.where("n > 0")
     by_host = _sums(certain, ["host", "suffix"], size, "by_host")
     by_suffix = _sums(certain, ["suffix"], size, "by_suffix")
     known = F.array_contains(names, F.col("declared"))
     agrees = (F.get(names, F.col("best")) == F.col("declared")).cast("int")
     whole = certain.agg(*[F.sum(F.col("belief")[k]).alias(f"_{k}") for k in range(size)], F.sum(known.cast("int")).alias("n_said"), F.sum(F.when(known, agrees)).alias("agreed")).first()
-    sums = [whole[f"_{k}"] or 0.0 for k in range(size)]
+    sums = [(whole[f"_{k}"] or 0) / _ONE for k in range(size)]
     base = [(x + 1) / (sum(sums) + size) for x in sums]
     trust = min(0.999, ((whole["agreed"] or 0) + 9) / ((whole["n_said"] or 0) + 10))
     hosts = by_host.join(by_suffix, "suffix").withColumn("up", _smoothed(F.col("by_suffix"), F.array(*map(F.lit, base)))).select(F.col("host").alias("_host"), F.col("suffix").alias("_suffix"), "by_host", "up")
     joined = believed.join(hosts, F.col("host").eqNullSafe(F.col("_host")) & (F.col("suffix") == F.col("_suffix")), "left")
-    others = F.when(F.col("n") > 0, F.zip_with("by_host", "belief", lambda a, b: a - b)).otherwise(F.col("by_host"))
+    others = F.when(F.col("n") > 0, F.zip_with("by_host", "belief", lambda a, b: a - b / float(_ONE))).otherwise(F.col("by_host"))
     prior = F.coalesce(_smoothed(others, F.col("up")), F.array(*map(F.lit, base)))
     off = (1 - trust) / max(1, size - 1)
     heard = F.transform(names, lambda x: F.when(~F.coalesce(known, F.lit(False)), 0.0).when(x == F.col("declared"), math.log(trust)).otherwise(math.log(max(off, 1e-9))))
@@ -168,21 +174,22 @@ def classify(rows: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     at = F.array_position("posterior", F.array_max("posterior")).cast("int") - 1
     fused = fused.withColumn("at", at).withColumn("confidence", F.array_max("posterior"))
     kept = (F.col("n") > 0) & (F.col("confidence") >= ACCEPT) & (F.get("logs", F.col("at")) > FOREIGN * F.col("n"))
-    return fused.select("id", F.when(F.col("n") > 0, F.get(names, F.col("at"))).alias("lang"), "confidence", F.when(F.col("n") > 0, F.get(names, F.col("best"))).alias("text_lang"), kept.alias("kept"))
+    told = lambda at: F.when(F.col("n") > 0, F.get(names, F.col(at)))
+    return fused.select("id", "more", told("at").alias("lang"), "confidence", told("best").alias("text_lang"), kept.alias("kept")).select(*out)
 
 
-#: The language that a document's markup declares.
-DECLARED = r"(?i)<html[^>]{0,500}?\slang=[\"']?([a-z]{2})"
+#: The language that a document's markup declares, within the first tag html.
+DECLARED = r"""(?i)[\s"']lang\s*=\s*["']?([a-z]{2})"""
 
 
 def declared_in(text: str) -> Column:
-    found = F.regexp_extract(F.col(text), DECLARED, 1)
+    found = F.regexp_extract(F.regexp_extract(F.col(text), r"(?i)<html(?=[\s>/])[^>]*+", 0), DECLARED, 1)
     return F.when(found != "", found)
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:
-    """page_id, text, host, suffix and declared of pages with page_id, url and html."""
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"<[^>]*+>", " ")
+    """page_id, text, host, suffix and declared of pages with page_id, url and html. What is never closed reaches to the page's end."""
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " "), r"<[/!?a-zA-Z][^>]*+", " ")
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
     return pages.select("page_id", text.alias("text"), host.alias("host"), F.regexp_extract(host, r"\.([a-z]+)$", 1).alias("suffix"), declared_in("html").alias("declared"))
 
@@ -190,10 +197,13 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs that aren't rejected, all columns as they were.
 
-    A verdict depends on a row's text and host alone and comes back to it by them, so that null and repeated ids don't matter.
+    A verdict depends on a row's text and host alone and comes back to it by 128 bits of them, so that null and repeated ids don't matter.
     """
+    refuse(docs, {"_row", "_more"})
     host = F.col(host_col)
-    row = F.xxhash64(F.coalesce(text_col, F.lit("")), host.isNull(), F.coalesce(host, F.lit("")))
-    named = docs.select(row.alias("_row"), F.col(text_col).alias("text"), host.alias("host"))
-    rejected = classify(named, model, "_row", "text", "host", declared=declared_in("text")).where(~F.col("kept")).select(F.col("id").alias("_rejected")).distinct()
-    return docs.join(rejected, row == F.col("_rejected"), "left_anti")
+    told = [F.coalesce(text_col, F.lit("")), host.isNull(), F.coalesce(host, F.lit(""))]
+    row, more = F.xxhash64(*told), F.xxhash64(F.lit(1), *told)
+    named = docs.select(row.alias("_row"), more.alias("_more"), F.col(text_col).alias("text"), host.alias("host"))
+    rejected = classify(named, model, "_row", "text", "host", declared=declared_in("text"), more=F.col("_more")).where(~F.col("kept"))
+    rejected = rejected.select(F.col("id").alias("_row"), F.col("more").alias("_more")).distinct()
+    return docs.select("*", row.alias("_row"), more.alias("_more")).join(rejected, ["_row", "_more"], "left_anti").select(*docs.columns)

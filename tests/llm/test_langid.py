@@ -129,3 +129,18 @@ def test_rare_languages_are_learnt_from_large_tables(spark):
     got = langid.classify(df.where("doc_id >= 1000000"), model).collect()
     assert len(got) == 12 and all(r.lang == "ru" and r.kept for r in got)
     assert langid.fit(df, sample=5).languages == ["en", "ru"]
+
+
+def test_declarations_anywhere_in_the_first_tag(spark):
+    long = " ".join(f'data-{i}="{i}"' for i in range(400))
+    rows = [(1, f"<!doctype html><HTML {long} lang='de'><p lang=fr>x"), (2, "<html><p lang=fr>"), (3, "<html " * 20_000), (4, "<htmlx lang=en>"), (5, '<html xml:lang="en" lang = es>'), (6, None), (7, "<script>" * 20_000 + "<" * 20_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("http://a.b/"))
+    got = {r.page_id: (r.declared, r.text) for r in langid.page_evidence(df).collect()}
+    assert [got[i][0] for i in range(1, 8)] == ["de", None, None, None, "es", None, None] and got[7][1].strip() == ""
+
+
+def test_reruns_agree(spark):
+    df = spark.createDataFrame(rows(), SCHEMA)
+    model = langid.fit(df)
+    one, two = ({r.id: tuple(r) for r in langid.classify(df.repartition(n), model).collect()} for n in (2, 7))
+    assert one == two
