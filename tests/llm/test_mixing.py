@@ -1,6 +1,8 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from cartolake.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, SIZE2 int"
@@ -62,3 +64,31 @@ def test_each_document_keeps_its_expected_copies(spark):
 def test_empty(spark):
     assert mixing.taken(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, None, None, None)], SCHEMA)).count() == 0
+
+
+def test_masses_of_alike_rows_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    rows = [(None, "same words in all of these rows", "a", 1)] * 500 + [(i, "w " * 9, "b", 2) for i in range(300)] + [(3, "w " * 9, "b", 2)] * 40 + [(None, "same words", "a", 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got, mixed = mixing.taken(df).collect(), mixing.mix(df).collect()
+    assert len(got) == len(rows) and set(mixed) <= set(df.collect())
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        took = sum(r.taken for r in own)
+        assert abs(took - own[0].target) <= 9 and took == sum(len(r.text.split()) for r in mixed if r.source == s)
+    assert max(r.copies for r in got if r.doc_id is None) - min(r.copies for r in got if r.doc_id is None and r.size == 7) <= 1
+    clash = df.withColumnRenamed("SIZE2", "_n")
+    assert mixing.mix(clash).columns == clash.columns
+    for name in ("_ID", "_mark", "_copies"):
+        with pytest.raises(ValueError):
+            mixing.mix(df.withColumnRenamed("SIZE2", name))
+
+
+@pytest.mark.parametrize("n,few", [(1, 10), (2, 0), (9, 0), (400, 1000), (400, 10)])
+def test_targets_of_many_sources(spark, monkeypatch, n, few):
+    monkeypatch.setattr(mixing, "FEW", few)
+    rng = random.Random(n)
+    sizes = {f"s{i}é" if i else None: rng.choice([0, 1, 7, 100, 5000, 10**6]) for i in range(n)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+    want = targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
