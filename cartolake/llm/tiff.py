@@ -2,7 +2,10 @@
 
 Decoded: both byte orders; 1, 2, 4, 8, 16 and 32 bits a sample; chunky and planar samples; strips and tiles; no compression, PackBits, LZW and
 deflate; horizontal differencing. A page comes back as rows of chunky samples in the machine's little-endian order, one byte a sample
-below 8 bits. The writer makes such files too; its images hold any payload, which is how texts are stored here.
+below 8 bits. The writer makes such files too; its images hold any payload, which is how texts are stored here. Most are stored with deflate
+in strips with the predictor; what a payload's hash chooses, one in TILED, PACKED or LZWED, is stored in tiles, with PackBits or with LZW, so that
+equal texts have equal files and the stored corpus has all layouts. Stored files are read back through the same rows of pages as any others,
+and consecutive pages are folded to one row a file.
 
 Defined results: a null file has no pages; a file or page that can't be read is one row with its fault in error and no data; directories that
 come again end the walk; repeated rows repeat their pages; an empty table gives no rows.
@@ -22,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import refuse
+
 NONE, LZW, DEFLATE, PACKBITS = 1, 5, 8, 32773
 #: Fixed values of the format: bytes of each field type, and the tags that are read.
 _TYPE_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -29,6 +34,10 @@ _WIDTH, _HEIGHT, _BITS, _COMPRESSION, _PHOTOMETRIC, _OFFSETS, _SAMPLES, _ROWS, _
 _TILE_WIDTH, _TILE_HEIGHT, _TILE_OFFSETS, _TILE_COUNTS = 322, 323, 324, 325
 #: A stored row: pixels of three samples. Pages have PAGE_ROWS rows at most, strips STRIP_ROWS.
 PIXELS, SAMPLES, PAGE_ROWS, STRIP_ROWS = 192, 3, 4096, 128
+#: One in so many payloads is stored in tiles of TILE, with PackBits, or with LZW.
+TILED, PACKED, LZWED, TILE = 8, 64, 128, (64, 64)
+#: Bytes of pixels that are handed on at once.
+BATCH = 1 << 22
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -271,38 +280,13 @@ def store(text: str | None) -> bytes:
     payload = (text or "").encode("utf-8", "replace")
     payload += b"\xff" * (-len(payload) % row or (0 if payload else row))
     image = np.frombuffer(payload, np.uint8).reshape(-1, PIXELS, SAMPLES)
-    return write_file([image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)])
-
-
-def _features(total: np.ndarray, squares: int, slope: int, n: int, count: int) -> str:
-    bands = ",".join(str(int(x)) for x in total.reshape(16, 16).sum(axis=1))
-    mean = int((total * np.arange(256)).sum())
-    return f"pages={count};sum={mean};squares={squares};slope={slope};bands={bands};bytes={n}"
-
-
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n_bytes and media to these and what the decoded pages hold."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
-    for batch in batches:
-        rows = []
-        for media in batch.column(2):
-            total, squares, slope, n, count, sha, tail = np.zeros(256, np.int64), 0, 0, 0, 0, hashlib.sha256(), b""
-            for page in pages(media.as_buffer().to_pybytes()):
-                if page["error"]:
-                    raise ValueError(f"a stored file can't be read: {page['error']}")
-                raw = page["pixels"].tobytes()
-                levels = np.frombuffer(raw, np.uint8)
-                found = np.bincount(levels, minlength=256)
-                total += found
-                squares += int((found * np.arange(256) ** 2).sum())
-                slope += int(np.abs(np.diff(page["pixels"].astype(np.int16), axis=1)).sum())
-                n, count = n + len(raw), count + 1
-                sha.update(raw)
-                tail = (tail + raw[-32:])[-32:]
-            rows.append((n, sha.hexdigest(), zlib.crc32(tail), _features(total, squares, slope, n, count)))
-        found = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *found], ["doc_id", "n_bytes", "media", *names])
+    parts = [image[y : y + PAGE_ROWS] for y in range(0, len(image), PAGE_ROWS)]
+    chosen = zlib.crc32(payload)
+    if chosen % LZWED == 0:
+        return write_file(parts, LZW)
+    if chosen % PACKED == 1:
+        return write_file(parts, PACKBITS, 1)
+    return write_file(parts, tile=TILE) if chosen % TILED == 2 else write_file(parts)
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,32 +302,110 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 
-def read_back(stored: DataFrame) -> DataFrame:
-    """stored with payload_bytes, payload_sha256, tail_crc32 and feature, from the files' decoded pages."""
-    return stored.mapInArrow(_read_back, "doc_id long, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
-
-
 _PAGE = "page int, width long, height long, samples int, bits int, compression int, pixels binary, error string"
 
 
 class _Pages:
+    """Rows of files to rows of pages, BATCH bytes of pixels at a time."""
+
     def __init__(self, names: list[str], at: int) -> None:
         self.names, self.at = names, at
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
+        rest = [n for k, n in enumerate(self.names[: -len(kinds)])]
         for batch in batches:
+            columns = [c for k, c in enumerate(batch.columns) if k != self.at]
+            rows: list[int] = []
+            found: list[tuple] = []
+            size = 0
+
+            def made() -> pa.RecordBatch:
+                taken = [c.take(pa.array(rows, pa.int64())) for c in columns]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*taken, *[pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]], [*rest, *self.names[-len(kinds) :]])  # noqa: B023
+
             for i in range(batch.num_rows):
                 for page in pages(batch.column(self.at)[i].as_py()):
                     page["pixels"] = None if page["pixels"] is None else page["pixels"].tobytes()
-                    own = [pa.array([v], k) for v, k in zip(page.values(), kinds)]
-                    yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *own], self.names)
+                    rows.append(i)
+                    found.append(tuple(page.values()))
+                    size += len(page["pixels"] or b"")
+                    if size >= BATCH:
+                        yield made()
+                        rows, found, size = [], [], 0
+            if rows:
+                yield made()
 
 
 def explode_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
-    """files without the media column, one row for each page: page, width, height, samples, bits, compression, pixels, error."""
+    """files without the media column, one row for each page: page, width, height, samples, bits, compression, pixels, error.
+
+    A file's pages come in order, one after the other, in the partition that the file was in.
+    """
     own = T.StructType.fromDDL(_PAGE)
-    if taken := {f.name for f in own} & {c.lower() for c in files.columns}:
-        raise ValueError(f"rename the columns {sorted(taken)} first")
-    schema = T.StructType([*files.schema.fields, *own.fields])
-    return files.mapInArrow(_Pages(schema.names, files.columns.index(media_col)), schema).drop(media_col)
+    refuse(files, own.names)
+    schema = T.StructType([*[f for f in files.schema.fields if f.name != media_col], *own.fields])
+    return files.mapInArrow(_Pages(schema.names, files.columns.index(media_col)), schema)
+
+
+class _Folded:
+    """Rows of pages, in the order of explode_pages(), to one row for each file. A page 0 begins another file."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string()]
+        rest = len(self.names) - len(kinds)
+        squared, steps = np.arange(256) ** 2, np.arange(256)
+        first: list = []  # of the file that is read: the columns that go with it
+        done: list[tuple] = []
+
+        def start() -> None:
+            nonlocal total, slope, n, count, sha, tail
+            total, slope, n, count, sha, tail = np.zeros(256, np.int64), 0, 0, 0, hashlib.sha256(), b""
+
+        def end() -> None:
+            bands = ",".join(str(int(x)) for x in total.reshape(16, 16).sum(axis=1))
+            feature = f"pages={count};sum={int((total * steps).sum())};squares={int((total * squared).sum())};slope={slope};bands={bands};bytes={n}"
+            done.append((*first, n, sha.hexdigest(), zlib.crc32(tail), feature))
+
+        def made(schema: pa.Schema) -> pa.RecordBatch:
+            columns = [pa.array([r[k] for r in done], kind) for k, kind in enumerate([*schema.types[:rest], *kinds])]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, self.names)
+
+        total = slope = n = count = sha = tail = None
+        start()
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            place = {name: batch.column(name) for name in ("page", "width", "samples", "pixels", "error")}
+            for i in range(batch.num_rows):
+                if place["error"][i].is_valid:
+                    raise ValueError(f"a stored file can't be read: {place['error'][i].as_py()}")
+                if place["page"][i].as_py() == 0:
+                    if first:
+                        end()
+                    start()
+                    first = [batch.column(k)[i].as_py() for k in range(rest)]
+                raw = place["pixels"][i].as_buffer()
+                levels = np.frombuffer(raw, np.uint8).reshape(-1, place["width"][i].as_py(), place["samples"][i].as_py())
+                total += np.bincount(levels.reshape(-1), minlength=256)
+                slope += int(np.abs(np.diff(levels.astype(np.int16), axis=1)).sum())
+                n, count = n + len(raw), count + 1
+                sha.update(raw)
+                tail = (tail + raw.to_pybytes()[-32:])[-32:]
+            yield made(schema)
+        if first:
+            end()
+            yield made(schema)
+
+
+def read_back(stored: DataFrame) -> DataFrame:
+    """stored without the media, with media_bytes, media_sha256, and payload_bytes, payload_sha256, tail_crc32 and feature from its pages' rows."""
+    known = [c for c in stored.columns if c != "media"]
+    files = stored.select(*known, F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    own = T.StructType.fromDDL("payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    schema = T.StructType([*files.drop("media").schema.fields, *own.fields])
+    return explode_pages(files).mapInArrow(_Folded(schema.names), schema)

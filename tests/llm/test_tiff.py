@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -55,3 +56,28 @@ def test_texts(spark):
         payload += b"\xff" * (-len(payload) % 576) if payload else b"\xff" * 576
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
         assert f"sum={sum(payload)};" in r.feature and f"bytes={len(payload)}" in r.feature
+
+
+def test_texts_are_stored_in_all_layouts(spark):
+    rng = random.Random(5)
+    rows = [(i % 50, "".join(rng.choice("ab é\n") for _ in range(rng.choice([0, 1, 500, 1500]))), i) for i in range(900)]
+    rows += [(60 + i, "some words " * (250_000 + i), 0) for i in range(4)]
+    stored = tiff.store_texts(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3))
+    found = tiff.explode_pages(stored).groupBy("compression").count().collect()
+    assert {r.compression for r in found} == {tiff.DEFLATE, tiff.PACKBITS, tiff.LZW}
+    layouts = [tiff._directory(x, *struct.unpack_from("<I", x, 4), "<")[0] for x in (tiff.store(t) for _, t, _ in rows)]
+    assert {tiff._TILE_WIDTH in tags for tags in layouts} == {True, False}
+    got = tiff.read_back(stored)
+    assert got.columns == ["doc_id", "n_bytes", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "feature"]
+
+    def want(text):
+        payload = text.encode()
+        payload += b"\xff" * (-len(payload) % 576 or (0 if payload else 576))
+        pixels = np.frombuffer(payload, np.uint8).reshape(-1, tiff.PIXELS, tiff.SAMPLES).astype(int)
+        bands = ",".join(str(int(((pixels >= 16 * k) & (pixels < 16 * k + 16)).sum())) for k in range(16))
+        feature = f"pages={-(-len(pixels) // tiff.PAGE_ROWS)};sum={pixels.sum()};squares={(pixels**2).sum()};slope={abs(np.diff(pixels, axis=1)).sum()};bands={bands};bytes={len(payload)}"
+        media = tiff.store(text)
+        return len(text.encode()), len(media), hashlib.sha256(media).hexdigest(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature
+
+    assert sorted(map(tuple, got.collect())) == sorted((i, *want(t)) for i, t, _ in rows)
+    assert tiff.read_back(tiff.store_texts(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
