@@ -36,3 +36,74 @@ def zstd_decompress(b: pd.Series) -> pd.Series:
 
     d = zstandard.ZstdDecompressor()
     return _each(b, lambda x: d.decompressobj().decompress(x))
+
+
+# A range coder with adaptive frequencies of bytes: carryless, 32 bits of state. For short values; large columns are better left to the above.
+
+_TOP, _BOTTOM, _MOST = 1 << 24, 1 << 16, 1 << 13
+
+
+class _Counts:
+    """How often each byte has come so far, one more for all; halved before the total would outgrow the coder."""
+
+    def __init__(self) -> None:
+        self.counts, self.total = [1] * 256, 256
+
+    def add(self, symbol: int) -> None:
+        self.counts[symbol] += 32
+        self.total += 32
+        if self.total > _MOST:
+            self.counts = [(c + 1) // 2 for c in self.counts]
+            self.total = sum(self.counts)
+
+
+def range_pack(data: bytes) -> bytes:
+    """Length, then the coded bytes."""
+    low, span, out, model = 0, 0xFFFFFFFF, bytearray(len(data).to_bytes(4, "little")), _Counts()
+    for symbol in data:
+        span //= model.total
+        low = (low + sum(model.counts[:symbol]) * span) & 0xFFFFFFFF
+        span *= model.counts[symbol]
+        model.add(symbol)
+        while True:
+            if (low ^ (low + span)) >= _TOP:
+                if span >= _BOTTOM:
+                    break
+                span = -low & (_BOTTOM - 1)
+            out.append(low >> 24)
+            low, span = (low << 8) & 0xFFFFFFFF, (span << 8) & 0xFFFFFFFF
+    return bytes(out + low.to_bytes(4, "big"))
+
+
+def range_unpack(data: bytes) -> bytes:
+    n, low, span, at, model = int.from_bytes(data[:4], "little"), 0, 0xFFFFFFFF, 8, _Counts()
+    code, out = int.from_bytes(data[4:8], "big"), bytearray()
+    for _ in range(n):
+        span //= model.total
+        wanted, symbol, start = ((code - low) & 0xFFFFFFFF) // span, 0, 0
+        while start + model.counts[symbol] <= wanted:
+            start += model.counts[symbol]
+            symbol += 1
+        out.append(symbol)
+        low = (low + start * span) & 0xFFFFFFFF
+        span *= model.counts[symbol]
+        model.add(symbol)
+        while True:
+            if (low ^ (low + span)) >= _TOP:
+                if span >= _BOTTOM:
+                    break
+                span = -low & (_BOTTOM - 1)
+            code = ((code << 8) | (data[at] if at < len(data) else 0)) & 0xFFFFFFFF
+            at += 1
+            low, span = (low << 8) & 0xFFFFFFFF, (span << 8) & 0xFFFFFFFF
+    return bytes(out)
+
+
+@F.pandas_udf(T.BinaryType())
+def range_encode(b: pd.Series) -> pd.Series:
+    return _each(b, range_pack)
+
+
+@F.pandas_udf(T.BinaryType())
+def range_decode(b: pd.Series) -> pd.Series:
+    return _each(b, range_unpack)

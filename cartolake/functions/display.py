@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -153,7 +152,7 @@ def scale_visible(scale: float | Column, least: float | Column, most: float | Co
     return ((low == 0) | (s >= low)) & ((high == 0) | (s <= high))
 
 
-# Clipping, in numpy; points are arrays of shape (n, 2), boxes (xmin, ymin, xmax, ymax).
+# Clipping, of single shapes in numpy, points being arrays of shape (n, 2), and of columns; boxes are (xmin, ymin, xmax, ymax).
 
 Box = tuple[float, float, float, float]
 
@@ -219,33 +218,72 @@ def clip_ring(points: np.ndarray, box: Box) -> np.ndarray:
     return np.concatenate([ring, ring[:1]]) if len(ring) else ring
 
 
-def _clipped(kind: str, box: Box):  # noqa: ANN202
-    @F.pandas_udf("array<array<struct<x:double,y:double>>>")
-    def clip(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for parts in batches:
-            yield parts.map(lambda value: None if value is None else [[{"x": float(x), "y": float(y)} for x, y in run] for part in value for run in _runs(part) if len(run)])
+_RUNS = "array<array<struct<x:double,y:double>>>"
 
-    def _runs(part: list) -> list[np.ndarray]:
-        points = np.array([(p["x"], p["y"]) for p in part], float).reshape(-1, 2)
-        return [clip_ring(points, box)] if kind == "polygon" else clip_line(points, box)
 
-    return clip
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.transform(F.array(value), use)[0]
+
+
+def segment_inside(a: Column, b: Column, box: Box) -> Column:
+    """The parametric range of a segment that lies in a box, as from and to, after Liang and Barsky; NULL if none does."""
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    sides = [(-dx, a["x"] - box[0]), (dx, box[2] - a["x"]), (-dy, a["y"] - box[1]), (dy, box[3] - a["y"])]
+    low = F.greatest(F.lit(0.0), *[F.when(p < 0, q / p) for p, q in sides])
+    high = F.least(F.lit(1.0), *[F.when(p > 0, q / p) for p, q in sides])
+    beyond = (dx == 0) & ((a["x"] < box[0]) | (a["x"] > box[2])) | (dy == 0) & ((a["y"] < box[1]) | (a["y"] > box[3]))
+    return F.when(~beyond & (low <= high), F.struct(low.alias("from"), high.alias("to")))
 
 
 def clip_lines(parts: Column, box: Box) -> Column:
-    """Polylines' parts inside a box; whole ones pass and those beyond one side go without reaching Python's clipper."""
-    return _guarded(parts, box, "polyline")
+    """Polylines' parts inside a box: runs of points; a line is split where it leaves the box."""
+    at = lambda s, t: F.struct((s["a"]["x"] + t * (s["b"]["x"] - s["a"]["x"])).alias("x"), (s["a"]["y"] + t * (s["b"]["y"] - s["a"]["y"])).alias("y"))
+
+    def runs(points: Column) -> Column:
+        n = F.greatest(F.size(points) - 1, F.lit(0))
+        pairs = F.arrays_zip(F.slice(points, F.lit(1), n).alias("a"), F.slice(points, F.lit(2), n).alias("b"))
+        seen = F.filter(F.transform(pairs, lambda s, i: F.struct(i.alias("i"), s["a"].alias("a"), s["b"].alias("b"), segment_inside(s["a"], s["b"], box).alias("t"))), lambda s: s["t"].isNotNull())
+        first = lambda s: F.when(s["t"]["from"] == 0, s["a"]).otherwise(at(s, s["t"]["from"]))
+        last = lambda s: F.when(s["t"]["to"] == 1, s["b"]).otherwise(at(s, s["t"]["to"]))
+
+        def joined(ss: Column) -> Column:
+            begins = lambda s, k: (k == 0) | (s["t"]["from"] > 0) | (F.get(ss, k - 1)["i"] + 1 != s["i"]) | (F.get(ss, k - 1)["t"]["to"] < 1)
+            heads = F.filter(F.transform(ss, lambda s, k: F.when(begins(s, k), k)), lambda k: k.isNotNull())
+            return _once(heads, lambda hs: F.transform(hs, lambda h, j: F.concat(F.array(first(F.get(ss, h))), F.transform(F.slice(ss, h + 1, F.coalesce(F.get(hs, j + 1), F.size(ss)) - h), last))))
+
+        return _once(seen, joined)
+
+    empty = F.array().cast(_RUNS)
+    return F.when(parts.isNotNull(), F.coalesce(F.flatten(F.transform(parts, runs)).cast(_RUNS), empty))
 
 
 def clip_polygons(parts: Column, box: Box) -> Column:
-    return _guarded(parts, box, "polygon")
+    """Polygons' rings inside a box, side by side: left, top, right, bottom; closed again, orientation kept, empty ones gone."""
+
+    def side(ring: Column, axis: str, bound: float, sign: int) -> Column:
+        def cut(r: Column) -> Column:
+            n = F.size(r)
+            inside = lambda p: (p[axis] - bound) * sign >= 0
+
+            def at(p: Column, i: Column) -> Column:
+                before = F.get(r, (i + n - 1) % n)
+                t = (bound - before[axis]) / (p[axis] - before[axis])
+                along = lambda c: F.lit(float(bound)) if c == axis else before[c] + t * (p[c] - before[c])
+                met = F.array(F.struct(along("x").alias("x"), along("y").alias("y")))
+                none = F.array().cast("array<struct<x:double,y:double>>")
+                return F.concat(F.when(inside(p) != inside(before), met).otherwise(none), F.when(inside(p), F.array(p)).otherwise(none))
+
+            return F.when(n > 0, F.flatten(F.transform(r, at))).otherwise(r)
 
+        return _once(ring, cut)
 
-def _guarded(parts: Column, box: Box, kind: str) -> Column:
-    flat = F.flatten(parts)
-    inside, outside = all_inside(flat, *box), all_outside(flat, *box)
-    empty = F.array().cast("array<array<struct<x:double,y:double>>>")
-    return F.when(inside, parts).when(outside, empty).otherwise(_clipped(kind, box)(F.when(~(inside | outside), parts)))
+    def clipped(ring: Column) -> Column:
+        out = F.when((F.size(ring) > 1) & (F.get(ring, F.lit(0)) == F.element_at(ring, -1)), F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+        for axis, bound, sign in (("x", box[0], 1), ("y", box[3], -1), ("x", box[2], -1), ("y", box[1], 1)):
+            out = side(out, axis, bound, sign)
+        return _once(out, lambda r: F.concat(r, F.slice(r, 1, 1)))
+
+    return F.filter(F.transform(parts.cast(_RUNS), clipped), lambda r: F.size(r) > 0)
 
 
 def shape_to_device(view: View, parts: Column) -> Column:
@@ -289,3 +327,25 @@ def apply(matrix: np.ndarray, points: np.ndarray) -> np.ndarray:
     """Points of shape (n, 3) moved by a matrix."""
     moved = np.concatenate([points, np.ones((len(points), 1))], 1) @ matrix.T
     return moved[:, :3] / moved[:, 3:]
+
+
+def inverse(matrix: np.ndarray) -> np.ndarray | None:
+    """The inverse, or None of a matrix without one."""
+    return None if abs(np.linalg.det(matrix)) < 1e-300 else np.linalg.inv(matrix)
+
+
+def decomposed(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Translation, rotation and scale of an affine matrix that is made of these, applied scale first."""
+    scale = np.linalg.norm(matrix[:3, :3], axis=0)
+    if np.linalg.det(matrix[:3, :3]) < 0:
+        scale = scale * (-1, 1, 1)
+    return matrix[:3, 3].copy(), matrix[:3, :3] / scale, scale
+
+
+#: What of a map is drawn, by bits: fixed values.
+PHASES = {"geography": 1, "annotation": 2, "selection": 4, "graphics": 8}
+
+
+def phases(mask: int) -> list[str]:
+    """The phases of a mask, in the order that they are drawn."""
+    return [name for name, bit in PHASES.items() if mask & bit]

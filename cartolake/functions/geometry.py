@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -302,56 +303,101 @@ def blob_size(code_has_z: bool, code_has_m: bool, points: Column, part_total: Co
     return F.lit(1 + 4 + 4 + 64 + 8) + 4 * part_total + (16 + 8 * code_has_z + 8 * code_has_m) * points
 
 
-def encode_shape(g: dict | None) -> bytes | None:
-    if g is None:
-        return None
-    items = lambda n: [] if g[n] is None else list(g[n])
-    points, starts = items("points"), items("parts")
-    flag = (1 if g["zs"] is not None else 0) | (2 if g["ms"] is not None else 0) | (4 if g["part_types"] is not None else 0)
-    box = g["bbox"]
-    out = struct.pack("<BIi8d2i", flag, g["type"] & 0xFFFFFFFF, box["type"], *[box[f"{r}{e}"] or 0.0 for r in "xyzm" for e in ("Min", "Max")], len(starts), len(points))
-    out += struct.pack(f"<{len(starts)}i", *starts)
-    if flag & 4:
-        out += struct.pack(f"<{len(starts)}i", *g["part_types"])
-    out += struct.pack(f"<{2 * len(points)}d", *[v for p in points for v in (p["x"], p["y"])])
-    for bit, name in ((1, "zs"), (2, "ms")):
-        if flag & bit:
-            out += struct.pack(f"<{len(points)}d", *[float("nan") if v is None else v for v in g[name]])
-    return out
-
-
-def decode_shape(b: bytes | None) -> dict | None:
-    if b is None:
-        return None
-    head = "<BIi8d2i"
-    flag, code, tag, *box, n_parts, n = struct.unpack_from(head, b)
-    at = struct.calcsize(head)
-
-    def take(fmt: str, count: int) -> list:
-        nonlocal at
-        values = list(struct.unpack_from(f"<{count}{fmt}", b, at))
-        at += struct.calcsize(f"<{count}{fmt}")
-        return values
-
-    starts = take("i", n_parts)
-    kinds = take("i", n_parts) if flag & 4 else None
-    flat = take("d", 2 * n)
-    zs = take("d", n) if flag & 1 else None
-    ms = [None if v != v else v for v in take("d", n)] if flag & 2 else None
-    names = [f"{r}{e}" for r in "xyzm" for e in ("Min", "Max")]
-    signed = code - (1 << 32) if code >> 31 else code
-    return {"type": signed, "bbox": {"type": tag} | dict(zip(names, box)), "parts": starts, "part_types": kinds, "points": [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2])], "zs": zs, "ms": ms}
-
-
-@F.pandas_udf(T.BinaryType())
-def to_blob(g: pd.DataFrame) -> pd.Series:
-    rows = g.to_dict("records")
-    return pd.Series([encode_shape(None if r["type"] is None or r["type"] != r["type"] else r | {"type": int(r["type"])}) for r in rows])
-
-
-@F.udf(GEOMETRY, useArrow=True)
-def from_blob(b: bytes) -> dict:
-    return decode_shape(b)
+_HEAD = np.dtype([("flag", "u1"), ("type", "<u4"), ("tag", "<i4"), ("box", "<f8", 8), ("parts", "<i4"), ("points", "<i4")])
+_NAMES = [f"{r}{e}" for r in "xyzm" for e in ("Min", "Max")]
+
+
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places from each start on, sizes of them, all in a row."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _numbers(a: pa.Array, empty: float = 0) -> np.ndarray:
+    return pc.fill_null(a, empty).to_numpy(zero_copy_only=False)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of a list column: which rows have one, its sizes (0 where not), and the values in a row."""
+    there = pc.is_valid(lists).to_numpy(zero_copy_only=False)
+    return there, _numbers(pc.list_value_length(lists)).astype(np.int64), lists.flatten()
+
+
+def encode_shapes(g: pa.Array) -> pa.Array:
+    """The binary forms of a column of geometries; whole columns at a time, in numpy."""
+    field = lambda name: pc.struct_field(g, name)
+    n, valid = len(g), pc.and_(pc.is_valid(g), pc.is_valid(field("type"))).to_numpy(zero_copy_only=False)
+    box = field("bbox")
+    _, n_parts, starts = _flat(field("parts"))
+    has_kinds, _, kinds = _flat(field("part_types"))
+    _, n_points, points = _flat(field("points"))
+    has_z, n_z, zs = _flat(field("zs"))
+    has_m, n_m, ms = _flat(field("ms"))
+    head = np.zeros(n, _HEAD)
+    head["flag"] = has_z * 1 | has_m * 2 | has_kinds * 4
+    head["type"] = _numbers(field("type")).astype(np.int64) & 0xFFFFFFFF
+    head["tag"] = _numbers(pc.struct_field(box, "type"))
+    for k, name in enumerate(_NAMES):
+        head["box"][:, k] = _numbers(pc.struct_field(box, name))
+    head["parts"], head["points"] = n_parts, n_points
+    xy = np.stack([_numbers(pc.struct_field(points, c)) for c in "xy"], 1) if len(points) else np.zeros((0, 2))
+    bodies = [
+        (np.full(n, _HEAD.itemsize), head.view(np.uint8).reshape(-1)), (4 * n_parts, _numbers(starts).astype("<i4").view(np.uint8)), (np.where(has_kinds, 4 * n_parts, 0), _numbers(kinds).astype("<i4").view(np.uint8)),
+        (16 * n_points, np.ascontiguousarray(xy, "<f8").view(np.uint8).reshape(-1)), (8 * n_z, _numbers(zs, np.nan).astype("<f8").view(np.uint8)), (8 * n_m, _numbers(ms, np.nan).astype("<f8").view(np.uint8)),
+    ]
+    sizes = sum(size for size, _ in bodies)
+    offsets = np.zeros(n + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    out, at = np.empty(int(offsets[-1]), np.uint8), offsets[:-1].copy()
+    for size, data in bodies:
+        out[_places(at, size)] = data
+        at += size
+    made = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+    return made if valid.all() else pc.if_else(pa.array(valid), made, pa.scalar(None, pa.binary()))
+
+
+def decode_shapes(blobs: pa.Array) -> pa.Array:
+    """A column of geometries of their binary forms."""
+    valid = pc.is_valid(blobs).to_numpy(zero_copy_only=False)
+    n = len(blobs)
+    joined = np.frombuffer(b"".join(b for b in blobs.to_pylist() if b is not None), np.uint8)
+    sizes = _numbers(pc.binary_length(blobs)).astype(np.int64)
+    at = np.cumsum(sizes) - sizes
+    head = np.zeros(n, _HEAD)
+    head.view(np.uint8).reshape(n, -1)[valid] = joined[_places(at[valid], np.full(valid.sum(), _HEAD.itemsize))].reshape(-1, _HEAD.itemsize)
+    place = at + _HEAD.itemsize
+
+    def take(counts: np.ndarray, kind: str, there: np.ndarray, width: int = 1) -> pa.Array:
+        nonlocal place
+        size = np.dtype(kind).itemsize * width
+        counts = np.where(there, counts, 0)
+        values = joined[_places(place, counts * size)].view(kind)
+        place = place + counts * size
+        offsets = np.zeros(n + 1, np.int32)
+        np.cumsum(counts, out=offsets[1:])
+        if width == 2:
+            values = pa.StructArray.from_arrays([pa.array(values[0::2]), pa.array(values[1::2])], ["x", "y"])
+        else:
+            values = pa.array(values, mask=np.isnan(values)) if kind == "<f8" else pa.array(values)
+        return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array(~there))
+
+    n_parts, n_points, flag = head["parts"].astype(np.int64), head["points"].astype(np.int64), head["flag"]
+    starts, kinds = take(n_parts, "<i4", valid), take(n_parts, "<i4", valid & (flag & 4 > 0))
+    points = take(n_points, "<f8", valid, 2)
+    zs, ms = (take(n_points, "<f8", valid & (flag & bit > 0)) for bit in (1, 2))
+    box = pa.StructArray.from_arrays([pa.array(head["tag"]), *[pa.array(np.ascontiguousarray(head["box"][:, k])) for k in range(8)]], ["type", *_NAMES])
+    columns = [pa.array(head["type"].astype(np.int64).astype(np.int32)), box, starts, kinds, points, zs, ms]
+    return pa.StructArray.from_arrays(columns, ["type", "bbox", "parts", "part_types", "points", "zs", "ms"], mask=pa.array(~valid))
+
+
+@F.arrow_udf(T.BinaryType())
+def to_blob(g: pa.Array) -> pa.Array:
+    return encode_shapes(g)
+
+
+@F.arrow_udf(GEOMETRY)
+def from_blob(b: pa.Array) -> pa.Array:
+    return decode_shapes(b)
 
 
 Shape = Callable[[Column], Column]

@@ -1,21 +1,39 @@
-"""Joins of two tables of boxes.
+"""Joins of two tables of boxes, and of shapes by their boxes and then exactly.
 
-Boxes are dealt over the cells of a grid, meet by an equi-join on the cell, and the pair is kept in the one cell that holds the lower left
-corner of what they share, so that it comes once without a distinct. The cell size has to be of the boxes' order; a box goes to every cell it
-touches.
+Boxes are dealt over the cells of grids, meet by an equi-join on the cell, and the pair is kept in the one cell that holds the lower left
+corner of what they share, so that it comes once without a distinct. A box goes to the grid whose cells are at least its own size, so that
+it touches four cells at most, however large it is; it is looked for there and in every coarser grid in use. Grids' cells grow by GROWTH
+from one to the next; boxes beyond the last grid, infinite ones included, share one cell. A crowded cell is a skewed key of an inner join, which AQE
+splits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BOX = ("xmin", "ymin", "xmax", "ymax")
+GROWTH, LAST = 8, 16
+
+
+def _levelled(df: DataFrame, cell: float) -> DataFrame:
+    """Whole boxes with their level."""
+    known = df.where(" and ".join(f"{c} is not null" for c in BOX) + " and xmin <= xmax and ymin <= ymax")
+    size = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(cell)) / cell
+    far = F.greatest(*[F.abs(F.col(c)) for c in BOX]) > cell * 1e15
+    level = F.ceil(F.log(size) / F.log(F.lit(float(GROWTH))) - 1e-9)
+    return known.withColumn("_own", F.when(far | (level >= LAST), LAST).otherwise(level).cast("int"))
 
 
-def _cells(df: DataFrame, cell: float) -> DataFrame:
-    low = lambda c: F.floor(F.col(c) / cell)
-    return df.withColumn("_cx", F.explode(F.sequence(low("xmin"), low("xmax")))).withColumn("_cy", F.explode(F.sequence(low("ymin"), low("ymax"))))
+def _dealt(df: DataFrame, cell: float, used: list[int]) -> DataFrame:
+    """Rows for each cell of each grid in use that isn't finer than the box's own."""
+    step = F.lit(float(cell)) * F.pow(F.lit(float(GROWTH)), F.col("_level"))
+    span = lambda low, high: F.when(F.col("_level") == LAST, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step)))
+    levels = F.filter(F.array(*map(F.lit, used)).cast("array<int>"), lambda u: u >= F.col("_own"))
+    placed = df.withColumn("_level", F.explode(levels))
+    return placed.withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
 
 
 def meet(a: str, b: str) -> Column:
@@ -25,8 +43,20 @@ def meet(a: str, b: str) -> Column:
 
 def join(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     """Pairs of rows whose closed boxes meet, as a_* and b_* columns. Boxes with nulls meet nothing."""
-    whole = lambda df: df.where(" and ".join(f"{c} is not null" for c in BOX) + " and xmin <= xmax and ymin <= ymax")
-    left, right = _cells(whole(a), cell).alias("a"), _cells(whole(b), cell).alias("b")
-    own = (F.col("a._cx") == F.floor(F.greatest("a.xmin", "b.xmin") / cell)) & (F.col("a._cy") == F.floor(F.greatest("a.ymin", "b.ymin") / cell))
-    pairs = left.join(right, (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy")) & meet("a", "b") & own)
+    left, right = _levelled(a, cell), _levelled(b, cell)
+    used = sorted({r["_own"] for r in left.select("_own").union(right.select("_own")).distinct().collect()})  # LAST + 1 numbers at most
+    if not used:
+        used = [0]
+    left, right = _dealt(left, cell, used).alias("a"), _dealt(right, cell, used).alias("b")
+    same = (F.col("a._level") == F.col("b._level")) & (F.col("a._cx") == F.col("b._cx")) & (F.col("a._cy") == F.col("b._cy"))
+    coarser = F.greatest("a._own", "b._own") == F.col("a._level")
+    step = F.lit(float(cell)) * F.pow(F.lit(float(GROWTH)), F.col("a._level"))
+    corner = lambda c, low: F.col(f"a.{c}") == F.floor(F.greatest(f"a.{low}", f"b.{low}") / step)
+    once = (F.col("a._level") == LAST) | (corner("_cx", "xmin") & corner("_cy", "ymin"))
+    pairs = left.join(right, same & coarser & meet("a", "b") & once)
     return pairs.select(*[F.col(f"a.`{c}`").alias(f"a_{c}") for c in a.columns], *[F.col(f"b.`{c}`").alias(f"b_{c}") for c in b.columns])
+
+
+def join_shapes(a: DataFrame, b: DataFrame, cell: float, relation: Callable[[Column, Column], Column], shape: str = "shape") -> DataFrame:
+    """Pairs of rows whose shapes are in a relation that holds for meeting boxes only, such as topology.intersects of their rings."""
+    return join(a, b, cell).where(relation(F.col(f"a_{shape}"), F.col(f"b_{shape}")))

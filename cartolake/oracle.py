@@ -14,7 +14,7 @@ def _geo(sql: str, more: str = "") -> str:
 
 
 _PAIRS = """, boxed AS (SELECT oid, CASE WHEN oid % 11 = 0 THEN 0 WHEN oid % 13 = 0 THEN 1 WHEN oid % 17 = 0 THEN -1 ELSE 2 END AS tag, xmin, xmax, ymin, ymax FROM geo_supplier),
-pairs AS (SELECT l.oid AS a_oid, r.oid AS b_oid, l.tag AS ta, r.tag AS tb, l.xmin AS ax0, l.xmax AS ax1, l.ymin AS ay0, l.ymax AS ay1, r.xmin AS bx0, r.xmax AS bx1, r.ymin AS by0, r.ymax AS by1 FROM boxed l JOIN boxed r ON l.oid % 37 = r.oid % 37)"""
+pairs AS (SELECT l.oid AS a_oid, r.oid AS b_oid, l.tag AS ta, r.tag AS tb, l.xmin AS ax0, l.xmax AS ax1, l.ymin AS ay0, l.ymax AS ay1, r.xmin AS bx0, r.xmax AS bx1, r.ymin AS by0, r.ymax AS by1 FROM boxed l JOIN boxed r ON r.oid - l.oid IN (0, 1, 2, 11, 13, 17))"""
 _SEGMENTS = ", segments AS (SELECT oid, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM geo_order_pt WINDOW w AS (PARTITION BY oid ORDER BY seq))"
 _TYPES = "0, 1, 21, 11, 9, 8, 28, 18, 20, 3, 23, 13, 10, 5, 25, 15, 19, 31, 32, 50, 51, 52, 53, 54"
 
@@ -28,7 +28,7 @@ ORACLE: dict[str, str] = {
     "p_project_fields": "SELECT c_name, c_custkey FROM customer",
     "p_project_all_alias": "SELECT tableI.* FROM nation AS tableI",
     "p_duplicate_names": "SELECT a.n_nationkey, a.n_name, b.n_nationkey AS b_n_nationkey, b.n_name AS b_n_name FROM nation a JOIN nation b ON b.n_regionkey = a.n_regionkey",
-    "p_null_test": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL",
+    "p_null_test": "SELECT n_nationkey, NULL::VARCHAR AS next_name FROM nation WHERE n_nationkey NOT IN (SELECT n_nationkey + 3 FROM nation)",
     "f_where": "SELECT * FROM customer WHERE c_acctbal >= 5000 AND c_mktsegment = 'BUILDING'",
     "f_bbox_intersects": _geo("SELECT oid, name FROM geo_supplier WHERE xmax >= 0 AND xmin <= 3000 AND ymax >= 5 AND ymin <= 12"),
     "f_bbox_within": _geo("SELECT oid, x, y FROM geo_part WHERE xmin >= 910 AND xmax <= 950 AND ymin >= 10 AND ymax <= 30"),
@@ -51,7 +51,7 @@ ORACLE: dict[str, str] = {
     "u_oid_intersect": _geo("SELECT oid FROM geo_part WHERE y < 30 INTERSECT SELECT oid FROM geo_supplier"),
     "o_bbox_order": _geo("SELECT oid, nation_id, CAST(row_number() OVER (PARTITION BY nation_id ORDER BY xmin, ymin, xmax, ymax, oid) AS INTEGER) AS place FROM geo_supplier"),
     "o_top_k": _geo("SELECT oid, x FROM geo_part ORDER BY x DESC, oid LIMIT 20"),
-    "o_variant_order": "WITH e AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS kind, event_type, value FROM events WHERE event_id < 2000) SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id % 50 ORDER BY kind, CASE WHEN kind = 1 THEN user_id END, CASE WHEN kind = 2 THEN value END, CASE WHEN kind = 3 THEN event_type END, event_id) AS INTEGER) AS place FROM e",
+    "o_variant_order": "WITH e AS (SELECT event_id, user_id, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS kind, event_type, value FROM events) SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY kind, CASE WHEN kind = 1 THEN user_id END, CASE WHEN kind = 2 THEN value END, CASE WHEN kind = 3 THEN event_type END, event_id) AS INTEGER) AS place FROM e",
     "b_predicates": _geo(
         """SELECT a_oid, b_oid, CAST(eq AS INTEGER) AS eq, CAST(NOT eq AS INTEGER) AS ne,
         CASE WHEN ta = -1 OR tb = -1 THEN 0 WHEN tb = 0 THEN 1 WHEN ta = 0 THEN 0 WHEN ta = 1 THEN 1 WHEN tb = 1 THEN 0 ELSE CAST(ax0 <= bx0 AND bx1 <= ax1 AND ay0 <= by0 AND by1 <= ay1 AS INTEGER) END AS holds,
@@ -101,17 +101,24 @@ ORACLE: dict[str, str] = {
     "g_area": _geo("SELECT oid, round((xmax - xmin) * (ymax - ymin), 3) AS area, round(2 * (xmax - xmin) + 2 * (ymax - ymin), 3) AS perimeter, 1 AS clockwise, 1 AS n_parts FROM geo_supplier"),
     "g_point_in_ring": _geo("SELECT oid, CAST(xmin < 1234.5678 AND xmax > 1234.5678 AND ymin < 7.25 AND ymax > 7.25 AS INTEGER) AS inside, round(xmin + 20000.0, 3) AS distance FROM geo_supplier"),
     "g_drop_repeats": _geo("SELECT oid, CAST(count(*) FILTER (WHERE b IS NULL OR a <> b) AS INTEGER) AS n_points FROM (SELECT oid, floor(x / 50000) AS a, lag(floor(x / 50000)) OVER (PARTITION BY oid ORDER BY seq) AS b FROM geo_order_pt) GROUP BY oid"),
-    "m_clip_lines": "SELECT 1 AS outside WHERE FALSE",
+    "m_clip_lines": _geo(
+        """SELECT oid, round(coalesce(sum(CASE WHEN t0 <= t1 THEN (t1 - t0) * sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) END), 0), 3) AS inside, max(CASE WHEN t0 <= t1 THEN 1 ELSE 0 END) AS seen
+        FROM (SELECT *, CASE WHEN (x2 = x AND (x < 10000 OR x > 60000)) OR (y2 = y AND (y < 10 OR y > 40)) THEN 2
+            ELSE greatest(0, CASE WHEN x2 > x THEN (10000 - x) / (x2 - x) WHEN x2 < x THEN (60000 - x) / (x2 - x) END, CASE WHEN y2 > y THEN (10 - y) / (y2 - y) WHEN y2 < y THEN (40 - y) / (y2 - y) END) END AS t0,
+            least(1, CASE WHEN x2 > x THEN (60000 - x) / (x2 - x) WHEN x2 < x THEN (10000 - x) / (x2 - x) END, CASE WHEN y2 > y THEN (40 - y) / (y2 - y) WHEN y2 < y THEN (10 - y) / (y2 - y) END) AS t1
+            FROM segments WHERE x2 IS NOT NULL) GROUP BY oid""",
+        _SEGMENTS,
+    ),
     "s_shapefile": _geo("SELECT oid, name, xmin, ymax, 5 AS n_points FROM geo_supplier WHERE xmax >= 0 AND xmin <= 3000 AND ymax >= 5 AND ymin <= 12"),
     "s_sqlite": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation",
     "k_insert": "SELECT s_suppkey AS oid, s_name AS name, 'new' AS state, s_acctbal AS balance FROM supplier",
     "k_update": "SELECT s_suppkey AS oid, CASE WHEN s_acctbal < 0 THEN 'debt' ELSE 'new' END AS state FROM supplier WHERE s_suppkey % 7 <> 0",
     "t_rollback": "SELECT s_suppkey AS oid FROM supplier",
     "k_delete_by_oid": _geo("SELECT oid, name FROM geo_supplier WHERE oid % 3 <> 0"),
-    "k_etl_copy": _geo("SELECT * FROM geo_supplier"),
+    "k_etl_copy": _geo("SELECT oid, name, xmin, ymin, xmax, ymax FROM geo_supplier WHERE xmax >= 0 AND xmin <= 3000 AND ymax >= 5 AND ymin <= 12"),
 }
 
-_SIDES = "(SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey <= 60) c {kind} JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey BETWEEN 3 AND 40) n ON n.n_nationkey {op} c.c_nationkey"
+_SIDES = "customer c {kind} JOIN (SELECT n_nationkey + 3 AS next_key, n_name AS next_name FROM nation) n ON n.next_key {op} c.c_nationkey"
 for _name, _kind in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL OUTER")):
     for _op_name, _op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
-        ORACLE[f"j_{_name}_{_op_name}"] = "SELECT c_custkey, c_nationkey, n_name, n_nationkey FROM " + _SIDES.format(kind=_kind, op=_op)
+        ORACLE[f"j_{_name}_{_op_name}"] = "SELECT c_custkey, c_nationkey, next_name, next_key FROM " + _SIDES.format(kind=_kind, op=_op)

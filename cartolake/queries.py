@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import os
 import sqlite3
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -23,6 +22,7 @@ from .plans.model import DataType, Field, GeometryDef, JoinOp, JoinType, Spatial
 from .sources import shapefile, sqlite
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: By name; queries_more adds to it.
 QUERIES: dict[str, Query] = {}
 
 BOX = Box(910.0, 10.0, 950.0, 30.0)
@@ -121,9 +121,11 @@ def p_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def p_null_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations without a partner among nations three further on."""
     w = workspace(spark, sf_dir)
-    q = QueryFilter().with_fields("c_custkey").with_join(Join("orders", "o_custkey", "c_custkey", JoinType.LEFT, fields=("o_orderkey",))).with_where("o_orderkey IS NULL")
-    return w.table("customer").search(q)
+    w.add("next_nation", next_nation(spark, sf_dir))
+    q = QueryFilter().with_fields("n_nationkey").with_join(Join("next_nation", "next_key", "n_nationkey", JoinType.LEFT, fields=("next_name",))).with_where("next_name IS NULL")
+    return w.table("nation").search(q)
 
 
 # Filters.
@@ -168,13 +170,18 @@ def f_oid_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Joins.
 
 
+def next_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nations under keys three further on, so that both sides of a join have rows without a partner."""
+    return _read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 3).alias("next_key"), F.col("n_name").alias("next_name"))
+
+
 def _join(kind: JoinType, op: JoinOp) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All customers with all nations."""
         w = workspace(spark, sf_dir)
-        w.add("few_customers", _read(spark, sf_dir, "customer").where("c_custkey <= 60").select("c_custkey", "c_nationkey"))
-        w.add("some_nations", _read(spark, sf_dir, "nation").where("n_nationkey between 3 and 40").select("n_nationkey", "n_name"))
-        join = Join("some_nations", "n_nationkey", "c_nationkey", kind, op, ("n_name", "n_nationkey"))
-        return w.table("few_customers").search(QueryFilter().with_join(join))
+        w.add("next_nation", next_nation(spark, sf_dir))
+        join = Join("next_nation", "next_key", "c_nationkey", kind, op, ("next_name", "next_key"))
+        return w.table("customer").search(QueryFilter().with_fields("c_custkey", "c_nationkey").with_join(join))
 
     return run
 
@@ -231,10 +238,8 @@ def _map(spark: SparkSession, sf_dir: str) -> Map:
 
 @_query
 def a_map_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As one row of the union of all layers' extents."""
-    m = _map(spark, sf_dir)
-    parts = [bbox.extent(x.rows()) for x in m.layers]
-    return bbox.extent(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    """The map's extent as one row."""
+    return spark.createDataFrame([_map(spark, sf_dir).full_extent()], "xmin double, ymin double, xmax double, ymax double")
 
 
 @_query
@@ -282,21 +287,22 @@ def o_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def o_variant_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events").where("event_id < 2000")
+    e = _read(spark, sf_dir, "events")
     kind = F.when(F.col("event_id") % 3 == 0, "bigint").when(F.col("event_id") % 3 == 1, "string").otherwise("double")
     key = strings.variant_order(kind, F.when(kind == "bigint", F.col("user_id")), F.when(kind == "double", F.col("value")), F.when(kind == "string", F.col("event_type")))
-    return e.select("event_id", F.row_number().over(Window.partitionBy(F.col("user_id") % 50).orderBy(key, "event_id")).alias("place"))
+    return e.select("event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(key, "event_id")).alias("place"))
 
 
 # Boxes.
 
 
 def _box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of suppliers and of their neighbours by key, some of them null, infinite or invalid."""
+    """Boxes of suppliers with those of six others by key, themselves included; some of them are null, infinite or invalid."""
     s = geo_supplier(spark, sf_dir)
     tag = F.when(F.col("oid") % 11 == 0, bbox.NULL).when(F.col("oid") % 13 == 0, bbox.INFINITE).when(F.col("oid") % 17 == 0, bbox.INVALID).otherwise(bbox.NORMAL)
     boxed = s.select("oid", "nation_id", bbox.make(F.col("xmin"), F.col("xmax"), F.col("ymin"), F.col("ymax"), tag=tag).alias("b"))
-    return boxed.alias("l").join(boxed.alias("r"), F.col("l.oid") % 37 == F.col("r.oid") % 37).select(F.col("l.oid").alias("a_oid"), F.col("r.oid").alias("b_oid"), F.col("l.b").alias("a"), F.col("r.b").alias("b"))
+    left = boxed.withColumn("other", F.explode(F.array(*[F.col("oid") + d for d in (0, 1, 2, 11, 13, 17)])))
+    return left.alias("l").join(boxed.alias("r"), F.col("l.other") == F.col("r.oid")).select(F.col("l.oid").alias("a_oid"), F.col("r.oid").alias("b_oid"), F.col("l.b").alias("a"), F.col("r.b").alias("b"))
 
 
 @_query
@@ -483,7 +489,7 @@ def m_layer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Shapes as a table's column.
 
 
-def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' boxes as polygons: oid, name and shape."""
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     ring = F.array(corner("xmin", "ymin"), corner("xmin", "ymax"), corner("xmax", "ymax"), corner("xmax", "ymin"), corner("xmin", "ymin"))
@@ -506,13 +512,13 @@ def f_out_srs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def g_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = F.col("shape")
-    return _rings(spark, sf_dir).select("oid", F.round(geometry.shape_area(g), 3).alias("area"), F.round(geometry.perimeter(g["points"]), 3).alias("perimeter"), geometry.is_clockwise(g["points"]).cast("int").alias("clockwise"), geometry.part_count(g).alias("n_parts"))
+    return rings(spark, sf_dir).select("oid", F.round(geometry.shape_area(g), 3).alias("area"), F.round(geometry.perimeter(g["points"]), 3).alias("perimeter"), geometry.is_clockwise(g["points"]).cast("int").alias("clockwise"), geometry.part_count(g).alias("n_parts"))
 
 
 @_query
 def g_point_in_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("shape.points")
-    return _rings(spark, sf_dir).select("oid", geometry.point_in_ring(p, F.lit(1234.5678), F.lit(7.25)).cast("int").alias("inside"), F.round(geometry.distance_to_point(p, F.lit(-20000.0), F.col("shape.bbox.yMin") + 1), 3).alias("distance"))
+    return rings(spark, sf_dir).select("oid", geometry.point_in_ring(p, F.lit(1234.5678), F.lit(7.25)).cast("int").alias("inside"), F.round(geometry.distance_to_point(p, F.lit(-20000.0), F.col("shape.bbox.yMin") + 1), 3).alias("distance"))
 
 
 @_query
@@ -524,28 +530,33 @@ def g_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def m_clip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs of orders' lines inside a box; each point of them lies in it."""
-    box = (10000.0, 10.0, 60000.0, 40.0)
-    runs = order_lines(spark, sf_dir).where(F.size("points") > 1).select("oid", F.explode(display.clip_lines(F.array("points"), box)).alias("run"))
-    inside = F.forall("run", lambda p: p["x"].between(box[0] - 1e-6, box[2] + 1e-6) & p["y"].between(box[1] - 1e-6, box[3] + 1e-6))
-    return runs.select((~inside).cast("int").alias("outside")).where("outside = 1")
+    """How long orders' lines are inside a box, and in how many runs."""
+    runs = display.clip_lines(F.array("points"), (10000.0, 10.0, 60000.0, 40.0))
+    rows = order_lines(spark, sf_dir).where(F.size("points") > 1).withColumn("runs", runs)
+    total = F.aggregate(F.transform("runs", geometry.length), F.lit(0.0), lambda a, x: a + x)
+    return rows.select("oid", F.round(total, 3).alias("inside"), (F.size("runs") > 0).cast("int").alias("seen"))
 
 
 # Sources and stored tables.
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder where all executors can write."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder where all executors can write, removed when the driver's JVM ends: in spark.checkpoint.dir, or in /tmp on a local master."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"cartolake-{name}-")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = f"{(shared or 'file:///tmp/checkpoints/cartolake').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
 
 
 @_query
 def s_shapefile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers written as a shapefile and searched by a box."""
+    """Suppliers written as a folder of shapefiles, one a task, and searched by a box."""
     shapefile.register(spark)
-    path = _scratch(spark, "shapes").removeprefix("file://") + "/suppliers.shp"
-    _rings(spark, sf_dir).withColumnRenamed("oid", "key").write.format("shapefile").mode("append").option("path", path).save()
+    path = scratch(spark, "shapes")
+    rings(spark, sf_dir).withColumnRenamed("oid", "key").write.format("shapefile").mode("append").option("path", path).save()
     found = spark.read.format("shapefile").option("box", f"{SUPPLIER_BOX.xmin},{SUPPLIER_BOX.ymin},{SUPPLIER_BOX.xmax},{SUPPLIER_BOX.ymax}").load(path)
     return found.select(F.col("key").alias("oid"), "name", "xmin", "ymax", geometry.point_count(F.col("shape")).alias("n_points"))
 
@@ -554,7 +565,7 @@ def s_shapefile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations put into a SQLite file and read from it."""
     sqlite.register(spark)
-    path = _scratch(spark, "sqlite").removeprefix("file://")
+    path = shapefile.local(scratch(spark, "sqlite"))
     os.makedirs(path, exist_ok=True)
     with sqlite3.connect(f"{path}/nation.db") as db:
         db.execute("CREATE TABLE nation (n_nationkey INTEGER PRIMARY KEY, n_name TEXT NOT NULL, n_regionkey INTEGER)")
@@ -564,7 +575,7 @@ def s_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> Workspace:
     """A stored table of suppliers' names, states and balances."""
-    w = Workspace(spark, "stored", _scratch(spark, "workspace"))
+    w = Workspace(spark, "stored", scratch(spark, "workspace"))
     w.create_table("stored_supplier", [Field("oid", DataType.INT64, primary_key=True), Field("name", DataType.STRING, nullable=False), Field("state", DataType.STRING, default="'new'"), Field("balance", DataType.DOUBLE)])
     with w.transaction() as t:
         t.insert("stored_supplier", _read(spark, sf_dir, "supplier").selectExpr("s_suppkey AS oid", "s_name AS name", "s_acctbal AS balance"))
@@ -604,6 +615,13 @@ def k_delete_by_oid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def k_etl_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a search of the whole extent finds, with boxes for the copy's index."""
-    q = QueryFilter().with_box(Box(-1e9, -1e9, 1e9, 1e9))
-    return workspace(spark, sf_dir).table("geo_supplier").search(q)
+    """Suppliers searched in shapefiles by a box and copied into a stored spatial table, which is read back."""
+    shapefile.register(spark)
+    path = scratch(spark, "etl-shapes")
+    rings(spark, sf_dir).withColumnRenamed("oid", "key").write.format("shapefile").mode("append").option("path", path).save()
+    w = Workspace(spark, "etl", scratch(spark, "etl"))
+    w.create_table("copied", [Field("oid", DataType.INT64, primary_key=True), Field("name"), Field("shape", DataType.GEOMETRY, geometry=GeometryDef(5))])
+    found = spark.read.format("shapefile").option("box", f"{SUPPLIER_BOX.xmin},{SUPPLIER_BOX.ymin},{SUPPLIER_BOX.xmax},{SUPPLIER_BOX.ymax}").load(path)
+    with w.transaction() as t:
+        t.insert("copied", found.select(F.col("key").alias("oid"), "name", F.col("Shape").alias("shape")))
+    return w.table("copied").search().select("oid", "name", "xmin", "ymin", "xmax", "ymax")

@@ -1,14 +1,21 @@
 """Shapefiles as a Spark data source: .shp, .shx, .dbf and .prj, read and written.
 
-Records are dealt to tasks by ranges of the .shx index, and a box given as option goes to the readers, which skip a record by its box before they
-decode it. Attributes are read by the record's own number. Files are read with Python from a path that all executors see.
+Records are dealt to tasks by ranges of the .shx index. A box given as option rules out whole ranges by a side file of blocks' boxes, which the
+writer makes, and single records by their own box before they are decoded. Attributes are read by the record's own number. A path that ends in .shp is
+one shapefile, which the driver puts together from the tasks' files; any other is a folder of shapefiles, one a task, so that nothing but the tasks
+handles rows. Files are read and written with Python at a path that all executors see; other stores are refused by name.
 """
 
 from __future__ import annotations
 
+import contextlib
 import datetime
+import math
 import os
+import pickle
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +31,15 @@ _POINTS, _MULTI, _PARTED, _PATCH = {1, 11, 21}, {8, 18, 28}, {3, 5, 13, 15, 23,
 _WITH_Z, _WITH_M = {11, 13, 15, 18, 31}, {11, 13, 15, 18, 31, 21, 23, 25, 28}
 NO_DATA = -1e38  # measures below it are none
 RECORDS = 10_000  # records of a task
+BLOCK = 256  # records of a block of the side file
+
+
+def local(path: str) -> str:
+    """A path as Python opens it."""
+    found = re.match(r"([a-zA-Z][a-zA-Z0-9+.-]+):(?://[^/]*)?(/.*)", path)
+    if found and found[1] != "file":
+        raise ValueError(f"shapefiles are read from paths that Python opens, not from {found[1]}:")
+    return found[2] if found else path
 
 
 def _zeros() -> dict:
@@ -160,7 +176,11 @@ def _free(name: str, taken: set[str]) -> str:
 
 
 def schema_of(path: str) -> T.StructType:
-    base = os.path.splitext(path)[0]
+    """The columns of a shapefile, or of the first of a folder."""
+    bases = _bases(path)
+    if not bases:
+        raise ValueError(f"no shapefile in {path}")
+    base = bases[0]
     columns = _dbf(f"{base}.dbf")[3] if os.path.exists(f"{base}.dbf") else []
     fields = [T.StructField(c.name, c.type(), True, {"length": c.length, "scale": c.decimals}) for c in columns]
     taken = {c.name.lower() for c in columns}
@@ -172,7 +192,7 @@ def header(path: str) -> dict:
     """Shape type and extent of a file, and its reference system: that of the .prj file, or a guess by the extent."""
     from ..functions import srs
 
-    base = os.path.splitext(path)[0]
+    base = _bases(path)[0]
     with open(f"{base}.shp", "rb") as f:
         head = f.read(100)
     if len(head) < 100 or struct.unpack_from(">i", head)[0] != FILE_CODE:
@@ -184,46 +204,96 @@ def header(path: str) -> dict:
 
 @dataclass
 class _Range(InputPartition):
+    """Records of one file; before is the number of records of the files ahead of it."""
+
+    base: str
+    before: int
     first: int
     last: int
 
 
+Bounds = tuple[float, float, float, float]
+
+
+def _bases(path: str) -> list[str]:
+    path = local(path)
+    if os.path.isdir(path):
+        return sorted(os.path.join(path, f)[:-4] for f in os.listdir(path) if f.lower().endswith(".shp"))
+    return [os.path.splitext(path)[0]]
+
+
+def _apart(a: Bounds, b: Bounds) -> bool:
+    return a[2] < b[0] or a[0] > b[2] or a[3] < b[1] or a[1] > b[3]
+
+
+def blocks_that_meet(base: str, n: int, box: Bounds) -> list[tuple[int, int]]:
+    """Ranges of records whose blocks' boxes meet a box; all records where there is no side file."""
+    if not os.path.exists(f"{base}.cbx"):
+        return [(0, n)]
+    with open(f"{base}.cbx", "rb") as f:
+        data = f.read()
+    out: list[tuple[int, int]] = []
+    for k in range(len(data) // 32):
+        own = struct.unpack_from("<4d", data, 32 * k)
+        if not _apart(own, box):
+            first, last = BLOCK * k, min(n, BLOCK * (k + 1))
+            out = [*out[:-1], (out[-1][0], last)] if out and out[-1][1] == first else [*out, (first, last)]
+    return out
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, options: dict) -> None:
-        self.base = os.path.splitext(path)[0]
+        self.bases = _bases(path)
         self.box = tuple(float(v) for v in options["box"].split(",")) if options.get("box") else None
         self.charset = options.get("charset", "utf-8")
         self.size = int(options.get("records", RECORDS))
 
     def partitions(self) -> list[_Range]:
-        n = (os.path.getsize(f"{self.base}.shx") - 100) // 8
-        return [_Range(k, min(n, k + self.size)) for k in range(0, n, self.size)] or [_Range(0, 0)]
+        out, before = [], 0
+        for base in self.bases:
+            n = (os.path.getsize(f"{base}.shx") - 100) // 8
+            for low, high in blocks_that_meet(base, n, self.box) if self.box else [(0, n)]:
+                out += [_Range(base, before, k, min(high, k + self.size)) for k in range(low, high, self.size)]
+            before += n
+        return out or [_Range(self.bases[0] if self.bases else "", 0, 0, 0)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
-        with open(f"{self.base}.shx", "rb") as f:
+        if part.first == part.last:
+            return
+        with open(f"{part.base}.shx", "rb") as f:
             f.seek(100 + 8 * part.first)
-            index = [struct.unpack_from(">2i", e) for e in iter(lambda: f.read(8), b"")][: part.last - part.first]
-        has = os.path.exists(f"{self.base}.dbf")
-        _, start, width, columns = _dbf(f"{self.base}.dbf") if has else (0, 0, 0, [])
-        table = open(f"{self.base}.dbf", "rb") if has else None
-        with open(f"{self.base}.shp", "rb") as shapes:
-            for oid, (at, size) in enumerate(index, part.first):
+            index = list(struct.iter_unpack(">2i", f.read(8 * (part.last - part.first))))
+        has = os.path.exists(f"{part.base}.dbf")
+        _, start, width, columns = _dbf(f"{part.base}.dbf") if has else (0, 0, 0, [])
+        with contextlib.ExitStack() as stack:
+            table = stack.enter_context(open(f"{part.base}.dbf", "rb")) if has else None
+            shapes = stack.enter_context(open(f"{part.base}.shp", "rb"))
+            for i, (at, size) in enumerate(index, part.first):
+                shapes.seek(2 * at + 8)
+                head = shapes.read(min(36, 2 * size))
+                if self.box and self._beyond(head):
+                    continue
                 raw = b""
                 if table:
-                    table.seek(start + width * oid)
+                    table.seek(start + width * i)
                     raw = table.read(width)
                     if raw[:1] == b"*":
                         continue
-                shapes.seek(2 * at + 8)
-                g = decode(shapes.read(2 * size))
+                g = decode(head + shapes.read(2 * size - len(head)))
                 box = g and g["bbox"]
-                if self.box and (not box or box["xMax"] < self.box[0] or box["xMin"] > self.box[2] or box["yMax"] < self.box[1] or box["yMin"] > self.box[3]):
-                    continue
                 flat = [box[k] for k in ("xMin", "yMin", "xMax", "yMax")] if box else [None] * 4
                 shape = None if g is None else tuple(tuple(v.values()) if k == "bbox" else [tuple(p.values()) for p in v] if k == "points" else v for k, v in self._ordered(g).items())
-                yield (oid, *[c.value(raw, self.charset) for c in columns], shape, *flat)
-        if table:
-            table.close()
+                yield (part.before + i, *[c.value(raw, self.charset) for c in columns], shape, *flat)
+
+    def _beyond(self, head: bytes) -> bool:
+        """Whether a record's first bytes say that it is beyond the box, or has no shape."""
+        (code,) = struct.unpack_from("<i", head)
+        if code == 0:
+            return True
+        if code in _POINTS:
+            x, y = struct.unpack_from("<2d", head, 4)
+            return _apart((x, y, x, y), self.box)
+        return _apart(struct.unpack_from("<4d", head, 4), self.box)
 
     @staticmethod
     def _ordered(g: dict) -> dict:
@@ -238,10 +308,12 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Tasks write their rows to part files in the target's folder; the commit puts them together as one shapefile."""
+    """Tasks write whole shapefiles to a folder, which the commit only renames; for one shapefile they write parts, which the commit puts together."""
 
     def __init__(self, path: str, schema: T.StructType, options: dict) -> None:
-        self.base, self.schema, self.options = os.path.splitext(path)[0], schema, options
+        path = local(path)
+        self.single = path.lower().endswith(".shp")
+        self.base, self.schema, self.options = os.path.splitext(path)[0] if self.single else path, schema, options
         self.charset = options.get("charset", "utf-8")
         self.shape = next((f.name for f in schema if f.dataType.simpleString() == GEOMETRY.simpleString()), None)
         if not self.shape:
@@ -271,25 +343,34 @@ class _Writer(DataSourceWriter):
         out = str(value).encode(self.charset)[:size]
         return out.decode(self.charset, "ignore").encode(self.charset).ljust(size)
 
-    def write(self, rows: Iterator[Row]) -> _Written:
-        import pickle
-        import uuid
-
-        path, n = f"{self.base}.part-{uuid.uuid4().hex}", 0
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "wb") as f:
-            for row in rows:
-                g = row[self.shape]
-                flat = [(p["x"], p["y"]) for p in g["points"]] if g else []
-                pickle.dump((encode(g), g["type"] if g else 0, flat and (min(x for x, _ in flat), min(y for _, y in flat), max(x for x, _ in flat), max(y for _, y in flat)), b" " + b"".join(self._text(row[c], k, s, d) for c, k, s, d in self.columns)), f)
-                n += 1
-        return _Written(path, n)
-
-    def commit(self, messages: list[_Written | None]) -> None:
-        import pickle
+    def _records(self, rows: Iterator[Row]) -> Iterator[tuple]:
+        for row in rows:
+            g = row[self.shape]
+            flat = [(p["x"], p["y"]) for p in g["points"]] if g else []
+            box = (min(x for x, _ in flat), min(y for _, y in flat), max(x for x, _ in flat), max(y for _, y in flat)) if flat else None
+            yield encode(g), g["type"] if g else 0, box, b" " + b"".join(self._text(row[c], k, s, d) for c, k, s, d in self.columns)
 
+    def write(self, rows: Iterator[Row]) -> _Written:
+        name = uuid.uuid4().hex
+        if self.single:
+            path, n = f"{self.base}.part-{name}", 0
+            os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+            with open(path, "wb") as f:
+                for record in self._records(rows):
+                    pickle.dump(record, f)
+                    n += 1
+            return _Written(path, n)
+        os.makedirs(self.base, exist_ok=True)
+        base = os.path.join(self.base, f"part-{name}")
+        n = self._assemble(f"{base}.tmp", self._records(rows))
+        return _Written(base, n)
+
+    def _assemble(self, base: str, records: Iterator[tuple]) -> int:
+        """Write a whole shapefile of records as they come; returns how many."""
         code, box, n, place = 0, None, 0, 50
-        with open(f"{self.base}.shp", "wb") as shp, open(f"{self.base}.shx", "wb") as shx, open(f"{self.base}.dbf", "wb") as dbf:
+        own_boxes: list[Bounds | None] = []
+        around = lambda a, b: b if a is None else a if b is None else (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
+        with open(f"{base}.shp", "wb") as shp, open(f"{base}.shx", "wb") as shx, open(f"{base}.dbf", "wb") as dbf:
             shp.write(b"\0" * 100)
             shx.write(b"\0" * 100)
             width = 1 + sum(s for _, _, s, _ in self.columns)
@@ -298,37 +379,57 @@ class _Writer(DataSourceWriter):
             for name, kind, size, scale in self.columns:
                 dbf.write(struct.pack("<11sc4xBB14x", name.encode("latin-1", "replace")[:10], kind.encode(), size, scale))
             dbf.write(b"\r")
-            for m in messages:
-                with open(m.path, "rb") as f:
-                    for _ in range(m.rows):
-                        body, kind, own, record = pickle.load(f)
-                        code = code or kind
-                        if own:
-                            box = own if box is None else (min(box[0], own[0]), min(box[1], own[1]), max(box[2], own[2]), max(box[3], own[3]))
-                        n += 1
-                        shp.write(struct.pack(">2i", n, len(body) // 2) + body)
-                        shx.write(struct.pack(">2i", place, len(body) // 2))
-                        dbf.write(record)
-                        place += 4 + len(body) // 2
+            for body, kind, own, record in records:
+                code = code or kind
+                if n % BLOCK == 0:
+                    own_boxes.append(None)
+                own_boxes[-1] = around(own_boxes[-1], own)
+                n += 1
+                shp.write(struct.pack(">2i", n, len(body) // 2) + body)
+                shx.write(struct.pack(">2i", place, len(body) // 2))
+                dbf.write(record)
+                place += 4 + len(body) // 2
             dbf.write(b"\x1a")
+            for b in own_boxes:
+                box = around(box, b)
             for f, size in ((shp, place), (shx, 50 + 4 * n)):
                 f.seek(0)
                 f.write(struct.pack(">i20xi", FILE_CODE, size) + struct.pack("<2i8d", VERSION, code, *(box or (0.0,) * 4), 0.0, 0.0, 0.0, 0.0))
             dbf.seek(0)
             dbf.write(struct.pack("<4BIHH20x", 3, 126, 1, 1, n, start, width))
+        with open(f"{base}.cbx", "wb") as f:
+            f.write(b"".join(struct.pack("<4d", *(b or (math.inf, math.inf, -math.inf, -math.inf))) for b in own_boxes))
         if self.options.get("srs"):
-            with open(f"{self.base}.prj", "w", encoding="utf-8") as f:
+            with open(f"{base}.prj", "w", encoding="utf-8") as f:
                 f.write(self.options["srs"])
-        self._clean(messages)
+        return n
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        done = [m for m in messages if m]
+        if self.single:
+            self._assemble(self.base, self._unpickled(done))
+            self._clean(messages)
+            return
+        for m in done:  # names only: the tasks have written the files
+            for end in ("shx", "dbf", "cbx", "prj", "shp"):
+                if os.path.exists(f"{m.path}.tmp.{end}"):
+                    os.rename(f"{m.path}.tmp.{end}", f"{m.path}.{end}")
+
+    @staticmethod
+    def _unpickled(done: list[_Written]) -> Iterator[tuple]:
+        for m in done:
+            with open(m.path, "rb") as f:
+                for _ in range(m.rows):
+                    yield pickle.load(f)
 
     def abort(self, messages: list[_Written | None]) -> None:
         self._clean(messages)
 
-    @staticmethod
-    def _clean(messages: list[_Written | None]) -> None:
+    def _clean(self, messages: list[_Written | None]) -> None:
         for m in messages:
-            if m and os.path.exists(m.path):
-                os.remove(m.path)
+            for path in [m.path] if m and self.single else [f"{m.path}.tmp.{end}" for end in ("shp", "shx", "dbf", "cbx", "prj")] if m else []:
+                if os.path.exists(path):
+                    os.remove(path)
 
 
 class ShapefileSource(DataSource):

@@ -2,20 +2,23 @@
 
 import datetime
 import math
+import random
 import sqlite3
 import struct
 import zipfile
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from cartolake.functions import bbox, dates, display, geometry, srs, strings, units
-from cartolake.operators import oidset, spatial_join
+from cartolake.functions import bbox, codecs, dates, display, geometry, srs, strings, topology, units
+from cartolake.operators import joins, oidset, spatial_join
 from cartolake.operators.cartography import EMPTY_EXTENT, Layer, Map, Renderer, until_stopped
-from cartolake.operators.workspace import Workspace
+from cartolake.operators.workspace import BusyError, ConflictError, Workspace
 from cartolake.plans.compiler import condition
 from cartolake.plans.filters import Box, Join, QueryFilter
 from cartolake.plans.model import GEOMETRY, DataType, Field, Fields, FieldSet, GeometryDef, JoinOp, JoinType, SpatialRel, TransactionType
@@ -102,6 +105,9 @@ def test_store_insert_update_delete(spark, tmp_path):
     x.insert("t", [{"id": 50, "name": "x"}])
     x.rollback()
     parts = [p for p in (tmp_path / "w" / "t").iterdir() if p.is_dir()]
+    assert len(parts) > len(w._parts["t"]) and t.count() == 10  # replaced parts stay for readers
+    w.vacuum(0)
+    parts = [p for p in (tmp_path / "w" / "t").iterdir() if p.is_dir()]
     assert len(parts) == len(w._parts["t"]) and t.count() == 10
     with pytest.raises(ValueError):
         x.commit()
@@ -184,8 +190,9 @@ def test_shape_records_keep_z_and_m():
         back = shapefile.decode(shapefile.encode(g))
         assert back["points"] == g["points"] and back["parts"] == g["parts"] and back["bbox"]["xMax"] == n - 1
         assert back["zs"] == (g["zs"] if code in shapefile._WITH_Z else None) and back["ms"] == (g["ms"] if code in shapefile._WITH_M else None)
-        blob = geometry.encode_shape(back)
-        assert geometry.decode_shape(blob) == back and blob[0] == (back["zs"] is not None) + 2 * (back["ms"] is not None) + 4 * (code == 31)
+        column = pa.array([back, None, back], to_arrow_type(GEOMETRY))
+        blobs = geometry.encode_shapes(column)
+        assert geometry.decode_shapes(blobs).to_pylist() == [back, None, back] and blobs[0].as_py()[0] == (back["zs"] is not None) + 2 * (back["ms"] is not None) + 4 * (code == 31)
     assert shapefile.decode(struct.pack("<i", 0)) is None
 
 
@@ -286,7 +293,7 @@ def test_reference_systems(spark):
     web = 'PROJCS["WGS_1984_Web_Mercator_Auxiliary_Sphere",' + wkt + ',PROJECTION["Mercator_Auxiliary_Sphere"],PARAMETER["Central_Meridian",0.0]]'
     assert abs(srs.project_point(10, 50, "EPSG:4326", web)[1] - 6446275.841017158) < 1e-3
     assert srs.guess((-180, -90, 180, 90)) == srs.WGS84 and srs.guess((0, 0, 5000, 1)) is None
-    for bad in ("EPSG:1", "nonsense", '+proj=utm +zone=32'):
+    for bad in ("EPSG:1", "nonsense", '+proj=robin'):
         with pytest.raises(ValueError):
             srs.project_point(1, 1, "EPSG:4326", bad)
     x0, y0, x1, y1 = srs.project_box((-10, -10, 10, 10), "EPSG:4326", "EPSG:3857")
@@ -297,7 +304,7 @@ def test_reference_systems(spark):
 
 
 @settings(max_examples=50, deadline=None)
-@given(st.floats(-180, 180), st.floats(-85, 85), st.sampled_from(["EPSG:3857", "EPSG:3395"]))
+@given(st.floats(-180, 180), st.floats(-85, 85), st.sampled_from(["EPSG:3857", "EPSG:3395", "EPSG:6933", "EPSG:4087"]))
 def test_projection_round_trip(x, y, system):
     there = srs.project_point(x, y, "EPSG:4326", system)
     back = srs.project_point(*there, system, "EPSG:4326")
@@ -411,3 +418,194 @@ def test_plans_stay_pushed_down(spark):
 
 def test_geometry_type():
     assert GEOMETRY["points"].dataType.elementType.names == ["x", "y"] and SpatialRel.WITHIN == 5
+
+
+# Transactions of more than one writer.
+
+
+def _two(spark, tmp_path):
+    a = Workspace(spark, "a", str(tmp_path / "w"))
+    spark.catalog.dropTempView("t")
+    a.create_table("t", FIELDS)
+    with a.transaction() as x:
+        x.insert("t", [{"id": i, "name": f"a{i}"} for i in range(6)])
+    return a, Workspace(spark, "b", str(tmp_path / "w"))
+
+
+def test_two_writers(spark, tmp_path):
+    a, b = _two(spark, tmp_path)
+    x, y = a.transaction(), b.transaction()
+    x.insert("t", [{"id": 10, "name": "x"}])
+    y.insert("t", [{"id": 11, "name": "y"}])
+    x.commit()
+    y.commit()
+    assert {r.id for r in Workspace(spark, "c", a.path).table("t").df.collect()} == {0, 1, 2, 3, 4, 5, 10, 11}
+    a.refresh()
+    b.refresh()
+    x, y, z = a.transaction(), b.transaction(), Workspace(spark, "c", a.path).transaction()
+    x.delete("t", [0])
+    y.delete("t", [1])
+    z.insert("t", [{"id": 12, "name": "z"}])
+    x.commit()
+    with pytest.raises(ConflictError):
+        y.commit()
+    y.rollback()
+    z.commit()
+    a.refresh()
+    assert {r.id for r in a.table("t").df.collect()} == {1, 2, 3, 4, 5, 10, 11, 12}
+    x, y = a.transaction(), Workspace(spark, "d", a.path).transaction()
+    x.insert("t", [{"id": 20, "name": "x"}])
+    y.insert("t", [{"id": 20, "name": "y"}])
+    x.commit()
+    with pytest.raises(ConflictError):
+        y.commit()
+
+
+def test_tables_made_and_dropped_meanwhile(spark, tmp_path):
+    a, b = _two(spark, tmp_path)
+    x = a.transaction()
+    x.insert("t", [{"id": 10, "name": "x"}])
+    b.create_table("late", FIELDS)
+    spark.catalog.dropTempView("late")
+    x.commit()
+    assert set(Workspace(spark, "c", a.path)._parts) == {"t", "late"} == set(a._parts)
+    x = a.transaction()
+    x.insert("t", [{"id": 11, "name": "x"}])
+    b.remove("t")
+    with pytest.raises(ConflictError):
+        x.commit()
+
+
+def test_readers_outlive_changes_and_changes_touch_few_parts(spark, tmp_path):
+    a, _ = _two(spark, tmp_path)
+    with a.transaction() as x:
+        x.insert("t", [{"id": 100 + i, "name": f"b{i}"} for i in range(6)])
+    planned, before = a.table("t").df, list(a._parts["t"])
+    with a.transaction() as x:
+        x.update("t", spark.createDataFrame([(3, "new")], "id long, name string"))
+        x.delete("t", [999])
+    assert planned.where("name = 'a3'").count() == 1 and len(set(before) & set(a._parts["t"])) == 1
+    assert {r.id: r.name for r in a.table("t").df.where("id < 5").collect()}[3] == "new" and a.table("t").count() == 12
+    with pytest.raises(ValueError), a.transaction() as x:
+        x.update("t", spark.createDataFrame([(3, "one"), (3, "two")], "id long, name string"))
+    assert a.counters["insert"].bytes > 0 and a.counters["commit"].count == 3
+    with pytest.raises(Exception):
+        a.execute("INSERT INTO t (id, name) VALUES (3, 'again')")
+    assert a.execute("DELETE FROM t WHERE name LIKE 'b%' AND id > 103") == 2 and a.table("t").count() == 10
+
+
+def test_a_dead_writers_lock_is_taken_over(spark, tmp_path, monkeypatch):
+    a, _ = _two(spark, tmp_path)
+    (tmp_path / "w" / "workspace.lock").touch()
+    monkeypatch.setattr("cartolake.operators.workspace.BUSY", 0.3)
+    with pytest.raises(BusyError):
+        a.vacuum()
+    monkeypatch.setattr("cartolake.operators.workspace.STALE", -1.0)
+    assert a.vacuum() == 0 and not (tmp_path / "w" / "workspace.lock").exists()
+
+
+# Projections, shapes and joins.
+
+
+def test_published_examples():
+    """Numbered examples of the projections' standard manual, on Clarke's ellipsoid of 1866."""
+    clarke = "+a=6378206.4 +rf=294.9786982"
+    for definition, point, want in (
+        (f"+proj=tmerc +lat_0=0 +lon_0=-75 +k=0.9996 {clarke}", (-73.5, 40.5), (127106.5, 4484124.4)), (f"+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96 {clarke}", (-75, 35), (1885472.7, 1535925.0)),
+        (f"+proj=lcc +lat_1=33 +lat_2=45 +lat_0=23 +lon_0=-96 {clarke}", (-75, 35), (1894410.9, 1564649.5)), (f"+proj=laea +lat_0=40 +lon_0=-100 {clarke}", (-110, 30), (-965932.1, -1056814.9)),
+        (f"+proj=stere +lat_0=40 +lon_0=-100 +k=0.9999 {clarke}", (-90, 30), (971630.8, -1063049.3)), (f"+proj=cea +lat_ts=5 +lon_0=-75 {clarke}", (-78, 5), (-332699.8, 554248.5)),
+    ):
+        got = srs.project_point(*point, "EPSG:4326", definition)
+        assert abs(got[0] - want[0]) < 0.2 and abs(got[1] - want[1]) < 0.2, definition
+    for code in ("EPSG:32632", "EPSG:2154", "EPSG:3035", "EPSG:5070", "EPSG:3395"):
+        again = srs.wkt_to_proj(srs.to_wkt(code))
+        assert np.allclose(srs.project_point(8.0, 47.0, "EPSG:4326", again), srs.project_point(8.0, 47.0, "EPSG:4326", code))
+    assert srs.cut_meridian("EPSG:5070") == 84 and srs.cut_meridian("EPSG:4326") is None and srs.parallel_range("EPSG:2154") == (-59.9, 89.9)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.floats(-20, 40), st.floats(30, 75), st.sampled_from(["EPSG:32632", "EPSG:2154", "EPSG:3034", "EPSG:3035", "EPSG:5070", "EPSG:3413", "+proj=stere +lat_0=50 +lon_0=10", "+proj=tmerc +R=6370997 +lon_0=9"]))
+def test_projections_are_undone_within_a_millimetre(x, y, system):
+    back = srs.project_point(*srs.project_point(x, y, "EPSG:4326", system), system, "EPSG:4326")
+    assert abs(back[0] - x) < 1e-8 and abs(back[1] - y) < 1e-8
+
+
+def _hull(points):
+    points = sorted(set(points))
+    if len(points) < 2:
+        return points
+
+    def half(ps):
+        out = []
+        for p in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    ring = half(points) + half(points[::-1])
+    return ring + ring[:1]
+
+
+def _simplified(points, tolerance):
+    def far(a, b, p):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        k = dx * dx + dy * dy
+        t = max(0, min(1, ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / k)) if k else 0
+        return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+    if len(points) < 3:
+        return points
+    d, i = max((far(points[0], points[-1], p), -k) for k, p in enumerate(points[1:-1], 1))
+    return _simplified(points[: 1 - i], tolerance)[:-1] + _simplified(points[-i:], tolerance) if d > tolerance else [points[0], points[-1]]
+
+
+def test_topology_against_plain_code(spark):
+    rng = random.Random(3)
+    clouds = [[(float(rng.randint(0, 9)), float(rng.randint(0, 9))) for _ in range(rng.choice([1, 2, 3, 8, 30]))] for _ in range(60)]
+    walks = [[(float(k), rng.random() * 5) for k in range(rng.choice([2, 3, 10, 40]))] for _ in range(60)]
+    rows = [([*map(lambda p: {"x": p[0], "y": p[1]}, c)], [*map(lambda p: {"x": p[0], "y": p[1]}, w)]) for c, w in zip(clouds, walks)]
+    df = spark.createDataFrame(rows, "c array<struct<x:double,y:double>>, w array<struct<x:double,y:double>>")
+    got = df.select(topology.convex_hull(F.col("c")).alias("h"), topology.simplify(F.col("w"), 1.0).alias("s"), topology.crosses(F.col("w"), F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.5, -1.0), (2.5, -1.0), (2.5, 9.0), (0.5, 9.0))])).alias("x")).collect()
+    for r, c, w in zip(got, clouds, walks):
+        assert [tuple(p) for p in r.h] == _hull(c) and [tuple(p) for p in r.s] == _simplified(w, 1.0) and r.x
+    bow = _points((0, 0), (2, 2), (2, 0), (0, 2))
+    ell, square = _points((0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)), _points((0.5, 0.5), (3, 0.5), (3, 3), (0.5, 3))
+    r = _one(spark, topology.is_simple(bow), topology.is_simple(ell), topology.area(topology.intersection(ell, square)), topology.total_area(topology.difference(ell, square)), topology.contains(ell, square), topology.touches(ell, _points((1, 1), (2, 1), (2, 2), (1, 2))), topology.overlaps(ell, square), topology.point_along(_points((0, 0), (3, 0), (3, 4)), 5.0))
+    assert [*r][:7] == [False, True, 2.25, 4.75, False, True, True] and tuple(r[7]) == (3.0, 2.0)
+
+
+def test_range_coder():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 300, 20_000):
+        for letters in (1, 2, 256):
+            data = bytes(rng.randrange(letters) for _ in range(n))
+            packed = codecs.range_pack(data)
+            assert codecs.range_unpack(packed) == data and (letters > 2 or len(packed) < n / 4 + 300)
+
+
+def test_as_of_and_ranges(spark):
+    rng = random.Random(5)
+    a = [(rng.randint(0, 3), rng.choice([None, *range(30)]), i) for i in range(200)]
+    b = [(rng.randint(0, 3), rng.choice([None, *range(30)]), rng.random()) for _ in range(80)]
+    got = joins.as_of(spark.createDataFrame(a, "k int, t int, i int"), spark.createDataFrame(b, "k int, t int, v double"), ["k"], "t", ["v"]).collect()
+    assert {r.i: r.b_v for r in got} == {i: max(((u, v) for m, u, v in b if m == k and t is not None and u is not None and u <= t), default=(0, None))[1] for k, t, i in a} and len(got) == 200
+    points = [(i, rng.uniform(-1000, 1000)) for i in range(200)] + [(900, None)]
+    spans = [(j, *sorted((x := rng.uniform(-1000, 1000), x + rng.choice([0, 3, 50, 5000])))) for j in range(60)] + [(90, -math.inf, 0.0), (91, 5.0, 1.0), (92, None, 3.0)]
+    got = joins.ranges(spark.createDataFrame(points, "i int, x double"), "x", spark.createDataFrame(spans, "j int, lo double, hi double"), "lo", "hi", 4.0).select("i", "j").collect()
+    assert sorted(map(tuple, got)) == sorted((i, j) for i, x in points for j, lo, hi in spans if None not in (x, lo) and lo <= x <= hi)
+
+
+def test_shapefile_folders_and_blocks(spark, tmp_path, monkeypatch):
+    shapefile.register(spark)
+    path = str(tmp_path / "many")
+    _squares(spark).repartition(3).write.format("shapefile").mode("append").option("path", path).save()
+    df = spark.read.format("shapefile").load(path)
+    assert {r.id for r in df.collect()} == set(range(25)) and df.select("oid").distinct().count() == 25
+    assert [r.id for r in spark.read.format("shapefile").option("box", "0.5,0.5,0.6,0.6").load("file://" + path).collect()] == [0]
+    boxes = [(float(k), 0.0, k + 1.0, 1.0) for k in range(5)]
+    (tmp_path / "x.cbx").write_bytes(b"".join(struct.pack("<4d", *b) for b in boxes))
+    assert shapefile.blocks_that_meet(str(tmp_path / "x"), 1100, (1.5, 0.2, 2.5, 0.3)) == [(256, 768)]
+    assert shapefile.blocks_that_meet(str(tmp_path / "none"), 7, (0, 0, 1, 1)) == [(0, 7)]
+    with pytest.raises(ValueError):
+        shapefile.local("hdfs://store/a.shp")
