@@ -33,7 +33,7 @@ from tokenizers.pre_tokenizers import Split
 
 from .shared import refuse
 
-SHORT, CACHE, NONE = 128, 400_000, 1 << 60
+SHORT, CACHE, NONE = 128, 200_000, 1 << 60
 #: Most text handled at once, in bytes; a longer text is a step by itself.
 STEP = 6_000_000
 

@@ -36,7 +36,7 @@ from .shared import TEXTS, discard, materialize, new_path
 
 PRECISION, LANES, BLOCK, CHECKPOINT = 20, 1024, 1 << 18, 128
 PART = 1 << 24  # ids in a part, about, where the session's number of partitions would make them larger
-KEPT, LONG = 400_000, 256  # distinct words that a worker keeps; characters of a piece at most that is split here
+KEPT, LONG = 250_000, 256  # distinct words that a worker keeps; characters of a piece at most that is split here
 _LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63); words are 32 bits
 
 

@@ -16,7 +16,7 @@ keep_one() can also link texts by their word shingles' Jaccard similarity. Disti
 which misses a pair of similarity 0.8 with a chance of 3 in 100,000, and every pair that meets is verified by the whole sets of shingles.
 A key of more than COLD texts isn't joined with itself. There, each text is held against one of the key's texts, another for each key, and
 keys of the same text that are both so large are joined to finer ones of twice the hashes, each with the next REACH; under those all pairs meet
-if there are no more than COLD texts, else again each text is held against one. If all keys of a pair are so large, the finer ones miss it with
+if there are no more than FINE texts, else again each text is held against one. If all keys of a pair are so large, it shares no finer key with
 a chance of 6 in 1,000 at similarity 0.8; a miss only counts where the pair isn't linked by way of others.
 """
 
@@ -35,8 +35,9 @@ from .shared import TEXTS, connected_components, discard, materialize, refuse
 
 SEED, SHINGLE, DISTANCE, BLOCKS, COLD = 42, 3, 2, 4, 64
 _CHUNK = 1 << 15
-#: Of the similarity of texts: shingle, keys of a text and smallest hashes in each; following keys that a large key is joined with.
-NEAR_SHINGLE, BANDS, ROWS, REACH = 5, 20, 4, 3
+#: Of the similarity of texts: shingle, keys of a text and smallest hashes in each; following keys that a large key is joined with, and most
+#: texts of such a finer key that are all held against each other.
+NEAR_SHINGLE, BANDS, ROWS, REACH, FINE = 5, 20, 4, 3, 16
 _TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _TIMES = _TIMES << np.uint64(1) | np.uint64(1)
 
@@ -139,12 +140,12 @@ def similar_links(rows: DataFrame, docs: DataFrame, least: float, text_col: str
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min_by(own, F.xxhash64("copy", "t")).alias("centre")).where("n > 1")
     members = materialize(keyed.join(shared, ["t", "key"]), "similar-members")
 
-    def met(of: DataFrame, keys: list[str]) -> DataFrame:
+    def met(of: DataFrame, keys: list[str], few: int) -> DataFrame:
         """All pairs under keys of few texts; each text with its key's centre under the others."""
-        cold = of.where(F.col("n") <= COLD).select(*keys, "copy", "fp")
+        cold = of.where(F.col("n") <= few).select(*keys, "copy", "fp")
         other = cold.select(*keys, F.col("copy").alias("y"), F.col("fp").alias("v"))
         pairs = cold.join(other, keys).where("copy > y AND fp <> v").select(F.col("copy").alias("x"), F.col("fp").alias("u"), "y", "v")
-        stars = of.where(F.col("n") > COLD).select(F.col("copy").alias("x"), F.col("fp").alias("u"), F.col("centre.copy").alias("y"), F.col("centre.fp").alias("v")).where("u <> v")
+        stars = of.where(F.col("n") > few).select(F.col("copy").alias("x"), F.col("fp").alias("u"), F.col("centre.copy").alias("y"), F.col("centre.fp").alias("v")).where("u <> v")
         turned = lambda a, b: F.when(F.col("x") > F.col("y"), F.col(a)).otherwise(F.col(b))
         return pairs.unionByName(stars.select(turned("x", "y").alias("x"), turned("u", "v").alias("u"), turned("y", "x").alias("y"), turned("v", "u").alias("v")))
 
@@ -152,7 +153,7 @@ def similar_links(rows: DataFrame, docs: DataFrame, least: float, text_col: str
     joined = [F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), F.col("keys")[F.lit(t)].alias("a"), F.col("keys")[F.lit((t + k) % BANDS)].alias("b")) for t in range(BANDS) for k in range(1, REACH + 1)]
     finer = large.select("copy", "fp", F.explode(F.array(*joined)).alias("j")).where("j.a IS NOT NULL AND j.b IS NOT NULL").select("copy", "fp", "j.*")
     again = finer.groupBy("t", "k", "a", "b").agg(F.count("*").alias("n"), F.min_by(own, F.xxhash64("copy")).alias("centre")).where("n > 1")
-    pairs = met(members, ["t", "key"]).unionByName(met(finer.join(again, ["t", "k", "a", "b"]), ["t", "k", "a", "b"]))
+    pairs = met(members, ["t", "key"], COLD).unionByName(met(finer.join(again, ["t", "k", "a", "b"]), ["t", "k", "a", "b"], FINE))
     pairs = materialize(pairs.distinct(), "similar-pairs")
     needed = pairs.select(F.explode(F.array("x", "y")).alias("copy")).distinct()
     texts = docs.where(F.col(text_col).isNotNull()).select(copy_of(text_col).alias("copy"), F.col(text_col).alias("text")).dropDuplicates(["copy"])
