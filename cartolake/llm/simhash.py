@@ -14,14 +14,16 @@ empty table gives no rows. Other columns of the input are not read by components
 
 keep_one() can also link texts by their word shingles' Jaccard similarity. Distinct texts meet under BANDS keys of ROWS smallest hashes each,
 which misses a pair of similarity 0.8 with a chance of 3 in 100,000, and every pair that meets is verified by the whole sets of shingles.
-A key of more than COLD texts isn't joined with itself. There, each text is held against one of the key's texts, another for each key, and
-keys of the same text that are both so large are joined to finer ones of twice the hashes, each with the next REACH; under those all pairs meet
-if there are no more than FINE texts, else again each text is held against one. If all keys of a pair are so large, it shares no finer key with
-a chance of 6 in 1,000 at similarity 0.8; a miss only counts where the pair isn't linked by way of others.
+A key of more than COLD texts isn't joined with itself. There, each text is first held against one of the key's texts, another for each key. Of
+what that leaves apart, every pair is held against each other that shares such a key, and whose sizes allow the similarity: large keys that a
+text ties together are one group, its texts are dealt out in blocks, and each pair of blocks is multiplied out as matrices of shingles. Only
+texts that are in one component already aren't compared, so no link is lost; near copies of a group soon are, and then the work is in proportion.
+Texts under large keys that stay apart cost a comparison for each pair of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -35,9 +37,9 @@ from .shared import TEXTS, connected_components, discard, materialize, refuse
 
 SEED, SHINGLE, DISTANCE, BLOCKS, COLD = 42, 3, 2, 4, 64
 _CHUNK = 1 << 15
-#: Of the similarity of texts: shingle, keys of a text and smallest hashes in each; following keys that a large key is joined with, and most
-#: texts of such a finer key that are all held against each other.
-NEAR_SHINGLE, BANDS, ROWS, REACH, FINE = 5, 20, 4, 3, 16
+#: Of the similarity of texts: shingle, keys of a text and smallest hashes in each; texts in a block under large keys on average, and about how many
+#: shingles if texts are long; columns of a matrix at once.
+NEAR_SHINGLE, BANDS, ROWS, BLOCK, ROOM, COLUMNS = 5, 20, 4, 256, 1 << 16, 2048
 _TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64)
 _TIMES = _TIMES << np.uint64(1) | np.uint64(1)
 
@@ -132,34 +134,135 @@ class _Similar:
             yield pa.RecordBatch.from_arrays(b.columns[:2], ["u", "v"]).filter(pa.array([similarity(x.as_py(), y.as_py()) >= self.least for x, y in zip(b.column(2), b.column(3))], pa.bool_()))
 
 
-def similar_links(rows: DataFrame, docs: DataFrame, least: float, text_col: str = "text") -> DataFrame:
-    """Links (u, v) between the fingerprints of texts whose similarity is least or more; rows are signed(docs, near=True), written."""
+class _Sets:
+    """copy and text to copy and the set of the text's shingles."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingles(t.as_py())).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["copy", "grams"])
+
+
+def _flat(sets: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which set and which of the sorted words, for every member of the sets that is one of the words; by words."""
+    values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    at = np.minimum(np.searchsorted(words, values), len(words) - 1)
+    there = np.nonzero(words[at] == values)[0]
+    there = there[np.argsort(at[there], kind="stable")]
+    return owner[there], at[there]
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of a shares with each of b."""
+    both = np.zeros((len(a), len(b)), np.float32)  # exact below 2^24
+    words = np.intersect1d(np.unique(np.concatenate(a)), np.unique(np.concatenate(b)), True)
+    if not len(words):
+        return both.astype(np.int64)
+    flat, total = [_flat(x, words) for x in (a, b)], both.astype(np.int64)
+    for start in range(0, len(words), COLUMNS):
+        matrices = []
+        for sets, (owner, at) in zip((a, b), flat):
+            lo, hi = np.searchsorted(at, [start, start + COLUMNS])
+            matrix = np.zeros((len(sets), COLUMNS), np.float32)
+            matrix[owner[lo:hi], at[lo:hi] - start] = 1
+            matrices.append(matrix)
+        total += np.matmul(matrices[0], matrices[1].T, out=both).astype(np.int64)
+    return total
+
+
+class _Meet:
+    """Rows (p, side, root, grams), in order, to a link of two roots for those that similar texts of the two sides of a p have; a p of one side meets itself."""
+
+    def __init__(self, least: float) -> None:
+        self.least = least
+
+    def _links(self, sides: dict[int, list[tuple[int, np.ndarray]]]) -> np.ndarray:
+        if not sides:
+            return np.zeros((0, 2), np.int64)
+        a, b = sides[min(sides)], sides[max(sides)]
+        both = shared_counts([x for _, x in a], [x for _, x in b])
+        sizes = np.array([len(x) for _, x in a])[:, None] + np.array([len(x) for _, x in b])
+        u, v = np.array([r for r, _ in a], np.int64), np.array([r for r, _ in b], np.int64)
+        i, j = np.nonzero((both / np.maximum(1, sizes - both) >= self.least) & (u[:, None] != v))
+        return np.unique(np.stack([np.maximum(u[i], v[j]), np.minimum(u[i], v[j])], 1), axis=0)
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sides = None, {}
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["u", "v"])
+        for batch in batches:
+            for p, side, root, grams in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if p != now:
+                    yield out(self._links(sides))
+                    now, sides = p, {}
+                sides.setdefault(side, []).append((root, grams.values.to_numpy()))
+        yield out(self._links(sides))
+
+
+def _rest(members: DataFrame, texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) between roots, for all pairs of texts that share a key of members, are similar and have different roots.
+
+    members (t, key, copy, fp), texts (copy, text), roots (u, root): the components so far, by fingerprint. No two texts of one component are
+    compared if it fills a block; small components share blocks.
+    """
+    held = members.select("copy", "fp", F.xxhash64("t", "key").alias("k")).groupBy("copy", "fp").agg(F.collect_set("k").alias("keys"))  # BANDS at most
+    held = materialize(held.withColumn("some", F.array_min("keys")), "similar-large")
+    tied = connected_components(held.select(F.explode("keys").alias("u"), F.col("some").alias("v")), "similar-groups")
+    sets = materialize(texts.join(held.select("copy"), "copy", "left_semi").select("copy", "text").mapInArrow(_Sets(), "copy string, grams array<long>"), "similar-sets", TEXTS)
+    width = max(-math.log(max(least, 1e-9)), 1e-3) * (1 + 1e-9)  # of a class of sizes: similar texts are in the same or the next one
+    placed = held.join(tied.select(F.col("u").alias("some"), F.col("root").alias("tie")), "some", "left").join(roots.withColumnRenamed("u", "fp"), "fp", "left")
+    placed = placed.join(sets.select("copy", F.floor(F.log(F.size("grams")) / width).cast("long").alias("class")), "copy")
+    placed = placed.select("copy", F.coalesce("tie", "some").alias("grp"), F.coalesce("root", "fp").alias("root"), "class")
+    room = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(ROOM / F.exp(width * (F.col("class") + 1))))).cast("long")
+    whole = ["grp", "class", "root"]
+    alone = placed.groupBy(whole).agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= room, F.col("root")))  # null where components share
+    placed = materialize(placed.join(alone.select(*whole, "own"), whole), "similar-placed")
+    parts = alone.groupBy("grp", "class", "own").agg(F.ceil(F.sum("n") / F.first(room)).alias("blocks"))
+    parts = materialize(parts.withColumn("part", F.monotonically_increasing_id()), "similar-parts")
+    dealt = parts.select("grp", "class", "own", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")).withColumn("at", F.struct("part", "block"))
+    a, b = dealt.alias("a"), dealt.alias("b")
+    later = (F.col("b.class") == F.col("a.class") + 1) | (F.col("b.class") == F.col("a.class")) & (F.col("a.at") <= F.col("b.at"))
+    apart = F.coalesce(F.col("a.own") != F.col("b.own"), F.lit(True))
+    pairs = a.join(b, (F.col("a.grp") == F.col("b.grp")) & later & apart).select(F.col("a.at").alias("x"), F.col("b.at").alias("y"))
+    pairs = materialize(pairs.withColumn("p", F.monotonically_increasing_id()), "similar-blocks")
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("at")), F.struct(F.lit(1).alias("side"), F.col("y").alias("at"))))
+    asked = pairs.select("p", F.explode(sides).alias("s")).select("p", "s.side", F.col("s.at.part").alias("part"), F.col("s.at.block").alias("block"))
+    same = (F.col("l.grp") == F.col("r.grp")) & (F.col("l.class") == F.col("r.class")) & F.col("l.own").eqNullSafe(F.col("r.own"))
+    rows = placed.alias("l").join(parts.alias("r"), same).select("l.copy", "l.root", "r.part", F.pmod(F.xxhash64("l.copy"), F.col("r.blocks")).alias("block"))
+    rows = rows.join(asked, ["part", "block"]).join(sets, "copy").select("p", "side", "root", "grams")
+    found = rows.repartition("p").sortWithinPartitions("p", "side").mapInArrow(_Meet(least), "u long, v long")
+    found = materialize(found, "similar-rest", BLOCK)
+    discard(held, sets, placed, parts, pairs)
+    return found
+
+
+def similar_links(rows: DataFrame, docs: DataFrame, least: float, text_col: str = "text", known: DataFrame | None = None) -> DataFrame:
+    """Links (u, v) between fingerprints, enough of them to connect all texts whose similarity is least or more, and those of known, links (u, v).
+
+    rows are signed(docs, near=True), written.
+    """
     distinct = rows.where("bands IS NOT NULL").groupBy("copy", "fp").agg(F.first("bands").alias("bands"))
     keyed = distinct.select("copy", "fp", F.posexplode("bands").alias("t", "key"))
     own = F.struct("copy", "fp")
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min_by(own, F.xxhash64("copy", "t")).alias("centre")).where("n > 1")
     members = materialize(keyed.join(shared, ["t", "key"]), "similar-members")
-
-    def met(of: DataFrame, keys: list[str], few: int) -> DataFrame:
-        """All pairs under keys of few texts; each text with its key's centre under the others."""
-        cold = of.where(F.col("n") <= few).select(*keys, "copy", "fp")
-        other = cold.select(*keys, F.col("copy").alias("y"), F.col("fp").alias("v"))
-        pairs = cold.join(other, keys).where("copy > y AND fp <> v").select(F.col("copy").alias("x"), F.col("fp").alias("u"), "y", "v")
-        stars = of.where(F.col("n") > few).select(F.col("copy").alias("x"), F.col("fp").alias("u"), F.col("centre.copy").alias("y"), F.col("centre.fp").alias("v")).where("u <> v")
-        turned = lambda a, b: F.when(F.col("x") > F.col("y"), F.col(a)).otherwise(F.col(b))
-        return pairs.unionByName(stars.select(turned("x", "y").alias("x"), turned("u", "v").alias("u"), turned("y", "x").alias("y"), turned("v", "u").alias("v")))
-
-    large = members.where(F.col("n") > COLD).groupBy("copy", "fp").agg(F.map_from_entries(F.collect_list(F.struct("t", "key"))).alias("keys"))  # BANDS at most
-    joined = [F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), F.col("keys")[F.lit(t)].alias("a"), F.col("keys")[F.lit((t + k) % BANDS)].alias("b")) for t in range(BANDS) for k in range(1, REACH + 1)]
-    finer = large.select("copy", "fp", F.explode(F.array(*joined)).alias("j")).where("j.a IS NOT NULL AND j.b IS NOT NULL").select("copy", "fp", "j.*")
-    again = finer.groupBy("t", "k", "a", "b").agg(F.count("*").alias("n"), F.min_by(own, F.xxhash64("copy")).alias("centre")).where("n > 1")
-    pairs = met(members, ["t", "key"], COLD).unionByName(met(finer.join(again, ["t", "k", "a", "b"]), ["t", "k", "a", "b"], FINE))
-    pairs = materialize(pairs.distinct(), "similar-pairs")
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("copy")).distinct()
+    cold = members.where(F.col("n") <= COLD).select("t", "key", "copy", "fp")
+    other = cold.select("t", "key", F.col("copy").alias("y"), F.col("fp").alias("v"))
+    pairs = cold.join(other, ["t", "key"]).where("copy > y AND fp <> v").select(F.col("copy").alias("x"), F.col("fp").alias("u"), "y", "v")
+    large = members.where(F.col("n") > COLD)
+    stars = large.select(F.col("copy").alias("x"), F.col("fp").alias("u"), F.col("centre.copy").alias("y"), F.col("centre.fp").alias("v")).where("u <> v")
+    turned = lambda a, b: F.when(F.col("x") > F.col("y"), F.col(a)).otherwise(F.col(b))
+    stars = stars.select(turned("x", "y").alias("x"), turned("u", "v").alias("u"), turned("y", "x").alias("y"), turned("v", "u").alias("v"))
+    pairs = materialize(pairs.unionByName(stars).distinct(), "similar-pairs")
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("copy")).unionByName(large.select("copy")).distinct()
     texts = docs.where(F.col(text_col).isNotNull()).select(copy_of(text_col).alias("copy"), F.col(text_col).alias("text")).dropDuplicates(["copy"])
     texts = materialize(texts.join(needed, "copy", "left_semi"), "similar-texts")
     x, y = (texts.select(F.col("copy").alias(n), F.col("text").alias(t)) for n, t in (("x", "a"), ("y", "b")))
     found = materialize(pairs.join(x, "x").join(y, "y").select("u", "v", "a", "b").mapInArrow(_Similar(least), "u long, v long"), "similar-links", TEXTS)
+    if known is not None:
+        found = found.unionByName(known)
+    if large.head(1):
+        roots = connected_components(found, "similar-round")
+        found = roots.select("u", F.col("root").alias("v")).unionByName(_rest(large, texts, roots, least))
     discard(members, pairs, texts)
     return found
 
@@ -203,7 +306,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, similar: float | None
     distinct = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "simhash-distinct")
     edges = links(distinct.select("fp"))
     if similar is not None:
-        edges = edges.unionByName(similar_links(rows, docs, similar, text_col))
+        edges = similar_links(rows, docs, similar, text_col, materialize(edges, "simhash-links"))
     roots = connected_components(edges, "simhash-round").withColumnRenamed("u", "fp")
     return rows, distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 

@@ -144,3 +144,30 @@ def test_large_similarity_keys(spark, monkeypatch):
         assert sum(label[a] == label[b] for a, b in near) >= 0.995 * len(near)
     apart = {frozenset(i // 30 for i in found[10**9] if found[10**9][i] == c) for c in set(found[10**9].values())}
     assert all(len(x) == 1 for x in apart)
+
+
+@pytest.mark.parametrize("block, room, columns", [(256, 1 << 16, 2048), (3, 300, 50)])
+def test_large_similarity_keys_lose_no_pair(spark, monkeypatch, block, room, columns):
+    """Many texts that share much with each other, few of them near: under keys of any size, what is 0.8 similar has to meet."""
+    rng = random.Random(33)
+    texts = []
+    for _ in range(200):
+        own = [f"w{k}" for k in range(100)]
+        for _ in range(2):
+            for at in rng.sample(range(100), 2):
+                own[at] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for name, value in (("COLD", 4), ("BLOCK", block), ("ROOM", room), ("COLUMNS", columns)):
+        monkeypatch.setattr(simhash, name, value)
+    label = {r.id: r.component_id for r in simhash.components(docs, similar=0.8).collect()}
+    sets = [set(simhash.shingles(t).tolist()) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert [(a, b) for a, b in near if label[a] != label[b]] == [] and len(near) > 200
+    fps = [simhash.fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    close = [(a, b) for a in range(len(texts)) for b in range(a) if ((fps[a] ^ fps[b]) & (2**64 - 1)).bit_count() <= 2]
+    for a, b in near + close:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    assert [label[i] for i in range(len(texts))] == root and len(set(root)) > 20
