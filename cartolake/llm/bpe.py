@@ -226,6 +226,7 @@ class _Coded:
                 column = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
                 texts = pa.array([bpe.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, column, texts], self.names)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task, of any stage, keeps no buffers
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:

@@ -77,3 +77,19 @@ def test_pieces_are_forgotten_and_made_again(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[len(p) for p in (t or "").split() for _ in range(len(p) % 3)] for t in texts]
     assert len(pieces.new) <= 5 + 24 and len(made) > len(set(made))
     assert pieces.ids(pa.array([], pa.string()))[1].tolist() == [0]
+
+
+def test_no_buffers_stay_after_a_task(monkeypatch):
+    """A worker serves later stages too: what its last task's batches took goes back."""
+    done = []
+
+    class Pool:
+        def release_unused(self):
+            done.append(rows)
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(["a b", None])], ["text"])] * 2
+    monkeypatch.setattr(pa, "default_memory_pool", Pool)
+    rows = 0
+    for part in bpe._Coded(PATH, ["text", "ids", "decoded"], 0)(iter(batches)):
+        rows += part.num_rows
+    assert done == [4]
