@@ -19,24 +19,29 @@ doc_id come first; repeated rows are stored as often as they occur; an empty tab
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
-from .bpe import Pieces, byte_alphabet, load, steps
+from .bpe import byte_alphabet, load, steps
 from .shared import TEXTS, discard, materialize, new_path
 
 PRECISION, LANES, BLOCK, CHECKPOINT = 20, 1024, 1 << 18, 128
 PART = 1 << 24  # ids in a part, about, where the session's number of partitions would make them larger
-KEPT, LONG = 250_000, 256  # distinct words that a worker keeps; characters of a piece at most that is split here
+KEPT, LONG = 400_000, 256  # distinct words that a worker keeps, about; characters of a piece at most that is split here
+PLAIN = 0x180  # code points below, of at most two bytes, are lower-cased and split as bytes
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63); words are 32 bits
 
 
@@ -132,50 +137,172 @@ class Coder:
         return ids
 
 
+class Words:
+    """Ids of distinct words, asked from the library's model for many words at once.
+
+    A worker keeps a word's ids by slot. When KEPT words are there, those that a single step has asked for are forgotten, and of the others,
+    if they are more than half, those that the fewest steps have asked for.
+    """
+
+    def __init__(self, library: Tokenizer) -> None:
+        self.model = library.model
+        self.alone = Tokenizer(self.model)
+        self.alone.pre_tokenizer = CharDelimiterSplit("\n")
+        shown, vocab, suffix = byte_alphabet(), library.get_vocab(with_added_tokens=False), self.model.end_of_word_suffix or ""
+        self.shown = np.array([ord(c) for c in shown], "<u2")
+        self.shown[ord("\n")] = ord("\n")  # no word has one
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.closed = bool(suffix) and all(c + suffix in vocab for c in shown)  # each word's last id, whatever the word, is one of these
+        self._forget()
+
+    def _forget(self, keep: np.ndarray | None = None) -> None:
+        if keep is None or not len(keep):
+            self.slots: dict[str, int] = {}
+            self.asked, self.ends, self.ids = np.zeros(0, np.int32), np.zeros(1, np.int32), np.zeros(0, np.int32)
+            return
+        words = list(self.slots)
+        kept = self.lists().take(pa.array(keep))
+        self.slots = {words[i]: n for n, i in enumerate(keep.tolist())}
+        self.asked, self.ends, self.ids = self.asked[keep] // 2 + 1, kept.offsets.to_numpy(), kept.values.to_numpy()
+
+    def lists(self) -> pa.ListArray:
+        """The ids of each slot."""
+        return pa.ListArray.from_arrays(pa.array(self.ends), pa.array(self.ids))
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids in a row, and how many each has."""
+        data = self.shown[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-16-le")
+        if self.closed:
+            ids = np.array(self.alone.encode_batch_fast([data], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        each = [[t.id for t in self.model.tokenize(w)] for w in data.split("\n")]
+        return np.array([i for x in each for i in x], np.int32), np.array(list(map(len, each)))
+
+    def at(self, words: list[str]) -> np.ndarray:
+        """Slots of distinct words, good until the next call."""
+        if len(self.slots) > KEPT:
+            often = np.flatnonzero(self.asked > 1)
+            self._forget(often if 2 * len(often) <= KEPT else np.sort(np.argsort(-self.asked, kind="stable")[: KEPT // 2]))
+        slots = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int32, len(words))
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            missing = [words[i] for i in new.tolist()]
+            ids, sizes = self._ids(missing)
+            slots[new] = range(len(self.slots), len(self.slots) + len(missing))
+            self.slots.update(zip(missing, slots[new].tolist()))
+            self.asked = np.concatenate([self.asked, np.zeros(len(missing), np.int32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int32)])
+            self.ids = np.concatenate([self.ids, ids])
+        self.asked[slots] += 1
+        return slots
+
+
 class Tokens:
     """Texts' ids as the tokenizers library gives them.
 
-    Pieces that white space separates are looked up as bpe.Pieces does. A new one goes through the library's normalizer, if it isn't ASCII,
-    is split by the file's pattern, and the library's model is asked for each distinct word. That the words' ids are the text's holds for the
-    files that bpe.Bpe takes. Pieces with special tokens or of more than LONG characters go to the library whole.
+    Distinct pieces that white space separates are split into words, distinct words looked up by Words, and ids gathered by Arrow. Pieces of
+    letters, digits and signs below U+0180 are lower-cased and split as bytes, all at once, where the library's normalizer takes such
+    characters one by one and the file's pattern is PATTERN. Other pieces go through the library's normalizer, if they aren't ASCII, and the
+    file's pattern one at a time. That the words' ids are the text's holds for the files that bpe.Bpe takes. Pieces with special tokens or of
+    more than LONG characters go to the library whole.
     """
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model, self.normal, self.word, self.alphabet = self.library.model, self.library.normalizer.normalize_str, load(path).word, byte_alphabet()
-        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special) or r"(?!)")
-        self.words: dict[str, bytes] = {}
-        self.pieces = Pieces(self._make)
-
-    def _word(self, word: str) -> bytes:
-        shown = word if word.isascii() and word.isprintable() else "".join([self.alphabet[b] for b in word.encode()])
-        self.words[word] = found = struct.pack(f"<{len(ids := [t.id for t in self.model.tokenize(shown)])}I", *ids)
-        return found
-
-    def _lowered(self, pieces: list[str]) -> list[bytes]:
-        get, make, words = self.words.get, self._word, self.word.findall
-        return [b"".join([get(w) or make(w) for w in words(p)]) for p in pieces]
-
-    def _make(self, pieces: list[str]) -> list[bytes]:
-        if len(self.words) > KEPT:
-            self.words.clear()
-        whole = {p for p in pieces if len(p) > LONG or self.special.search(p)} if max(map(len, pieces), default=0) > LONG or self.special.search("\n".join(pieces)) else ()
-        plain = [p for p in pieces if p not in whole] if whole else pieces
-        ascii_, other = [p for p in plain if p.isascii()], [p for p in plain if not p.isascii()]
-        found = dict(zip(ascii_, self._lowered("\n".join(ascii_).lower().split("\n")))) if ascii_ else {}
-        found |= zip(other, self._lowered(list(map(self.normal, other))))
-        found |= {p: np.array(self.library.encode(p, add_special_tokens=False).ids, "<u4").tobytes() for p in whole}
-        return list(map(found.__getitem__, pieces))
+        self.normal, self.word = self.library.normalizer.normalize_str, load(path).word
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
+        self.words = Words(self.library)
+        # by code point: 0 for one that isn't split as bytes, 1 for letters, 2 for numbers, 3 for others
+        self.kind, self.lower = np.zeros(PLAIN, np.uint8), np.arange(PLAIN, dtype=np.uint16)
+        if json.loads(self.library.pre_tokenizer.__getstate__())["pretokenizers"][0]["pattern"] == {"Regex": PATTERN}:
+            for c in map(chr, range(PLAIN)):
+                low = self.normal(c)
+                if c != "'" and low == c.lower() and len(low) == 1 and len(low.encode()) == len(c.encode()) and self.word.findall(low):
+                    self.kind[ord(c)] = 2 if len(self.word.findall(low + low)) == 2 else 1 if len(self.word.findall("a" + low)) == 1 else 3
+                    self.lower[ord(c)] = ord(low)
+
+    def _bytes(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces' places, their bytes in lower case, the bytes' kinds, and which bytes follow another in a character."""
+        ends = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        kinds, lowered = np.append(self.kind[:128], np.zeros(128, np.uint8))[data], np.append(self.lower[:128], np.zeros(128)).astype(np.uint8)[data]
+        follows = np.zeros(len(data), bool)
+        lead = np.flatnonzero((data >= 0xC2) & (data < 0xC0 + PLAIN // 64))
+        lead = lead[lead + 1 < len(data)]
+        lead = lead[data[lead + 1] & 0xC0 == 0x80]
+        points = (data[lead] & 0x1F).astype(np.uint16) << 6 | data[lead + 1] & 0x3F
+        kinds[lead] = kinds[lead + 1] = self.kind[points]
+        low = self.lower[points]
+        lowered[lead], lowered[lead + 1] = 0xC0 | low >> 6, 0x80 | low & 0x3F
+        follows[lead + 1] = True
+        return ends - ends[0], lowered, kinds, follows
+
+    def _split(self, pieces: pa.StringArray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """All words of the pieces that can be split as bytes, how many each of these has, and which pieces these are."""
+        ends, lowered, kinds, follows = self._bytes(pieces)
+        sizes = np.diff(ends)
+        plain = sizes <= LONG
+        plain[np.searchsorted(ends, np.flatnonzero(kinds == 0), "right") - 1] = False
+        for s in self.specials:
+            plain &= ~pc.match_substring(pieces, s).to_numpy(zero_copy_only=False)
+        if not plain.all():
+            taken = np.repeat(plain, sizes)
+            lowered, kinds, follows, ends = lowered[taken], kinds[taken], follows[taken], np.append(0, np.cumsum(sizes[plain]))
+        begins = np.ones(len(lowered) + 1, bool)
+        begins[1:-1] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 2) & ~follows[1:]
+        begins[ends] = True
+        starts = np.flatnonzero(begins).astype(np.int32)  # and the end
+        words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(lowered))
+        return words, np.diff(np.searchsorted(starts, ends)), plain
+
+    def _pieces(self, pieces: pa.StringArray) -> pa.ListArray:
+        """The ids of distinct pieces."""
+        words, sizes, plain = self._split(pieces)
+        other = pieces.filter(pa.array(~plain)).to_pylist()
+        whole = [len(p) > LONG or bool(self.special.search(p)) for p in other]
+        split = [() if w else self.word.findall(p.lower() if p.isascii() else self.normal(p)) for p, w in zip(other, whole)]
+        words = pa.concat_arrays([words, pa.array([w for x in split for w in x], pa.string())]).dictionary_encode()
+        ends = np.append(0, np.cumsum(np.concatenate([sizes, np.array(list(map(len, split)), np.int64)])))
+        found = self.words.lists().slice(0, 0)
+        if len(words):
+            slots = self.words.at(_strings(words.dictionary))
+            found = self.words.lists().take(pa.array(slots[words.indices.to_numpy()]))
+        made = pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[ends].astype(np.int32)), found.values)
+        places = np.empty(len(pieces), np.int64)
+        places[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(pieces))
+        if any(whole):
+            at = np.flatnonzero(~plain)[np.array(whole)]
+            places[at] = len(made) + np.arange(len(at))
+            asked = [self.library.encode(p, add_special_tokens=False).ids for p, w in zip(other, whole) if w]
+            made = pa.concat_arrays([made, pa.array(asked, made.type)])
+        return made.take(pa.array(places))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text's begin, with the end; a null has none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int32)
+        taken = self._pieces(coded.dictionary).take(coded.indices)
+        return taken.values.to_numpy(), taken.offsets.to_numpy()[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        ids, ends = self.pieces.ids(pa.array(texts, pa.string()))
+        ids, ends = self.ids(pa.array(texts, pa.string()))
         return [ids[a:b].tobytes() for a, b in zip(ends, ends[1:])]
 
 
+def _strings(words: pa.StringArray) -> list[str]:
+    """Words, none of which has a line's end."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py().split("\n")
+
+
 _loaded: dict[str, Tokens] = {}
 
 
@@ -191,11 +318,11 @@ class _Tokenised:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         if self.path not in _loaded:
             _loaded[self.path] = Tokens(self.path)
-        pieces = _loaded[self.path].pieces
+        tokens = _loaded[self.path]
         total = np.zeros(0, np.int64)
         for batch in batches:
             for part in steps(batch, 1):
-                ids, ends = pieces.ids(part.column(1))
+                ids, ends = tokens.ids(part.column(1))
                 ids = np.insert(ids, ends[1:], self.end).astype(self.kind)
                 ends = ends + np.arange(len(ends))
                 found = np.bincount(ids, minlength=len(total))

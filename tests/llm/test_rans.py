@@ -1,4 +1,5 @@
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -46,6 +47,57 @@ def test_any_text(texts):
     assert [np.frombuffer(x, "<u4").tolist() for x in TOKENS.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"aBs'.!9 \n\x1c\x00\x7f\x85\xa0²½ªßéÉŸſİıŁ×", "́", "Σ", "가", "'ll", "<|endoftext|>", "<|", "x" * 200]), max_size=12).map("".join), max_size=4))
+def test_latin_text(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in TOKENS.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def _some_words(rng, n):
+    return ["".join(rng.choice("aeinrsthéü") for _ in range(rng.randint(1, 12))) + rng.choice(["", ",", ".", "9"]) for _ in range(n)]
+
+
+def test_work_is_per_step_not_per_word():
+    """Python's calls for a step of new words don't grow with them (op10_rans: 465 CPU seconds a GB of 400 with some calls a word)."""
+    tokens, rng, calls = rans.Tokens(PATH), random.Random(7), []
+    tokens.encode(["some words"])
+    for n in (2000, 8000):
+        text, seen = " ".join(_some_words(rng, n)), []
+        sys.setprofile(lambda frame, event, arg: seen.append(1) if event in ("call", "c_call") else None)
+        try:
+            found = tokens.encode([text])
+        finally:
+            sys.setprofile(None)
+        calls.append(len(seen))
+        assert np.frombuffer(found[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert max(calls) < 1000
+
+
+@pytest.mark.parametrize("kept", [0, 40, 10_000])
+def test_words_are_forgotten_and_asked_again(kept, monkeypatch):
+    monkeypatch.setattr(rans, "KEPT", kept)
+    tokens, rng = rans.Tokens(PATH), random.Random(8)
+    common = _some_words(rng, 30)
+    for _ in range(60):
+        texts = [" ".join(rng.choices(common, k=10) + _some_words(rng, 15)), None, ""]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts)] == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert len(tokens.words.slots) <= kept + 2 * 25 and len(tokens.words.slots) == len(tokens.words.asked) == len(tokens.words.ends) - 1
+
+
+def test_words_whose_ends_are_not_told_by_ids():
+    tokens, texts = rans.Tokens(PATH), ["Don't 12 ab, é²x", "<|endoftext|>"]
+    tokens.words.last[:] = True
+    got = tokens.encode(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_another_pattern_is_split_one_by_one(monkeypatch):
+    monkeypatch.setattr(rans, "PATTERN", "another")
+    tokens, texts = rans.Tokens(PATH), ["Don't 12 ab, é²x ab"]
+    assert not tokens.kind.any()
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_files_equal_the_library(spark, monkeypatch):
     monkeypatch.setattr(rans, "BLOCK", 500)
     rng = random.Random(4)
