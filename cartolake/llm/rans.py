@@ -141,7 +141,7 @@ class Words:
     """Ids of distinct words, asked from the library's model for many words at once.
 
     A worker keeps a word's ids by slot. When KEPT words are there, those that a single step has asked for are forgotten, and of the others,
-    if they are more than half, those that the fewest steps have asked for.
+    if they are more than half, those that the fewest steps have asked for; counts of steps are halved then.
     """
 
     def __init__(self, library: Tokenizer) -> None:
@@ -164,7 +164,7 @@ class Words:
         words = list(self.slots)
         kept = self.lists().take(pa.array(keep))
         self.slots = {words[i]: n for n, i in enumerate(keep.tolist())}
-        self.asked, self.ends, self.ids = self.asked[keep] // 2 + 1, kept.offsets.to_numpy(), kept.values.to_numpy()
+        self.asked, self.ends, self.ids = self.asked[keep] // 2, kept.offsets.to_numpy(), kept.values.to_numpy()
 
     def lists(self) -> pa.ListArray:
         """The ids of each slot."""
@@ -191,7 +191,7 @@ class Words:
         if len(new):
             missing = [words[i] for i in new.tolist()]
             ids, sizes = self._ids(missing)
-            slots[new] = range(len(self.slots), len(self.slots) + len(missing))
+            slots[new] = np.arange(len(self.slots), len(self.slots) + len(missing))
             self.slots.update(zip(missing, slots[new].tolist()))
             self.asked = np.concatenate([self.asked, np.zeros(len(missing), np.int32)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes, dtype=np.int32)])
@@ -285,7 +285,7 @@ class Tokens:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin, with the end; a null has none."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
         coded = lists.flatten().dictionary_encode()
         if not len(coded):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int32)
@@ -333,6 +333,7 @@ class _Tokenised:
                 yield pa.RecordBatch.from_arrays([part.column(0), made, pa.nulls(part.num_rows, pa.list_(pa.int64()))], self.names)
         if len(total):
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total], pa.list_(pa.int64()))], self.names)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task, of any stage, keeps no buffers
 
 
 _BLOCKS = "part int, row long, doc_ids array<long>, lengths array<long>, n long, lanes int, crc long, states binary, marks binary, words binary"

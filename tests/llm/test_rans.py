@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +92,13 @@ def test_words_whose_ends_are_not_told_by_ids():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_large_and_sliced_strings():
+    texts = ["first", "Don't 12 ab, é²x", None, "ab"]
+    for array in (pa.array(texts, pa.large_string())[1:], pa.array(texts)[1:]):
+        ids, ends = TOKENS.ids(array)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [LIBRARY.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+
+
 def test_another_pattern_is_split_one_by_one(monkeypatch):
     monkeypatch.setattr(rans, "PATTERN", "another")
     tokens, texts = rans.Tokens(PATH), ["Don't 12 ab, é²x ab"]
