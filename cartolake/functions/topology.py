@@ -34,6 +34,10 @@ def _bound(f: Callable[..., Column]) -> Callable[..., Column]:
     return call
 
 
+def _all(*conditions: Column) -> Column:
+    return functools.reduce(lambda a, b: a & b, conditions)
+
+
 def _point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -116,6 +120,15 @@ def intersects(a: Column, b: Column) -> Column:
     return _any_edges(a, b, _cross) | _inside(F.slice(a, 1, 1), b) | _inside(F.slice(b, 1, 1), a)
 
 
+def fills(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Whether a ring is its whole box, and the box has an area: two such rings intersect wherever their boxes meet. No loops, so it's compiled."""
+    at = lambda i: F.get(ring, F.lit(i))
+    n = F.size(ring)
+    along = lambda p, q: _all(*[at(i)[p if i % 2 else q] == at((i + 1) % 4)[p if i % 2 else q] for i in range(4)])
+    corners = _all(F.least(at(0)["x"], at(2)["x"]) == xmin, F.greatest(at(0)["x"], at(2)["x"]) == xmax, F.least(at(0)["y"], at(2)["y"]) == ymin, F.greatest(at(0)["y"], at(2)["y"]) == ymax)
+    return ((n == 4) | ((n == 5) & (at(4) == at(0)))) & (along("x", "y") | along("y", "x")) & corners & (xmin < xmax) & (ymin < ymax)
+
+
 def disjoint(a: Column, b: Column) -> Column:
     return ~intersects(a, b)
 

@@ -609,3 +609,26 @@ def test_shapefile_folders_and_blocks(spark, tmp_path, monkeypatch):
     assert shapefile.blocks_that_meet(str(tmp_path / "none"), 7, (0, 0, 1, 1)) == [(0, 7)]
     with pytest.raises(ValueError):
         shapefile.local("hdfs://store/a.shp")
+
+
+def test_exact_relation_only_where_boxes_meet(spark):
+    """Shapes are asked after their boxes, and shapes that fill their boxes aren't asked at all."""
+    rng = np.random.default_rng(2)
+    boxes = [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(rng.uniform(0.1, 10, (60, 4)))]
+    shape = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("xmin", "ymin"), ("xmin", "ymax"), ("xmax", "ymax"), ("xmax", "ymin"), ("xmin", "ymin"))])
+    df = spark.createDataFrame(boxes, "oid int, xmin double, ymin double, xmax double, ymax double").withColumn("shape", shape)
+    want = sorted((a[0], b[0]) for a in boxes for b in boxes if a[3] >= b[1] and a[1] <= b[3] and a[4] >= b[2] and a[2] <= b[4])
+    apart = lambda a, b: (a[2]["x"] < b[0]["x"]) | (b[2]["x"] < a[0]["x"]) | (a[2]["y"] < b[0]["y"]) | (b[2]["y"] < a[0]["y"])
+    careful = lambda a, b: F.when(apart(a, b), F.raise_error(F.lit("asked of shapes far apart")).cast("boolean")).otherwise(topology.intersects(a, b))
+    never = lambda a, b: F.raise_error(F.concat(F.lit("asked of "), a[0]["x"].cast("string"), b[0]["x"].cast("string"))).cast("boolean")
+    assert sorted((r.a_oid, r.b_oid) for r in spatial_join.join_shapes(df, df, 4.0, careful).select("a_oid", "b_oid").collect()) == want
+    assert sorted((r.a_oid, r.b_oid) for r in spatial_join.join_shapes(df, df, 4.0, never, fills=topology.fills).select("a_oid", "b_oid").collect()) == want
+
+
+def test_fills(spark):
+    box = (0, 0, 2, 1)
+    square = [(0, 0), (0, 1), (2, 1), (2, 0)]
+    rings = {True: [square, [*square, square[0]], square[::-1], square[1:] + square[:1]], False: [square[:3], [*square, (1, 1)], [(0, 0), (2, 1), (0, 1), (2, 0)], [(0, 0), (0, 1), (1, 1), (1, 0)], [(0, 0), (0, 1), (2, 1), (2, 0.5)], [(0, 0), (0, 0), (2, 1), (2, 1)]]}
+    for want, some in rings.items():
+        assert _one(spark, *[F.coalesce(topology.fills(_points(*r), *map(F.lit, map(float, box))), F.lit(False)) for r in some]) == (want,) * len(some)
+    assert _one(spark, topology.fills(_points((0, 0), (0, 1), (0, 1), (0, 0)), *map(F.lit, (0.0, 0.0, 0.0, 1.0))))[0] is False
