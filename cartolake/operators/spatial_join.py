@@ -82,6 +82,16 @@ def join(a: DataFrame, b: DataFrame, cell: float, exact: Callable[[Callable[[str
     return pairs.select(*[F.col(f"a.`{c}`").alias(f"a_{c}") for c in a.columns], *[F.col(f"b.`{c}`").alias(f"b_{c}") for c in b.columns])
 
 
+def counts(a: DataFrame, b: DataFrame, cell: float, name: str = "n") -> DataFrame:
+    """b's rows that a's boxes meet, with the number of these.
+
+    Equal boxes of either table are joined once, with their number, so the pairs are those of different boxes; they are summed where they come.
+    """
+    boxes = a.groupBy(*BOX).agg(F.count("*").alias("_n"))
+    met = join(boxes, b.select(*BOX).distinct(), cell).groupBy(*[F.col(f"b_{c}").alias(c) for c in BOX]).agg(F.sum("a__n").alias(name))
+    return b.join(met, list(BOX)).select(*b.columns, name)
+
+
 def join_shapes(a: DataFrame, b: DataFrame, cell: float, relation: Callable[[Column, Column], Column], shape: str = "shape", fills: Callable[..., Column] | None = None) -> DataFrame:
     """Pairs of rows whose shapes are in a relation that holds for meeting boxes only, such as topology.intersects of their rings.
 

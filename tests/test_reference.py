@@ -632,3 +632,15 @@ def test_fills(spark):
     for want, some in rings.items():
         assert _one(spark, *[F.coalesce(topology.fills(_points(*r), *map(F.lit, map(float, box))), F.lit(False)) for r in some]) == (want,) * len(some)
     assert _one(spark, topology.fills(_points((0, 0), (0, 1), (0, 1), (0, 0)), *map(F.lit, (0.0, 0.0, 0.0, 1.0))))[0] is False
+
+
+def test_counts_of_meeting_boxes(spark):
+    """Equal boxes are joined once: the join sees each of them one time, and rows that are alike keep their counts."""
+    rng = random.Random(6)
+    spot = lambda: float(rng.randint(0, 6))
+    points = [(i, x := spot(), y := spot(), x, y) for i in range(300)] + [(900, None, 0.0, 1.0, 1.0), (901, 2.0, 0.0, 1.0, 1.0)]
+    boxes = [(j, *rng.choice([(-math.inf, 1.0, math.inf, 2.0), (-1e7, 0.0, 1e7, 0.5), (x := spot(), y := spot(), x + 1.5, y + 0.25), (50.0, 50.0, 51.0, 51.0)])) for j in range(80)]
+    made = [spark.createDataFrame(rows, "oid int, xmin double, ymin double, xmax double, ymax double") for rows in (points, boxes)]
+    got = spatial_join.counts(*made, 1.0)
+    want = {b[0]: n for b in boxes if (n := sum(None not in p and p[1] <= p[3] and p[3] >= b[1] and p[1] <= b[3] and p[4] >= b[2] and p[2] <= b[4] for p in points))}
+    assert got.columns == [*made[1].columns, "n"] and {r.oid: r.n for r in got.collect()} == want and got.count() == len(want)
