@@ -80,17 +80,18 @@ def ranges(a: DataFrame, point: str, b: DataFrame, low: str, high: str, width: f
     """Rows of a with each row of b whose closed range holds the point.
 
     Ranges are dealt over buckets of the width, which should be of the ranges' order; a range of more than MOST buckets goes to a level of
-    wider ones. Points go to one bucket of each level that occurs, of which there are LEVELS at most.
+    wider ones. Points go to one bucket of each level that occurs, of which there are LEVELS at most. Crowded buckets are cut (even).
     """
     size = F.greatest(F.lit(1.0), (F.col(high) - F.col(low)) / width)
-    level = F.least(F.lit(LEVELS - 1), F.ceil(F.log(size) / F.log(F.lit(float(MOST))))).cast("int")
+    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(size) / F.log(F.lit(float(MOST))) - 1e-9) - 1)).cast("int")
     ranged = b.where((F.col(low) <= F.col(high))).withColumn("_level", level)
     used = sorted(r["_level"] for r in ranged.select("_level").distinct().collect())  # LEVELS numbers at most
     step = lambda lv: F.lit(float(width)) * F.pow(F.lit(float(MOST)), lv)
     slot = lambda value, lv: F.when(lv == LEVELS - 1, F.lit(0).cast("long")).otherwise(F.floor(value / step(lv)))
     held = ranged.withColumn("_slot", F.explode(F.sequence(slot(F.col(low), F.col("_level")), slot(F.col(high), F.col("_level")))))
     asked = a.where(F.col(point).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(u) for u in used]).cast("array<int>"))).withColumn("_slot", slot(F.col(point), F.col("_level")))
-    return asked.join(held, ["_level", "_slot"]).where(_between(F.col(point), F.col(low), F.col(high))).drop("_level", "_slot")
+    asked, held, keys = even(asked, held, ["_level", "_slot"])
+    return asked.join(held, keys).where(_between(F.col(point), F.col(low), F.col(high))).drop(*keys)
 
 
 MOST, LEVELS = 16, 12

@@ -644,3 +644,19 @@ def test_counts_of_meeting_boxes(spark):
     got = spatial_join.counts(*made, 1.0)
     want = {b[0]: n for b in boxes if (n := sum(None not in p and p[1] <= p[3] and p[3] >= b[1] and p[1] <= b[3] and p[4] >= b[2] and p[2] <= b[4] for p in points))}
     assert got.columns == [*made[1].columns, "n"] and {r.oid: r.n for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_ranges_and_crowded_keys_are_cut(spark, monkeypatch):
+    """A range comes to some MOST buckets, not one far wider; crowded buckets are cut into blocks of about WORK pairs, and no pair is lost or doubled."""
+    rng = random.Random(7)
+    points = [(i, rng.choice([1.0, 2.0, rng.uniform(0, 400)])) for i in range(600)]
+    spans = [(j, x := rng.uniform(-10, 300), x + rng.choice([1.0, 30.0, 120.0])) for j in range(90)]
+    monkeypatch.setattr(joins, "WORK", 500)
+    seen = []
+    held = joins.even
+    monkeypatch.setattr(joins, "even", lambda *a: seen.append(held(*a)) or seen[-1])
+    got = joins.ranges(spark.createDataFrame(points, "i int, x double"), "x", spark.createDataFrame(spans, "j int, lo double, hi double"), "lo", "hi", 4.0).select("i", "j").collect()
+    assert sorted(map(tuple, got)) == sorted((i, j) for i, x in points for j, lo, hi in spans if lo <= x <= hi)
+    left, right, keys = seen[0]
+    work = left.groupBy(*keys).count().join(right.groupBy(*keys).agg(F.count("*").alias("m")), keys).select(F.max(F.col("count") * F.col("m")), F.sum(F.col("count") * F.col("m"))).first()
+    assert "_i" in keys and work[0] < 4 * 500 and work[1] < 4 * len(got) and left.rdd.getNumPartitions() == right.rdd.getNumPartitions() > work[1] / 1000
