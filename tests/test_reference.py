@@ -660,3 +660,19 @@ def test_ranges_and_crowded_keys_are_cut(spark, monkeypatch):
     left, right, keys = seen[0]
     work = left.groupBy(*keys).count().join(right.groupBy(*keys).agg(F.count("*").alias("m")), keys).select(F.max(F.col("count") * F.col("m")), F.sum(F.col("count") * F.col("m"))).first()
     assert "_i" in keys and work[0] < 4 * 500 and work[1] < 4 * len(got) and left.rdd.getNumPartitions() == right.rdd.getNumPartitions() > work[1] / 1000
+
+
+def test_crowded_cells_of_boxes_are_cut(spark, monkeypatch):
+    """Flat boxes meet in flat cells, and boxes in one place in blocks."""
+    rng = random.Random(8)
+    flat = [(i, x := rng.uniform(0, 5), y := float(rng.randint(0, 400)), x + 900.0, y + 0.5) for i in range(200)] + [(i, 0.0, 0.0, 1.0, 1.0) for i in range(300, 400)]
+    df = spark.createDataFrame(flat, "oid int, xmin double, ymin double, xmax double, ymax double")
+    monkeypatch.setattr(joins, "WORK", 300)
+    seen = []
+    held = joins.even
+    monkeypatch.setattr(joins, "even", lambda *a: seen.append(held(*a)) or seen[-1])
+    got = spatial_join.join(df, df, 1000.0).select("a_oid", "b_oid").collect()
+    assert sorted(map(tuple, got)) == sorted((a[0], b[0]) for a in flat for b in flat if a[3] >= b[1] and a[1] <= b[3] and a[4] >= b[2] and a[2] <= b[4])
+    left, right, keys = seen[0]
+    most, whole = left.groupBy(*keys).count().join(right.groupBy(*keys).agg(F.count("*").alias("m")), keys).select(F.max(F.col("count") * F.col("m")), F.sum(F.col("count") * F.col("m"))).first()
+    assert most < 4 * 300 and whole < 4 * len(got)
