@@ -173,6 +173,45 @@ def overlaps(a: Column, b: Column) -> Column:
     return overlaps_inside(a, b) & ~contains(a, b) & ~contains(b, a)
 
 
+def _box(ring: Column) -> Column:
+    at = lambda f, c: f(F.transform(ring, lambda p: p[c]))
+    return F.struct(at(F.array_min, "x").alias("x0"), at(F.array_min, "y").alias("y0"), at(F.array_max, "x").alias("x1"), at(F.array_max, "y").alias("y1"))
+
+
+def _apart(a: Column, b: Column, eps: float) -> Column:
+    """Whether the boxes of two rings are farther apart than eps along an axis; false for rings without points."""
+    far = lambda p, q: (p["x0"] - q["x1"] > eps) | (q["x0"] - p["x1"] > eps) | (p["y0"] - q["y1"] > eps) | (q["y0"] - p["y1"] > eps)
+    return F.coalesce(_once(F.struct(_box(a).alias("a"), _box(b).alias("b")), lambda s: far(s["a"], s["b"])), F.lit(False))
+
+
+RELATIONS = ("intersects", "disjoint", "contains", "within", "touches", "equals", "overlaps")
+
+
+@_bound
+def relations(a: Column, b: Column) -> Column:
+    """All of RELATIONS as a struct, NULL where a ring is, else equal to the functions of these names, from parts that are computed once.
+
+    Rings whose boxes are apart are settled by these.
+    """
+
+    def named(*values: Column) -> Column:
+        return F.struct(*[v.cast("boolean").alias(n) for n, v in zip(RELATIONS, values)])
+
+    def settled(s: Column) -> Column:
+        inner = s["proper"] | F.exists(s["of_a"], lambda v: v > 0) | F.exists(s["of_b"], lambda v: v > 0)
+        holds, inside = ~s["proper"] & F.forall(s["of_b"], lambda v: v >= 0), ~s["proper"] & F.forall(s["of_a"], lambda v: v >= 0)
+        first = lambda at: F.exists(F.slice(at, 1, 1), lambda v: v >= 0)
+        return _once(F.struct((s["met"] | first(s["of_a"]) | first(s["of_b"])).alias("meets"), (inner | (holds & inside)).alias("inner"), holds.alias("holds"), inside.alias("inside")), last)
+
+    def last(t: Column) -> Column:
+        return named(t["meets"], ~t["meets"], t["holds"], t["inside"], t["meets"] & ~t["inner"], t["holds"] & t["inside"], t["inner"] & ~t["holds"] & ~t["inside"])
+
+    parts = F.struct(_any_edges(a, b, _proper).alias("proper"), _any_edges(a, b, _cross).alias("met"), _positions(_middles(a), b).alias("of_a"), _positions(_middles(b), a).alias("of_b"))
+    none, yes = F.lit(False), F.lit(True)
+    whole = F.when(_apart(a, b, 1e-6), named(none, yes, none, none, none, none, none)).otherwise(_once(parts, settled))
+    return F.when(a.isNotNull() & b.isNotNull(), whole)
+
+
 @_bound
 def crosses(line: Column, ring: Column) -> Column:
     """Whether a line runs both inside and outside of a ring."""

@@ -33,6 +33,15 @@ def as_of(a: DataFrame, b: DataFrame, by: list[str], at: str, values: list[str],
     return joined.select(*by, F.col("_at").alias(at), *[F.col(f"_row.{n}") for n in names], *[F.col(f"_last.{v}").alias(f"{prefix}{v}") for v in values])
 
 
+def spread(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """df in partitions of about so many rows, by keys that tell rows apart: for work that is dear by the row, where a small file would be one task.
+
+    It counts df first. Spark doesn't put the partitions together again.
+    """
+    tasks = math.ceil(df.count() / rows)
+    return df if tasks <= 1 else df.repartition(min(tasks, 20_000), *keys)
+
+
 #: Pairs that a task may look at, and rows that it may hold, before there are more tasks.
 WORK, ROWS = 100_000_000, 1_000_000
 

@@ -676,3 +676,24 @@ def test_crowded_cells_of_boxes_are_cut(spark, monkeypatch):
     left, right, keys = seen[0]
     most, whole = left.groupBy(*keys).count().join(right.groupBy(*keys).agg(F.count("*").alias("m")), keys).select(F.max(F.col("count") * F.col("m")), F.sum(F.col("count") * F.col("m"))).first()
     assert most < 4 * 300 and whole < 4 * len(got)
+
+
+def test_relations_at_once(spark):
+    """The struct is what the single functions say, whether rings are apart, touch, hold each other, are empty or NULL; rings apart are settled by their boxes."""
+    rng = random.Random(9)
+    box = lambda x, y, w, h: [(x, y), (x, y + h), (x + w, y + h), (x + w, y), (x, y)]
+    some = [box(*(float(rng.randint(1, 4)) for _ in range(4))) for _ in range(12)] + [[(0.0, 0.0), (4.0, 0.0), (4.0, 1.0), (1.0, 1.0), (1.0, 4.0), (0.0, 4.0)], [(1.0, 1.0), (3.0, 1.0), (1.0, 3.0)], box(50.0, 1.0, 1.0, 1.0), [], None]
+    rows = spark.createDataFrame([(p, q) for p in some for q in [*rng.sample(some, 6), None]], "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    a, b = F.col("a"), F.col("b")
+    got = rows.select("a", "b", topology.relations(a, b).alias("r"), *[getattr(topology, n)(a, b).alias(n) for n in topology.RELATIONS]).collect()
+    for r in got:
+        assert r.r is None if None in (r.a, r.b) else tuple(r.r) == tuple(r[n] for n in topology.RELATIONS)
+    assert len({tuple(r.r) for r in got if r.r}) > 4
+
+
+def test_dear_rows_are_spread(spark, tmp_path):
+    spark.range(5000).write.parquet(str(tmp_path / "one"))
+    df = spark.read.parquet(str(tmp_path / "one")).coalesce(1)
+    assert joins.spread(df, ["id"], 500).rdd.getNumPartitions() == 10 and joins.spread(df, ["id"], 5000).rdd.getNumPartitions() == 1
+    assert sorted(r.id for r in joins.spread(df, ["id"], 500).collect()) == list(range(5000))
+    assert joins.spread(df.where("id < 0"), ["id"], 500).count() == 0
