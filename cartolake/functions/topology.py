@@ -298,13 +298,17 @@ def intersection(ring: Column, convex: Column) -> Column:
 @_bound
 def difference(ring: Column, convex: Column) -> Column:
     """A ring without a convex one, as rings that don't overlap: for each edge of the convex one, what lies beyond it and inside those before."""
+    return F.filter(_split(ring, convex)["out"], lambda r: area(r) > 0)
+
+
+def _split(ring: Column, convex: Column) -> Column:
+    """What of a ring lies in a convex one, as rest, and beyond each of its edges, as out."""
     start = F.struct(open_ring(ring).cast(_RING).alias("rest"), F.array().cast(f"array<{_RING}>").alias("out"))
 
     def step(a: Column, e: Column) -> Column:
         return F.struct(half_plane(a["rest"], e["a"], e["b"]).alias("rest"), F.concat(a["out"], F.array(half_plane(a["rest"], e["a"], e["b"], False))).alias("out"))
 
-    pieces = F.aggregate(_edges(counterclockwise(convex)), start, step)["out"]
-    return F.filter(pieces, lambda r: area(r) > 0)
+    return F.aggregate(_edges(counterclockwise(convex)), start, step)
 
 
 @_bound
@@ -319,6 +323,30 @@ def symmetric_difference(a: Column, b: Column) -> Column:
     return F.concat(difference(a, b), difference(b, a))
 
 
+OVERLAYS = ("intersection", "difference", "union", "symmetric_difference")
+
+
+@_bound
+def overlays(a: Column, b: Column) -> Column:
+    """All of OVERLAYS of two convex rings as a struct, NULL where a ring is, from one cut of either ring by the other.
+
+    They are what the functions of these names give, but rings whose boxes are apart aren't cut.
+    """
+    whole = lambda r: F.filter(F.array(open_ring(r).cast(_RING)), lambda x: area(x) > 0)
+    clear = lambda rings: F.filter(rings, lambda r: area(r) > 0)
+    none = F.array().cast(_RING)
+
+    def cut(s: Column) -> Column:
+        return F.struct(F.when(area(s["of_a"]["rest"]) > 0, s["of_a"]["rest"]).otherwise(none).alias("both"), clear(s["of_a"]["out"]).alias("a"), clear(s["of_b"]["out"]).alias("b"))
+
+    def named(p: Column) -> Column:
+        found = p["both"], p["a"], F.concat(F.array(open_ring(b).cast(_RING)), p["a"]), F.concat(p["a"], p["b"])
+        return F.struct(*[v.alias(n) for n, v in zip(OVERLAYS, found)])
+
+    parts = F.when(_apart(a, b, 0.0), F.struct(none.alias("both"), whole(a).alias("a"), whole(b).alias("b"))).otherwise(_once(F.struct(_split(a, b).alias("of_a"), _split(b, a).alias("of_b")), cut))
+    return F.when(a.isNotNull() & b.isNotNull(), _once(parts, named))
+
+
 @_bound
 def offset(points: Column, d: float | Column, closed: bool = False) -> Column:
     """A line moved to its left by d, or a ring with closed; corners are mitred, at most to four times d."""

@@ -697,3 +697,26 @@ def test_dear_rows_are_spread(spark, tmp_path):
     assert joins.spread(df, ["id"], 500).rdd.getNumPartitions() == 10 and joins.spread(df, ["id"], 5000).rdd.getNumPartitions() == 1
     assert sorted(r.id for r in joins.spread(df, ["id"], 500).collect()) == list(range(5000))
     assert joins.spread(df.where("id < 0"), ["id"], 500).count() == 0
+
+
+def test_overlays_at_once(spark):
+    """The struct holds what the single functions give; rings whose boxes are apart have the same areas, uncut."""
+    rng = random.Random(10)
+    box = lambda x, y, w, h: [(x, y), (x, y + h), (x + w, y + h), (x + w, y), (x, y)]
+    some = [box(*(float(rng.randint(1, 4)) for _ in range(4))) for _ in range(10)] + [[(1.0, 1.0), (3.0, 1.0), (1.0, 3.0)], box(50.0, 1.0, 1.0, 1.0), [], None]
+    rows = spark.createDataFrame([(p, q) for p in some for q in [*rng.sample(some, 5), None]], "a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    a, b = F.col("a"), F.col("b")
+    single = [getattr(topology, n)(a, b) for n in topology.OVERLAYS]
+    sizes = lambda rings: [topology.area(rings[0]), *map(topology.total_area, rings[1:])]
+    found = rows.withColumn("o", topology.overlays(a, b))
+    got = found.select("a", "b", "o", F.array(*sizes([F.col(f"o.{n}") for n in topology.OVERLAYS])).alias("sizes"), F.struct(*[c.alias(n) for c, n in zip(single, topology.OVERLAYS)]).alias("s"), F.array(*sizes(single)).alias("want")).collect()
+    cut = 0
+    for r in got:
+        if None in (r.a, r.b):
+            assert r.o is None
+            continue
+        assert r.sizes == pytest.approx(r.want)
+        if r.a and r.b and max(p.x for p in r.a) >= min(p.x for p in r.b) and max(p.x for p in r.b) >= min(p.x for p in r.a) and max(p.y for p in r.a) >= min(p.y for p in r.b) and max(p.y for p in r.b) >= min(p.y for p in r.a):
+            assert r.o == r.s
+            cut += 1
+    assert 10 < cut < len(got)
